@@ -1,3 +1,3 @@
 """Queries over the driver tables."""
 
-MODULES = ("panels",)
+MODULES = ("panels", "columns", "joining")
