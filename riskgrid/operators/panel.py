@@ -135,11 +135,11 @@ def row_features(df: DataFrame, panel: Panel, builders: Sequence[Builder], lookb
     return out.drop(_OWN)
 
 
-def lags(variables: Sequence[str], steps: Sequence[int]) -> Builder:
-    return lambda w: [F.lag(v, k).over(w).alias(f"{v}_lag{k}") for v in variables for k in steps]
+def lags(variables: Sequence[str], steps: Sequence[int], unit: str = "") -> Builder:
+    return lambda w: [F.lag(v, k).over(w).alias(f"{v}_lag{k}{unit}") for v in variables for k in steps]
 
 
-def rolls(variables: Sequence[str], widths: Sequence[int], full_only: bool = False) -> Builder:
+def rolls(variables: Sequence[str], widths: Sequence[int], full_only: bool = False, unit: str = "") -> Builder:
     """Mean and sample standard deviation of the rows before the current one.
 
     ``full_only`` yields null until the frame holds ``width`` values.
@@ -154,7 +154,7 @@ def rolls(variables: Sequence[str], widths: Sequence[int], full_only: bool = Fal
                 if full_only:
                     complete = F.count(v).over(frame) == n
                     mean, sd = F.when(complete, mean), F.when(complete, sd)
-                out += [mean.alias(f"{v}_roll{n}_mean"), sd.alias(f"{v}_roll{n}_std")]
+                out += [mean.alias(f"{v}_roll{n}{unit}_mean"), sd.alias(f"{v}_roll{n}{unit}_std")]
         return out
 
     return build
@@ -289,13 +289,20 @@ def seasonal_parts(df: DataFrame, panel: Panel, value: str, period: int = 365) -
     the mean detrended value per phase shifted to average zero.
     """
     half = period // 2
-    w = panel.window().rowsBetween(-half, half)
-    # a centred frame needs both neighbours, so this operator stays on the entity window of a bounded panel
-    base = df.select(
+    w = panel.window()
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    # a centred frame as the difference of two running sums: constant work per row, whatever the period
+    sums = df.select(
         "*",
-        F.row_number().over(panel.window()).alias("__rn"),
-        F.when(F.count(value).over(w) == period, F.avg(value).over(w)).alias("trend"),
-    ).withColumn("__phase", F.pmod(F.col("__rn") - 1, F.lit(period)))
+        F.row_number().over(w).alias("__rn"),
+        F.sum(F.col(value)).over(so_far).alias("__sum"),
+        F.count(F.col(value)).over(so_far).alias("__cnt"),
+    )
+    within = lambda c: F.lead(c, half).over(w) - F.coalesce(F.lag(c, half + 1).over(w), F.lit(0))
+    full = (F.col("__rn") > half) & (within("__cnt") == period)
+    base = sums.select(
+        "*", F.when(full, within("__sum") / period).alias("trend"), F.pmod(F.col("__rn") - 1, F.lit(period)).alias("__phase")
+    )
     per_phase = base.groupBy(panel.entity, "__phase").agg(F.avg(F.col(value) - F.col("trend")).alias("__raw"))
     centred = per_phase.select(
         panel.entity,

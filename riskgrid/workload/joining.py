@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from riskgrid.operators import joins as J
 from riskgrid.operators import panel as P
 from riskgrid.operators import resample as R
+from riskgrid.operators.blend import apply_mix
 from riskgrid.operators.spatial import match_points
 from riskgrid.spec import DAILY, HOURLY
 from riskgrid.workload import binding as B
@@ -250,8 +251,6 @@ def widen_forecast(t):
     WHERE (rn - 1) % 5 = 0 OR rn = n"""
 )
 def every_fifth_date(t):
-    from pyspark.sql import Window
-
     dates = t.orders.select(F.to_date("o_orderdate").alias("Date")).distinct()
     # one row per calendar day, so the single ordered window is bounded by the calendar
     w = Window.orderBy("Date")
@@ -260,14 +259,10 @@ def every_fifth_date(t):
 
 
 @query(
-    f"""WITH {B.WEATHER}, {FORECASTS}, w8 AS (SELECT "City", CASE WHEN right("City", 1) = '3' THEN NULL ELSE 0.25 END AS weight FROM places_all), places_all AS (SELECT DISTINCT "City" FROM weather)
-    SELECT "City", "Date", round(a * coalesce(weight, 0) + b * (1 - coalesce(weight, 0)), 6) AS value FROM fc LEFT JOIN w8 USING ("City")"""
-    .replace("w8 AS (SELECT", "places_all AS (SELECT DISTINCT \"City\" FROM weather), w8 AS (SELECT", 1)
-    .replace(", places_all AS (SELECT DISTINCT \"City\" FROM weather)\n    SELECT", "\n    SELECT", 1)
+    f"""WITH {B.WEATHER}, {FORECASTS}, w8 AS (SELECT DISTINCT "City", CASE WHEN right("City", 1) = '3' THEN 0 ELSE 0.25 END AS weight FROM weather)
+    SELECT "City", "Date", round(a * weight + b * (1 - weight), 6) AS value FROM fc LEFT JOIN w8 USING ("City")"""
 )
 def weight_lookup_blend(t):
-    from riskgrid.operators.blend import apply_mix
-
     fc = naive_forecasts(t)
     weights = fc.select("City").distinct().filter(F.substring("City", -1, 1) != "3").withColumn("weight", F.lit(0.25))
     return B.round_all(apply_mix(fc, weights, ["City"]).select("City", "Date", "value"))

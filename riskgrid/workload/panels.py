@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from riskgrid.functions.calendar import hour_index
 from riskgrid.functions.risk import risk_tier
@@ -246,8 +246,6 @@ def window_fill_gaps_hourly(t):
     SELECT "City", "Date", round(mean, 6) AS month_mean, round(v - mean, 6) AS anomaly FROM m"""
 )
 def window_month_mean(t):
-    from pyspark.sql import Window
-
     base = B.weather_daily(t).select("City", "Date", "Temperature_C_mean")
     mean = F.avg("Temperature_C_mean").over(Window.partitionBy("City", F.month("Date")))
     out = base.select("City", "Date", mean.alias("month_mean"), (F.col("Temperature_C_mean") - mean).alias("anomaly"))
