@@ -33,9 +33,10 @@ def clip_physical(df: DataFrame, bounds: dict[str, tuple[float, float]] = FORECA
 def winsorise(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99, limits: DataFrame | None = None) -> DataFrame:
     """Clip at global percentiles, fitted here or passed in."""
     limits = fit_clip_limits(df, columns, low, high) if limits is None else limits
-    row = as_scalar_row(limits)
+    row = F.col("__limits")
     out = {c: clip(c, row.getField(f"{c}_low"), row.getField(f"{c}_high")) for c in columns}
-    return df.select(*[out[c].alias(c) if c in out else F.col(c) for c in df.columns])
+    with_row = df.select("*", as_scalar_row(limits).alias("__limits"))
+    return with_row.select(*[out[c].alias(c) if c in out else F.col(c) for c in df.columns])
 
 
 def impute_entity_median(df: DataFrame, columns: Sequence[str], entity: str = "City", medians: DataFrame | None = None) -> DataFrame:
@@ -121,7 +122,7 @@ def mask_label(label: str, daytime: str) -> Column:
 
 def estimate_extremes(df: DataFrame, spread: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Daily min and max from the mean and the fitted spread."""
-    row = as_scalar_row(spread)
+    row = F.col("__spread")
     use = [v for v in variables if f"{v}_mean" in df.columns]
     new = [
         e
@@ -132,7 +133,7 @@ def estimate_extremes(df: DataFrame, spread: DataFrame, variables: Sequence[str]
         )
     ]
     made = {f"{v}_{s}" for v in use for s in ("max", "min")}
-    return df.select(*[c for c in df.columns if c not in made], *new)
+    return df.select("*", as_scalar_row(spread).alias("__spread")).select(*[c for c in df.columns if c not in made], *new)
 
 
 def hour_proxies() -> list[Column]:

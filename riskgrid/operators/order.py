@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from riskgrid.session import cut_lineage
+
 FANOUT = 1024
 ROWS_PER_SLOT = 50_000
 
@@ -96,7 +98,8 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str]
     g = list(groups)
     wide = df.select(*g, *[F.col(c).cast("double").alias(c) for c in columns])
     long = wide.unpivot(g, list(columns), "variable", "value").filter(F.col("value").isNotNull())
-    counts = long.groupBy(*g, "variable", "value").agg(F.count(F.lit(1)).alias("n"))
+    # the compact value table is read several times below; materialised, its input is evaluated once
+    counts = cut_lineage(long.groupBy(*g, "variable", "value").agg(F.count(F.lit(1)).alias("n")))
     placed = running_by_value(counts, [*g, "variable"], "value", ["n"])
     first, end, rows = F.col("before_n"), F.col("before_n") + F.col("n"), F.col("total_n") - 1
 
@@ -134,8 +137,3 @@ def bounded_quantiles(df: DataFrame, groups: Sequence[str], columns: Sequence[st
     )
     return wide.select(*g, F.inline(rows))
 
-
-def value_table(quantiles: DataFrame, groups: Sequence[str], columns: Sequence[str], q: str = "q0", suffix: str = "") -> DataFrame:
-    """Turn the long quantile table into one row per group with a column per variable."""
-    cells = [F.max(F.when(F.col("variable") == c, F.col(q))).alias(f"{c}{suffix}") for c in columns]
-    return quantiles.groupBy(*groups).agg(*cells)

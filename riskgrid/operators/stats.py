@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from riskgrid.functions.nulls import flag, ratio
-from riskgrid.operators.order import bounded_quantiles, exact_quantiles, value_table
+from riskgrid.operators.order import bounded_quantiles, exact_quantiles
+from riskgrid.session import fixed_rows
 
 
 # ---------------------------------------------------------------- shape helpers
@@ -299,7 +300,8 @@ def fit_thresholds(
     if scope:
         return df.groupBy(*scope).agg(*[F.percentile(F.col(c), F.lit(p)).alias(n) for c, p, n in wanted])
     q = exact_quantiles(df, [], [c for c, _, _ in wanted], [p for _, p, _ in wanted])
-    return q.agg(*[F.max(F.when(F.col("variable") == c, F.col(f"q{i}"))).alias(n) for i, (c, _, n) in enumerate(wanted)])
+    row = q.agg(*[F.max(F.when(F.col("variable") == c, F.col(f"q{i}"))).alias(n) for i, (c, _, n) in enumerate(wanted)])
+    return fixed_rows(row)
 
 
 def fit_monthly_means(df: DataFrame, columns: Sequence[str], entity: str = "City", month: str = "Month") -> DataFrame:
@@ -312,10 +314,9 @@ def fit_medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("Cit
 
 def fit_clip_limits(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Global percentiles of every column as one row (``<c>_low``, ``<c>_high``)."""
-    q = exact_quantiles(df, [], columns, (low, high)).withColumn("__g", F.lit(1))
-    lows = value_table(q, ["__g"], columns, "q0", "_low")
-    highs = value_table(q, ["__g"], columns, "q1", "_high")
-    return lows.join(highs, "__g").drop("__g")
+    q = exact_quantiles(df, [], columns, (low, high))
+    cell = lambda c, k: F.max(F.when(F.col("variable") == c, F.col(k)))
+    return fixed_rows(q.agg(*[cell(c, k).alias(f"{c}{s}") for c in columns for k, s in (("q0", "_low"), ("q1", "_high"))]))
 
 
 def fit_spread(df: DataFrame, variables: Sequence[str]) -> DataFrame:

@@ -19,6 +19,7 @@ from riskgrid.operators import joins as J
 from riskgrid.operators import panel as P
 from riskgrid.operators.clean import default_history, estimate_extremes, fill_zero, hour_proxies, impute_entity_median, one_hot, repair_features, winsorise
 from riskgrid.operators.stats import as_scalar_row, fit_medians, fit_monthly_means, fit_spread, fit_thresholds
+from riskgrid.session import cut_lineage
 from riskgrid.spec import (
     DAILY, DAILY_WEATHER, EVENT_WINDOWS, HOURLY, LABEL, LAGS_DAILY, LAGS_HOURLY, ROLLS_DAILY, ROLLS_HOURLY, STATIC_COLUMNS, Panel,
 )
@@ -53,13 +54,16 @@ def fit_statistics(history: DataFrame, panel: Panel = DAILY, per_entity: bool =
     )
 
 
-def attach_fitted(df: DataFrame, fitted: Fitted, panel: Panel) -> tuple[DataFrame, tuple[Column, Column, Column]]:
-    """Join the fitted tables; returns the frame and the three threshold columns."""
+LIMITS = ("hot", "dry", "windy")
+
+
+def attach_fitted(df: DataFrame, fitted: Fitted, panel: Panel) -> DataFrame:
+    """Add the monthly means and the three limits to every row."""
     out = df.join(fitted.monthly, [panel.entity, "Month"], "left")
     if fitted.per_entity:
-        return out.join(fitted.thresholds, panel.entity, "left"), tuple(F.col(c) for c in ("hot", "dry", "windy"))
-    row = as_scalar_row(fitted.thresholds)
-    return out, tuple(row.getField(c) for c in ("hot", "dry", "windy"))
+        return out.join(fitted.thresholds, panel.entity, "left")
+    out = out.select("*", as_scalar_row(fitted.thresholds).alias("__limits"))
+    return out.select("*", *[F.col("__limits").getField(c).alias(c) for c in LIMITS]).drop("__limits")
 
 
 def add_fire_weather(df: DataFrame, panel: Panel = DAILY, also: Sequence[P.Builder] = (), lookback: int = 30) -> DataFrame:
@@ -83,9 +87,7 @@ def add_fire_weather(df: DataFrame, panel: Panel = DAILY, also: Sequence[P.Build
 
 def add_weather_features(df: DataFrame, fitted: Fitted, panel: Panel = DAILY, also: Sequence[P.Builder] = (), lookback: int = 30) -> DataFrame:
     """Fire weather, vapour pressure, dew point, heat index, deficit, streak, flags, interactions, anomalies."""
-    out, limits = attach_fitted(df, fitted, panel)
-    limit_names = ("__hot", "__dry", "__windy")
-    out = out.withColumns(dict(zip(limit_names, limits)))
+    out = attach_fitted(df, fitted, panel)
     out = add_fire_weather(out, panel, [P.trailing_sum(R, 30, "Rain_roll30_sum"), *also], lookback)
     out = P.dry_streak(out, panel, R)
     anomalies = [
@@ -99,12 +101,12 @@ def add_weather_features(df: DataFrame, fitted: Fitted, panel: Panel = DAILY, al
         I.dew_point(T, H).alias("Dew_Point_C"),
         I.heat_index(T, H).alias("Heat_Index"),
         (F.col(f"{R}{_MONTH_MEAN}") * 30 - F.coalesce("Rain_roll30_sum", F.lit(0.0))).alias("Rainfall_Deficit"),
-        *I.extreme_flags(T, H, W, "dry_days_streak", *[F.col(c) for c in limit_names]),
+        *I.extreme_flags(T, H, W, "dry_days_streak", *[F.col(c) for c in LIMITS]),
         *I.interactions(T, H, W, "dry_days_streak"),
         *anomalies,
     )
     fitted_columns = [c for c in fitted.monthly.columns if c.endswith(_MONTH_MEAN)]
-    return out.drop(*limit_names, *fitted_columns, *(("hot", "dry", "windy") if fitted.per_entity else ()))
+    return out.drop(*LIMITS, *fitted_columns)
 
 
 def add_vegetation_terms(df: DataFrame) -> DataFrame:
@@ -136,7 +138,8 @@ def engineer_daily(
     ``day_extras`` are hour-based day features, ``residuals`` seasonal
     predictions and residuals, both keyed by entity and day.
     """
-    clean = P.keep_one(master, panel.key, [F.hash(*master.columns)])
+    # fits and features below all read the panel, so it is materialised once
+    clean = cut_lineage(P.keep_one(master, panel.key, [F.hash(*master.columns)]))
     if winsor:
         clean = winsorise(clean, list(winsor))
     clean = impute_entity_median(clean, [c for c in numeric_columns(clean) if c not in (LABEL, "fire_count")], panel.entity)

@@ -37,3 +37,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fixed_rows(df: DataFrame) -> DataFrame:
+    """Evaluate a frame of a few fitted rows now and carry it on as constants.
+
+    Only for results whose size does not grow with the data (one row of limits).
+    """
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
