@@ -1,3 +1,3 @@
 """Queries over the driver tables."""
 
-MODULES = ("panels", "columns", "joining", "statistics", "evaluation", "jobs", "publication")
+MODULES = ("panels", "columns", "joining", "statistics", "evaluation", "jobs", "publication", "modelling")
