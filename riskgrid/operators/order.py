@@ -13,8 +13,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from riskgrid.session import cut_lineage
-
 FANOUT = 1024
 ROWS_PER_SLOT = 50_000
 
@@ -90,34 +88,69 @@ def running_by_value(
     )
 
 
-def exact_quantiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+def _narrow(rows: DataFrame, found: DataFrame, keys: list[str], level: int, fanout: int, probabilities: Sequence[float]) -> tuple[DataFrame, DataFrame]:
+    """One refinement: histogram the rows of ``found`` ranges, keep the slots that hold a wanted rank.
+
+    ``found`` has keys, __lo, __hi, __before (rows of the group below the range)
+    and __n (rows of the group).  The histogram combines before the shuffle, so
+    values themselves are never moved.
+    """
+    slot = f"__s{level}"
+    dealt = rows.join(found, keys).withColumn(slot, _slot(F.col("value"), F.col("__lo"), F.col("__hi"), F.lit(fanout)))
+    counts = dealt.groupBy(*keys, slot).agg(
+        F.count(F.lit(1)).alias("__c"), F.min("value").alias("__a"), F.max("value").alias("__b"), F.max("__before").alias("__p"), F.max("__n").alias("__n")
+    )
+    w = Window.partitionBy(*keys).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("__p") + F.coalesce(F.sum("__c").over(w), F.lit(0))
+    placed = counts.select(*keys, slot, "__c", "__n", F.col("__a").alias("__lo"), F.col("__b").alias("__hi"), start.alias("__before"))
+    spots = [f(F.lit(float(p)) * (F.col("__n") - 1)) for p in probabilities for f in (F.floor, F.ceil)]
+    wanted = None
+    for spot in spots:
+        inside = (spot >= F.col("__before")) & (spot < F.col("__before") + F.col("__c"))
+        wanted = inside if wanted is None else wanted | inside
+    kept = placed.filter(wanted).drop("__c")
+    return dealt.drop("__lo", "__hi", "__before", "__n"), kept
+
+
+def exact_quantiles(
+    df: DataFrame, groups: Sequence[str], columns: Sequence[str], probabilities: Sequence[float], levels: int = 2, fanout: int = 2048
+) -> DataFrame:
     """Linear-interpolation quantiles of several columns for groups of any size.
 
+    Selection by repeated histograms: each pass over the input narrows every
+    wanted rank to a slot ``fanout`` times smaller, and only the values of the
+    last slots are shuffled and ordered.  Exact, whatever the distribution.
     Returns (groups, variable, q0, q1, ...) in the order of ``probabilities``.
     """
-    g = list(groups)
-    wide = df.select(*g, *[F.col(c).cast("double").alias(c) for c in columns])
-    long = wide.unpivot(g, list(columns), "variable", "value").filter(F.col("value").isNotNull())
-    # the compact value table is read several times below; materialised, its input is evaluated once
-    counts = cut_lineage(long.groupBy(*g, "variable", "value").agg(F.count(F.lit(1)).alias("n")))
-    placed = running_by_value(counts, [*g, "variable"], "value", ["n"])
-    first, end, rows = F.col("before_n"), F.col("before_n") + F.col("n"), F.col("total_n") - 1
-
-    def at(position: Column) -> Column:
-        return F.max(F.when((first <= position) & (position < end), F.col("value")))
-
+    keys = [*groups, "variable"]
+    wide = df.select(*groups, *[F.col(c).cast("double").alias(c) for c in columns])
+    rows = wide.unpivot(list(groups), list(columns), "variable", "value").filter(F.col("value").isNotNull())
+    found = rows.groupBy(*keys).agg(
+        F.min("value").alias("__lo"), F.max("value").alias("__hi"), F.lit(0).cast("bigint").alias("__before"), F.count(F.lit(1)).alias("__n")
+    )
+    at = list(keys)
+    for level in range(levels):
+        rows, found = _narrow(rows, found, at, level, fanout, probabilities)
+        at.append(f"__s{level}")
+    last = rows.join(found.select(*at, "__before", "__n"), at).groupBy(*at, "value").agg(
+        F.count(F.lit(1)).alias("__c"), F.max("__before").alias("__p"), F.max("__n").alias("__n")
+    )
+    w = Window.partitionBy(*at).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("__p") + F.coalesce(F.sum("__c").over(w), F.lit(0))
+    placed = last.select(*keys, "value", "__n", "__c", first.alias("__first"))
+    holds = lambda spot: F.max(F.when((F.col("__first") <= spot) & (spot < F.col("__first") + F.col("__c")), F.col("value")))
     picks = []
     for i, p in enumerate(probabilities):
-        spot = F.lit(float(p)) * rows
-        picks += [at(F.floor(spot)).alias(f"__a{i}"), at(F.ceil(spot)).alias(f"__b{i}")]
-    found = placed.groupBy(*g, "variable").agg(F.max("total_n").alias("__n"), *picks)
+        spot = F.lit(float(p)) * (F.col("__n") - 1)
+        picks += [holds(F.floor(spot)).alias(f"__a{i}"), holds(F.ceil(spot)).alias(f"__b{i}")]
+    result = placed.groupBy(*keys).agg(F.max("__n").alias("__n"), *picks)
 
     def between(i: int, p: float) -> Column:
         spot = F.lit(float(p)) * (F.col("__n") - 1)
         a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
         return (a + (b - a) * (spot - F.floor(spot))).alias(f"q{i}")
 
-    return found.select(*g, "variable", *[between(i, p) for i, p in enumerate(probabilities)])
+    return result.select(*keys, *[between(i, p) for i, p in enumerate(probabilities)])
 
 
 def bounded_quantiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:

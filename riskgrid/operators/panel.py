@@ -111,8 +111,7 @@ def row_features(df: DataFrame, panel: Panel, builders: Sequence[Builder], lookb
     to the next block, where it only serves as history.
     """
     if panel.chunk is None:
-        w = panel.window()
-        return df.select("*", *[c for b in builders for c in b(w)])
+        return _built(df, builders, panel.window(), df.columns)
     block_rows = max(block_rows, lookback)
     position = F.pmod(F.col(_N) - 1, F.lit(block_rows))
     home = F.floor((F.col(_N) - 1) / block_rows)
@@ -130,9 +129,11 @@ def row_features(df: DataFrame, panel: Panel, builders: Sequence[Builder], lookb
         .withColumn(_OWN, F.col(_BLOCK) == F.col("__home"))
     )
     w = Window.partitionBy(panel.entity, _BLOCK).orderBy(_N)
-    columns = [c for b in builders for c in b(w)]
-    out = spread.select(*df.columns, _OWN, *columns).filter(F.col(_OWN))
-    return out.drop(_OWN)
+    return _built(spread, builders, w, [*df.columns, _OWN]).filter(F.col(_OWN)).drop(_OWN)
+
+
+def _built(df: DataFrame, builders: Sequence[Builder], w: WindowSpec, keep: Sequence[str]) -> DataFrame:
+    return df.select(*keep, *[c for b in builders for c in b(w)])
 
 
 def lags(variables: Sequence[str], steps: Sequence[int], unit: str = "") -> Builder:
@@ -147,9 +148,9 @@ def rolls(variables: Sequence[str], widths: Sequence[int], full_only: bool = Fal
 
     def build(w: WindowSpec) -> list[Column]:
         out = []
-        for v in variables:
-            for n in widths:
-                frame = w.rowsBetween(-n, -1)
+        for n in widths:
+            frame = w.rowsBetween(-n, -1)
+            for v in variables:
                 mean, sd = F.avg(v).over(frame), F.stddev_samp(v).over(frame)
                 if full_only:
                     complete = F.count(v).over(frame) == n

@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from riskgrid.functions.nulls import flag, ratio
 from riskgrid.operators.order import bounded_quantiles, exact_quantiles
-from riskgrid.session import fixed_rows
+from riskgrid.session import cut_lineage, fixed_rows
 
 
 # ---------------------------------------------------------------- shape helpers
@@ -292,6 +292,25 @@ def linear_trend(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataF
 # ------------------------------------------------------------- fitted statistics
 
 
+SMALL_PANEL = 2_000_000
+
+
+def fit_global_quantiles(df: DataFrame, wanted: Sequence[tuple[str, float, str]], small: int = SMALL_PANEL) -> DataFrame:
+    """Exact quantiles over all rows as one row of constants; ``wanted`` lists (column, probability, name).
+
+    The columns are materialised once.  Up to ``small`` rows one ``percentile``
+    aggregate answers; beyond that its state could outgrow a task, and the
+    histogram selection takes over.
+    """
+    columns = list(dict.fromkeys(c for c, _, _ in wanted))
+    values = cut_lineage(df.select(*columns))
+    if values.count() <= small:
+        return fixed_rows(values.agg(*[F.percentile(F.col(c), F.lit(p)).alias(n) for c, p, n in wanted]))
+    q = exact_quantiles(values, [], columns, [p for _, p, _ in wanted])
+    cell = lambda i, c: F.max(F.when(F.col("variable") == c, F.col(f"q{i}")))
+    return fixed_rows(q.agg(*[cell(i, c).alias(n) for i, (c, _, n) in enumerate(wanted)]))
+
+
 def fit_thresholds(
     df: DataFrame, temp: str, humidity: str, wind: str, scope: Sequence[str] = (), hot: float = 0.95, dry: float = 0.10, windy: float = 0.90
 ) -> DataFrame:
@@ -299,9 +318,7 @@ def fit_thresholds(
     wanted = ((temp, hot, "hot"), (humidity, dry, "dry"), (wind, windy, "windy"))
     if scope:
         return df.groupBy(*scope).agg(*[F.percentile(F.col(c), F.lit(p)).alias(n) for c, p, n in wanted])
-    q = exact_quantiles(df, [], [c for c, _, _ in wanted], [p for _, p, _ in wanted])
-    row = q.agg(*[F.max(F.when(F.col("variable") == c, F.col(f"q{i}"))).alias(n) for i, (c, _, n) in enumerate(wanted)])
-    return fixed_rows(row)
+    return fit_global_quantiles(df, wanted)
 
 
 def fit_monthly_means(df: DataFrame, columns: Sequence[str], entity: str = "City", month: str = "Month") -> DataFrame:
@@ -314,9 +331,7 @@ def fit_medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("Cit
 
 def fit_clip_limits(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Global percentiles of every column as one row (``<c>_low``, ``<c>_high``)."""
-    q = exact_quantiles(df, [], columns, (low, high))
-    cell = lambda c, k: F.max(F.when(F.col("variable") == c, F.col(k)))
-    return fixed_rows(q.agg(*[cell(c, k).alias(f"{c}{s}") for c in columns for k, s in (("q0", "_low"), ("q1", "_high"))]))
+    return fit_global_quantiles(df, [(c, p, f"{c}{s}") for c in columns for p, s in ((low, "_low"), (high, "_high"))])
 
 
 def fit_spread(df: DataFrame, variables: Sequence[str]) -> DataFrame:
