@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskgrid.functions.nulls import ratio
 from riskgrid.functions.risk import recall_score_mix
+from riskgrid.session import fixed_rows
 
 
 def role_weights(report: DataFrame, model: str = "model") -> DataFrame:
     """Role and normalised weight of each model from its recall, precision and average precision.
 
-    One row per model in and out, so the medians are over a handful of rows.
+    One row per model in and out: the report is evaluated once and carried on as constants.
     """
+    report = fixed_rows(report.select(model, "recall", "precision", "pr_auc"))
     medians = report.agg(F.struct(F.median("recall").alias("r"), F.median("precision").alias("p")).alias("m")).scalar()
     r, p = F.col("recall"), F.col("precision")
     mr, mp = medians.getField("r"), medians.getField("p")
@@ -32,7 +34,8 @@ def role_blend(scores: DataFrame, weights: DataFrame, key: Sequence[str], model:
 
     ``scores`` is long: one row per key and model.  Partial sums combine before the shuffle.
     """
-    joined = scores.join(weights.select(model, "role", "weight"), model)
+    # one row per model: a handful by construction, and a shuffle on the model would gather all scores in as many tasks
+    joined = scores.join(F.broadcast(weights.select(model, "role", "weight")), model)
     sums = joined.groupBy(*key).agg(
         F.sum(F.col("weight") * F.col(p)).alias("mean"),
         F.count_if(F.col(p) > 0.15).alias("votes"),
@@ -48,7 +51,8 @@ def role_blend(scores: DataFrame, weights: DataFrame, key: Sequence[str], model:
 
 def soft_vote(scores: DataFrame, key: Sequence[str], members: DataFrame | None = None, model: str = "model", p: str = "p") -> DataFrame:
     """Mean score per key over all models or over those listed in ``members``."""
-    use = scores if members is None else scores.join(members.select(model), model, "left_semi")
+    # members are at most one row per model
+    use = scores if members is None else scores.join(F.broadcast(members.select(model)), model, "left_semi")
     return use.groupBy(*key).agg(F.avg(p).alias("p"))
 
 

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from riskgrid.session import sized_side
+
 FANOUT = 1024
 ROWS_PER_SLOT = 50_000
 
@@ -108,8 +110,7 @@ def _narrow(rows: DataFrame, found: DataFrame, keys: list[str], level: int, fano
     for spot in spots:
         inside = (spot >= F.col("__before")) & (spot < F.col("__before") + F.col("__c"))
         wanted = inside if wanted is None else wanted | inside
-    kept = placed.filter(wanted).drop("__c")
-    return dealt.drop("__lo", "__hi", "__before", "__n"), kept
+    return dealt.drop("__lo", "__hi", "__before", "__n"), sized_side(placed.filter(wanted).drop("__c"))
 
 
 def exact_quantiles(
@@ -125,8 +126,11 @@ def exact_quantiles(
     keys = [*groups, "variable"]
     wide = df.select(*groups, *[F.col(c).cast("double").alias(c) for c in columns])
     rows = wide.unpivot(list(groups), list(columns), "variable", "value").filter(F.col("value").isNotNull())
-    found = rows.groupBy(*keys).agg(
-        F.min("value").alias("__lo"), F.max("value").alias("__hi"), F.lit(0).cast("bigint").alias("__before"), F.count(F.lit(1)).alias("__n")
+    # ranges are a few rows per group; materialised, every level is one pass over the input
+    found = sized_side(
+        rows.groupBy(*keys).agg(
+            F.min("value").alias("__lo"), F.max("value").alias("__hi"), F.lit(0).cast("bigint").alias("__before"), F.count(F.lit(1)).alias("__n")
+        )
     )
     at = list(keys)
     for level in range(levels):

@@ -156,7 +156,7 @@ def keep_calibration(raw: DataFrame, calibrated: DataFrame) -> DataFrame:
 def three_way_report(scores: DataFrame, select_on: str = "val") -> DataFrame:
     """Threshold per model from one split, then the full report on every split."""
     chosen = E.pick_threshold(E.sweep(scores.filter(F.col("split") == select_on), ["model"], GRID_PIPELINE), ["model"])
-    joined = scores.join(chosen.select("model", "threshold"), "model")
+    joined = scores.join(F.broadcast(chosen.select("model", "threshold")), "model")  # one row per model
     return E.model_report(joined, ["model", "split", "threshold"], F.col("p") >= F.col("threshold"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(app: str = "riskgrid", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,3 +47,13 @@ def fixed_rows(df: DataFrame) -> DataFrame:
     Only for results whose size does not grow with the data (one row of limits).
     """
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def sized_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Materialise a join side and count it; hint a broadcast only up to ``max_rows``.
+
+    Beyond the limit the side stays a plain frame, joined by shuffle with
+    adaptive skew handling.
+    """
+    done = cut_lineage(df)
+    return F.broadcast(done) if done.count() <= max_rows else done

@@ -151,7 +151,7 @@ def tradeoff_verified_on_test(t):
     """Threshold chosen on validation rows, counted on test rows, with its sentence."""
     rows = B.scores(t)
     chosen = E.pick_tradeoff(E.tradeoff_table(rows.filter("split = 'val'"), ["model"]), ["model"]).select("model", "threshold")
-    test = rows.filter("split = 'test'").join(chosen, "model")
+    test = rows.filter("split = 'test'").join(F.broadcast(chosen), "model")  # one row per model
     out = E.rates(E.count_outcomes(test, ["model", "threshold"], F.col("p") >= F.col("threshold")))
     note = E.threshold_note(*[F.col(c) for c in ("threshold", "recall", "precision", "fn", "fp")])
     return B.round_all(out.withColumn("note", note).drop("f1", "f2", "accuracy"), keep=("threshold",))
