@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskgrid.functions.nulls import clip, numeric_columns, present, ratio
+from riskgrid.functions.nulls import clip, numeric_columns, present
 from riskgrid.operators.stats import as_scalar_row, fit_clip_limits, fit_medians
 from riskgrid.spec import FORECAST_BOUNDS, NON_FEATURES
 
@@ -172,6 +172,3 @@ def default_history(df: DataFrame) -> DataFrame:
     rest = [c for c in df.columns if c not in HISTORY_DEFAULTS]
     return df.select(*rest, *[value(c, d) for c, d in HISTORY_DEFAULTS.items()])
 
-
-def share(part: Column, whole: Column) -> Column:
-    return ratio(part, whole)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from riskgrid.functions.nulls import flag, ratio
+from riskgrid.functions.nulls import ratio
 from riskgrid.operators.order import bounded_quantiles, exact_quantiles
 from riskgrid.session import cut_lineage, fixed_rows
 
@@ -388,16 +388,9 @@ def lagging_entities(df: DataFrame, entity: str, date: str, target: Column) -> D
 def feature_coverage(df: DataFrame, expected: Sequence[str]) -> DataFrame:
     """For each expected column: present in the schema, and non-zero anywhere."""
     have = [c for c in expected if c in df.columns]
-    filled = per_variable(df, [], have, lambda c: {"non_zero": F.coalesce(F.max(F.abs(c)) > 0, F.lit(False))})
-    absent = [c for c in expected if c not in df.columns]
-    rows = F.array(*[F.struct(F.lit(c).alias("variable"), F.lit(c in have).alias("matched")) for c in expected])
-    names = filled.limit(1).select(F.inline(rows)) if have else df.sparkSession.createDataFrame(
-        [(c, False) for c in absent], "variable string, matched boolean"
-    )
+    names = df.sparkSession.createDataFrame([(c, c in have) for c in expected], "variable string, matched boolean")
     if not have:
         return names.withColumn("non_zero", F.lit(False))
+    filled = per_variable(df, [], have, lambda c: {"non_zero": F.coalesce(F.max(F.abs(c)) > 0, F.lit(False))})
     return names.join(filled, "variable", "left").fillna({"non_zero": False})
 
-
-def event_flag_share(df: DataFrame, condition: Column, name: str) -> DataFrame:
-    return df.agg(F.avg(flag(condition)).alias(name))

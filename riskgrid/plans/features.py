@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskgrid.functions import indices as I
 from riskgrid.functions.calendar import DATE_PART_NAMES, HOUR_PART_NAMES, add_date_parts, add_hour_parts
-from riskgrid.functions.nulls import clip, flag, numeric_columns, present
+from riskgrid.functions.nulls import clip, numeric_columns, present
 from riskgrid.operators import joins as J
 from riskgrid.operators import panel as P
 from riskgrid.operators.clean import default_history, estimate_extremes, fill_zero, hour_proxies, impute_entity_median, one_hot, repair_features, winsorise
@@ -297,6 +297,3 @@ def refresh_features(daily: DataFrame, geography: DataFrame | None = None, panel
         out = J.attach(out, geography, [panel.entity])
     return default_history(add_vegetation_terms(out))
 
-
-def daytime_flag(hour: str = "Hour", day_from: int = 6, day_to: int = 20) -> Column:
-    return flag(F.col(hour).between(day_from, day_to))

@@ -91,10 +91,14 @@ def weighted(train: DataFrame, cap: float = 20.0) -> DataFrame:
     return train.withColumn("w", F.when(F.col("y") == 1, ratio).otherwise(F.lit(1.0)))
 
 
-def balanced_sample(train: DataFrame, seed: int = SEED) -> DataFrame:
-    """All positive rows and as large a share of the negative ones (the balanced-forest input)."""
-    share = class_imbalance(train, "y", cap=float("inf")).select((1 / F.greatest("pos_weight", F.lit(1.0))).alias("s")).scalar()
-    return train.filter((F.col("y") == 1) | (F.rand(seed) < share))
+def balanced_sample(ready: DataFrame) -> DataFrame:
+    """All positive rows and about as many negative ones (the balanced-forest input).
+
+    Rows are picked by the hash of their inputs, so a recomputed task picks the same ones.
+    """
+    share = class_imbalance(ready, "y", cap=float("inf")).select((1 / F.greatest("pos_weight", F.lit(1.0))).alias("s")).scalar()
+    draw = F.pmod(F.xxhash64(vector_to_array("features")), F.lit(1_000_000)) / 1_000_000
+    return ready.filter((F.col("y") == 1) | (draw < share))
 
 
 def fit_classifiers(train: DataFrame, columns: Sequence[str], names: Sequence[str], scale: float = 1.0) -> dict[str, PipelineModel]:
@@ -113,10 +117,23 @@ def fit_classifiers(train: DataFrame, columns: Sequence[str], names: Sequence[st
 
 
 def score(models: dict[str, PipelineModel], df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Long score table: kept columns, model, p."""
-    parts = None
+    """Long score table: kept columns, model, p.
+
+    Models fitted on the same preparation are applied side by side to one
+    prepared frame, so the data is read once per preparation, not per model.
+    """
+    shared: dict[tuple, list[str]] = {}
     for name, model in models.items():
-        one = model.transform(df).select(*keep, F.lit(name).alias("model"), vector_to_array("probability")[1].alias("p"))
+        shared.setdefault(tuple(stage.uid for stage in model.stages[:-1]), []).append(name)
+    parts = None
+    for names in shared.values():
+        wide = PipelineModel(stages=models[names[0]].stages[:-1]).transform(df).select(*keep, "features")
+        for i, name in enumerate(names):
+            last = models[name].stages[-1].copy()
+            last.setProbabilityCol(f"__p{i}").setRawPredictionCol(f"__r{i}").setPredictionCol(f"__y{i}")
+            wide = last.transform(wide)
+        columns = [vector_to_array(f"__p{i}")[1].alias(name) for i, name in enumerate(names)]
+        one = wide.select(*keep, *columns).unpivot(list(keep), names, "model", "p")
         parts = one if parts is None else parts.unionByName(one)
     return parts
 
