@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,8 +16,6 @@ def build_session(app: str = "riskgrid", master: str | None = None, **conf: str)
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        # window work is heavy per byte, so small shuffle partitions are worth keeping apart
-        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         **conf,
@@ -27,12 +26,20 @@ def build_session(app: str = "riskgrid", master: str | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; a local temporary one only where none is set."""
+    """Use the shared folder that the session names in ``spark.checkpoint.dir``.
+
+    Where none is named, a session that runs in one process (as in tests) gets a temporary folder; on a cluster that
+    folder would be another one on each machine, so there the setting is demanded.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="riskgrid-checkpoint-"))
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="riskgrid-checkpoint-")
+    context.setCheckpointDir(named)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
