@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskgrid.llm.feistel import shard
+from riskgrid.llm.language import identify, learn
 from riskgrid.llm.mixing import mix
 from riskgrid.llm.packing import pack
-from riskgrid.llm.shared import table
+from riskgrid.llm.quality import score, train
+from riskgrid.llm.shared import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,3 +46,17 @@ def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_feistel_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard(table(spark, folder, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@query()
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = learn(docs.where(remainder("doc_id", 5) != 0))
+    return identify(docs, model).withColumn("held_out", remainder("doc_id", 5) == 0).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query()
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    machine = train(docs, table(spark, folder, "labels").where(remainder("doc_id", 3) != 1))
+    return score(docs, machine).withColumn("held_out", remainder("doc_id", 3) == 1).select("doc_id", "held_out", "score", "predicted")
