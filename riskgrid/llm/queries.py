@@ -13,6 +13,7 @@ from riskgrid.llm.packing import pack
 from riskgrid.llm.pigeonhole import near_duplicates
 from riskgrid.llm.quality import score, train
 from riskgrid.llm.shared import remainder, table
+from riskgrid.llm.substrings import drop_repeated_windows
 from riskgrid.llm.voronoi import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +95,18 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM best WHERE ra
 """)
 def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0).withColumnRenamed("id", "vec_id")
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35),
+windows AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 34], ' ')) AS h FROM starts),
+twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM windows SEMI JOIN twice USING (h)),
+each AS (SELECT doc_id, words[i] AS word, i FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+""")
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return drop_repeated_windows(table(spark, folder, "documents")).select(F.col("doc").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
