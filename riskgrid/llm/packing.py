@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+import types
 import zlib
 
 import numpy as np
@@ -14,7 +15,13 @@ from riskgrid.llm.shared import ranked, ship, text_bytes
 from riskgrid.session import cut_lineage
 
 #: Encoded text at a time, in bytes, and words remembered per task: both bound memory, neither changes a result.
-SLICE, REMEMBERED = 2_000_000, 300_000
+SLICE, REMEMBERED = 2_000_000, 500_000
+
+
+def per_process(key: tuple, make):
+    """What ``make`` returns, once for each Python worker process, which runs many tasks."""
+    held = sys.modules.setdefault("_riskgrid_llm_process", types.ModuleType("_riskgrid_llm_process")).__dict__
+    return held[key] if key in held else held.setdefault(key, make())
 
 
 class WordIds:
@@ -90,7 +97,7 @@ def slices(texts: list[bytes], most: int = SLICE):
 
 def _cut(path: str, capacity: int, end_id: int, schema: pa.Schema):
     def run(batches):
-        words, end = WordIds(path), int(end_id).to_bytes(4, "little")
+        words, end = per_process(("WordIds", path), lambda: WordIds(path)), int(end_id).to_bytes(4, "little")
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in slices(texts):
