@@ -14,6 +14,7 @@ from riskgrid.llm.pigeonhole import near_duplicates
 from riskgrid.llm.quality import score, train
 from riskgrid.llm.shared import remainder, table
 from riskgrid.llm.substrings import drop_repeated_windows
+from riskgrid.llm.toccurrence import similar_sets
 from riskgrid.llm.voronoi import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +111,22 @@ FROM w LEFT JOIN kept USING (doc_id)
 """)
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return drop_repeated_windows(table(spark, folder, "documents")).select(F.col("doc").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+@query(r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 2], ' ') AS s
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM w WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c.n >= 90 * (x.n + y.n - c.n)),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM documents UNION SELECT l.b, reach.r FROM reach JOIN links l ON l.a = reach.id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT id, min(r) AS component_id FROM reach GROUP BY id) ON id = d.doc_id
+""")
+def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = similar_sets(table(spark, folder, "documents"), length=3, percent=90)
+    return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
