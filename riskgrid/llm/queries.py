@@ -14,6 +14,7 @@ from riskgrid.llm.pigeonhole import near_duplicates
 from riskgrid.llm.quality import score, train
 from riskgrid.llm.shared import remainder, table
 from riskgrid.llm.substrings import drop_repeated_windows
+from riskgrid.llm.suffixes import drop_repeats
 from riskgrid.llm.toccurrence import similar_sets
 from riskgrid.llm.voronoi import top_k
 
@@ -130,3 +131,26 @@ FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT id, min(r) AS compo
 def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     found = similar_sets(table(spark, folder, "documents"), length=3, percent=90)
     return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@query("""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+places AS (SELECT doc_id, x, unnest(range(CAST(len(x) // 2 - 99 AS BIGINT))) AS i FROM b WHERE len(x) >= 200),
+windows AS (SELECT doc_id, i, md5(substring(x, CAST(2 * i + 1 AS BIGINT), 200)) AS h FROM places),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1),
+marked AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS new FROM later),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM marked),
+spans AS (SELECT doc_id, k, min(i) AS a, max(i) + 100 AS z FROM numbered GROUP BY doc_id, k),
+ends AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+kept AS (
+  SELECT e.doc_id, string_agg(substring(x, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS head,
+    max(z) AS tail, sum(z - a) AS removed, count(*) AS n
+  FROM ends e JOIN b ON b.doc_id = e.doc_id GROUP BY e.doc_id)
+SELECT b.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN x ELSE head || substring(x, CAST(2 * tail + 1 AS BIGINT)) END)) AS kept_sha256
+FROM b LEFT JOIN kept ON kept.doc_id = b.doc_id
+""")
+def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = drop_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select(F.col("doc").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

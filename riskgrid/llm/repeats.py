@@ -19,8 +19,6 @@ Entries = tuple[np.ndarray, np.ndarray, np.ndarray]  #: documents, places, hashe
 
 #: Entries that a task holds at a time (bounds memory only).
 LOAD = 1_500_000
-#: A hash that reaches its bucket more often than this is frequent; each doubling is one level more.
-FREQUENT = 256
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -109,29 +107,30 @@ def loads(parts: Iterator[Entries], load: int = LOAD) -> Iterator[Entries]:
         yield tuple(np.concatenate(x) for x in zip(*held))
 
 
+SPREAD = pa.schema([("bucket", pa.int32()), ("hash", pa.binary()), ("doc", pa.binary()), ("place", pa.binary()), ("count", pa.binary())])
+REPEATED = pa.schema([("doc", pa.int64()), ("places", pa.binary()), ("hot", pa.binary())])
+
+
 def _spread(make: Callable[[Iterator[pa.RecordBatch]], Iterator[Entries]], buckets: int, load: int):
     def run(batches):
         for number, (doc, place, h) in enumerate(loads(make(batches), load)):
             order = np.argsort(h, kind="stable")
             starts, lengths = runs(h[order])
-            many = np.zeros(len(h), bool)
-            many[order] = np.repeat(lengths > 1, lengths)
-            first = np.zeros(len(h), bool)
-            first[order[starts]] = True
-            sent = np.flatnonzero(first)
-            rows = [(b, h[i].tobytes(), steps(doc[i]), narrow(place[i]), np.packbits(many[i]).tobytes()) for b, pick in by_bucket(h[sent], buckets) for i in [sent[pick]]]
-            known = np.flatnonzero(many & ~first)
+            count = np.zeros(len(h), np.int64)
+            count[order[starts]] = lengths  # of the first entry with a hash; the others have 0
+            repeats = np.ones(len(h), bool)
+            repeats[order] = np.repeat(lengths > 1, lengths)
+            sent = np.flatnonzero(count)
+            rows = [(b, h[i].tobytes(), steps(doc[i]), narrow(place[i]), narrow(count[i])) for b, pick in by_bucket(h[sent], buckets) for i in [sent[pick]]]
+            known = np.flatnonzero(repeats & (count == 0))
             # repeats within the load are settled here; they only pass through a bucket
             if len(known):
                 rows.append((number % buckets, b"", steps(doc[known]), narrow(place[known]), b""))
-            yield pa.RecordBatch.from_pydict(dict(zip(("bucket", "hash", "doc", "place", "many"), ([r[k] for r in rows] for k in range(5)))), schema=SPREAD)
+            yield pa.RecordBatch.from_pydict(dict(zip(SPREAD.names, zip(*rows))), schema=SPREAD)
 
     return run
 
 
-SPREAD = pa.schema([("bucket", pa.int32()), ("hash", pa.binary()), ("doc", pa.binary()), ("place", pa.binary()), ("many", pa.binary())])
-
-
 def per_document(doc: np.ndarray, *values: np.ndarray) -> dict[str, list]:
     """One row per document with the packed values of its entries."""
     order = np.lexsort((values[0], doc))
@@ -140,46 +139,42 @@ def per_document(doc: np.ndarray, *values: np.ndarray) -> dict[str, list]:
     return {"doc": doc[starts].tolist(), **{f"v{k}": [narrow(v[a : a + n]) for a, n in zip(starts, lengths)] for k, v in enumerate(values)}}
 
 
-def _settle(blobs):
-    docs, places, hashes, many, done = [], [], [], [], []
-    for h, d, p, m in zip(*[blobs.column(c).to_pylist() for c in ("hash", "doc", "place", "many")]):
-        d, p = unsteps(d), wide(p)
-        if h:
-            docs.append(d), places.append(p), hashes.append(np.frombuffer(h, np.uint64))
-            many.append(np.unpackbits(np.frombuffer(m, np.uint8), count=len(d)).astype(bool))
-        else:
-            done.append((d, p))
-    out_doc, out_place, level = [d for d, _ in done], [p for _, p in done], [np.zeros(len(d), np.int64) for d, _ in done]
-    if docs:
-        doc, place, h, known = (np.concatenate(x) for x in (docs, places, hashes, many))
-        order = np.argsort(h, kind="stable")
-        _, lengths = runs(h[order])
-        size = np.empty(len(h), np.int64)
-        size[order] = np.repeat(lengths, lengths)
-        keep = (size > 1) | known
-        out_doc.append(doc[keep]), out_place.append(place[keep])
-        level.append(np.ceil(np.log2(np.maximum(size[keep] / FREQUENT, 1))).astype(np.int64))
-    if not out_doc or not sum(map(len, out_doc)):
-        return REPEATED.empty_table()
-    rows = per_document(np.concatenate(out_doc), np.concatenate(out_place), np.concatenate(level))
-    return pa.Table.from_pydict({"doc": rows["doc"], "places": rows["v0"], "levels": rows["v1"]}, schema=REPEATED)
-
-
-REPEATED = pa.schema([("doc", pa.int64()), ("places", pa.binary()), ("levels", pa.binary())])
+def _settle(frequent: int | None):
+    def run(blobs):
+        docs, places, hashes, counts, out_doc, out_place, hot = [], [], [], [], [], [], []
+        for h, d, p, c in zip(*[blobs.column(c).to_pylist() for c in ("hash", "doc", "place", "count")]):
+            if h:
+                docs.append(unsteps(d)), places.append(wide(p)), hashes.append(np.frombuffer(h, np.uint64)), counts.append(wide(c))
+            else:
+                out_doc.append(unsteps(d)), out_place.append(wide(p))
+        if docs:
+            doc, place, h, count = (np.concatenate(x) for x in (docs, places, hashes, counts))
+            order = np.argsort(h, kind="stable")
+            starts, lengths = runs(h[order])
+            total = np.add.reduceat(count[order], starts)
+            keep = np.zeros(len(h), bool)
+            keep[order] = np.repeat(total > 1, lengths)
+            out_doc.append(doc[keep]), out_place.append(place[keep])
+            if frequent is not None and (often := total > frequent).any():
+                hot = [np.stack([h[order[starts[often]]], total[often].astype(np.uint64)], 1).tobytes()]
+        rows = per_document(np.concatenate(out_doc), np.concatenate(out_place)) if out_doc else {"doc": [], "v0": []}
+        return pa.Table.from_pydict({"doc": rows["doc"] + [None] * len(hot), "places": rows["v0"] + [None] * len(hot), "hot": [None] * len(rows["doc"]) + hot}, schema=REPEATED)
+
+    return run
 
 
 def bucket_count(documents: int) -> int:
     return max(64, documents // 2000)
 
 
-def repeated(texts: DataFrame, make: Callable, buckets: int, load: int = LOAD) -> DataFrame:
-    """Rows (doc, places, levels): where each document's entries are whose hash occurs more than once.
+def repeated(texts: DataFrame, make: Callable, buckets: int, load: int = LOAD, frequent: int | None = None) -> DataFrame:
+    """Rows (doc, places, hot): where each document's entries are whose hash occurs more than once.
 
     ``make`` turns batches of ``texts`` into entries. A document gets a row from each bucket that has something to tell.
-    The level is above 0 for a frequent hash; repeats within one load have level 0.
+    With ``frequent``, further rows without document list the hashes that occur more often, with their counts.
     """
-    spread = texts.mapInArrow(_spread(make, buckets, load), "bucket int, hash binary, doc binary, place binary, many binary")
-    return spread.groupBy("bucket").applyInArrow(_settle, "doc long, places binary, levels binary")
+    spread = texts.mapInArrow(_spread(make, buckets, load), "bucket int, hash binary, doc binary, place binary, count binary")
+    return spread.groupBy("bucket").applyInArrow(_settle(frequent), "doc long, places binary, hot binary")
 
 
 def gathered(rows: DataFrame, *columns: str) -> DataFrame:
