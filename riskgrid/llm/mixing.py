@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import heapq
+import itertools
+import re
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from riskgrid.llm.shared import WORD
+from riskgrid.llm.shared import WORD, ship
 from riskgrid.session import cut_lineage
 
 Sizes = dict[str | None, int]
+WORDS = re.compile(WORD)
 
 
 def targets(sizes: Sizes, weights: list[int], repeats: int) -> dict[str | None, Fraction]:
@@ -134,3 +138,33 @@ def _stream_places(facts: DataFrame, id_column: str, source_column: str, seed: i
     earlier = Window.partitionBy(source_column).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sums.select(F.col(source_column).alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
     return local.join(shifts, F.col(source_column).eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p"))).withColumn("_place", F.col("_in") + F.col("_shift")).drop("_s", "_p", "_shift", "_in", "_part", "_hash", "_crc")
+
+
+def _cut(batches):
+    for batch in batches:
+        texts = []
+        for text, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if words is not None:
+                ends = itertools.islice(WORDS.finditer(text), words - 1, None)
+                text = text[: next(ends).end()]
+            texts.append(text)
+        yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string())], names=[*batch.schema.names[2:], "_text"])
+
+
+def realised(docs: DataFrame, mixed: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The mix as rows of ``docs``: a row that takes n times its words comes n times, and once more cut to the rest.
+
+    Rows with nothing taken go. Rows that share an id all take what the least of them takes; null is an id of its own.
+    """
+    taken = mixed.groupBy(F.col(id_column).alias("_id")).agg(F.min(F.struct("taken", "size")).alias("_t")).where("_t.taken > 0")
+    both = docs.join(taken, F.col(id_column).eqNullSafe(F.col("_id")))
+    whole, rest = F.expr("cast(_t.taken div _t.size as int)"), F.expr("cast(_t.taken % _t.size as int)")
+    copies = F.concat(F.array_repeat(F.lit(None).cast("int"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    rows = both.select(*docs.columns, F.explode(copies).alias("_words"))
+    others = [c for c in docs.columns if c != text_column]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
+    cut = rows.select(text_column, "_words", *others).mapInArrow(_cut, f"{kinds}, _text string")
+    return cut.select(*[F.col("_text").alias(c) if c == text_column else F.col(c) for c in docs.columns])
+
+
+ship(__name__)

@@ -168,6 +168,23 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     return machine
 
 
+def _scores(shared):
+    """Scores of batches whose second column is the text and whose further columns are metadata."""
+    make, fitted = Features(), shared.value
+
+    def of(batch: pa.RecordBatch, metadata: int) -> np.ndarray:
+        texts = batch.column(1).to_pylist()
+        meta = [list(m) for m in zip(*[c.to_pylist() for c in batch.columns[2 : 2 + metadata]])]
+        out = [np.zeros(0)]
+        for a, b in slices(texts):
+            doc, feature, value = make.of(texts[a:b], meta[a:b])
+            margin, _, _ = fitted.margins(np.searchsorted(doc, np.arange(b - a)), feature, value)
+            out.append(1 / (1 + np.exp(-np.clip(margin.astype(float), -30, 30))))
+        return np.concatenate(out)
+
+    return of
+
+
 def score(docs: DataFrame, machine: Machine, id_column: str = "doc_id", text_column: str = "text", metadata: tuple[str, ...] = ()) -> DataFrame:
     """Quality of every row: id, score (0 to 1, higher is better), predicted (1 from 0.5 up).
 
@@ -179,17 +196,27 @@ def score(docs: DataFrame, machine: Machine, id_column: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
-        make, fitted = Features(), shared.value
+        of = _scores(shared)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            meta = [list(m) for m in zip(*[c.to_pylist() for c in batch.columns[2:]])]
-            for a, b in slices(texts):
-                doc, feature, value = make.of(texts[a:b], meta[a:b])
-                margin, _, _ = fitted.margins(np.searchsorted(doc, np.arange(b - a)), feature, value)
-                p = 1 / (1 + np.exp(-np.clip(margin.astype(float), -30, 30)))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], schema=schema)
+            p = of(batch, len(metadata))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], schema=schema)
 
     return docs.select(*_columns(id_column, text_column, metadata)).mapInArrow(run, f"`{id_column}` {kind.simpleString()}, score double, predicted int")
 
 
+def accepted(docs: DataFrame, machine: Machine, id_column: str = "doc_id", text_column: str = "text", metadata: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``docs`` that score 0.5 or more, with all their columns unchanged; see ``score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    names = docs.columns
+
+    def run(batches):
+        of = _scores(shared)
+        for batch in batches:
+            keep = of(batch, len(metadata)) >= 0.5
+            rest = pa.RecordBatch.from_arrays(batch.columns[2 + len(metadata) :], names=names)
+            yield rest.filter(pa.array(keep))
+
+    given = [F.col(f"`{c}`") for c in names]
+    return docs.select(*_columns(id_column, text_column, metadata), *given).mapInArrow(run, docs.schema)
+
 ship(__name__)

@@ -299,29 +299,38 @@ def _first_stays(window: int):
     return run
 
 
-def _cut_out(batches):
-    for batch in batches:
-        kept, spans, sizes, flags = [], [], [], []
-        for text, starts, lengths in zip(*[batch.column(k).to_pylist() for k in (1, 2, 3)]):
-            sizes.append(len(text))
-            runs_out = []
-            if starts:
-                a = np.concatenate([wide(x) for x in starts])
-                b = a + np.concatenate([wide(x) for x in lengths])
-                order = np.argsort(a, kind="stable")
-                a, b = a[order], np.maximum.accumulate(b[order])
-                new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
-                runs_out = list(zip(a[new].tolist(), b[np.append(new[1:], len(a)) - 1].tolist()))
-                at, pieces = 0, []
-                for x, y in runs_out:
-                    pieces.append(text[at:x])
-                    at = y
-                text = b"".join([*pieces, text[at:]])
-            kept.append(text), spans.append([{"start": x, "stop": y} for x, y in runs_out]), flags.append(hashlib.sha256(text).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(flags)], names=["doc", "n_bytes", "kept", "spans", "kept_sha256"])
-
-
-def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 100, gram: int = GRAM) -> DataFrame:
+def _cut_out(as_text: bool):
+    def run(batches):
+        for batch in batches:
+            yield _cut_batch(batch, as_text)
+
+    return run
+
+
+def _cut_batch(batch: pa.RecordBatch, as_text: bool) -> pa.RecordBatch:
+    kept, spans, sizes, flags = [], [], [], []
+    for text, starts, lengths in zip(*[batch.column(k).to_pylist() for k in (1, 2, 3)]):
+        sizes.append(len(text))
+        runs_out = []
+        if starts:
+            a = np.concatenate([wide(x) for x in starts])
+            b = a + np.concatenate([wide(x) for x in lengths])
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], np.maximum.accumulate(b[order])
+            new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+            runs_out = list(zip(a[new].tolist(), b[np.append(new[1:], len(a)) - 1].tolist()))
+            at, pieces = 0, []
+            for x, y in runs_out:
+                pieces.append(text[at:x])
+                at = y
+            text = b"".join([*pieces, text[at:]])
+        kept.append(text), spans.append([{"start": x, "stop": y} for x, y in runs_out]), flags.append(hashlib.sha256(text).hexdigest())
+    left = pa.array([t.decode("utf-8", "ignore") for t in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+    columns = [batch.column(0), pa.array(sizes, pa.int64()), left, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(flags)]
+    return pa.RecordBatch.from_arrays([*columns, batch.column(4)], names=["doc", "n_bytes", "kept", "spans", "kept_sha256", "rest"])
+
+
+def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 100, gram: int = GRAM, as_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each byte covered by a string of ``window`` bytes that also starts earlier: in a smaller id, or before.
 
     See the module's text for the way. An anchor that occurs in more than a thousandth of the documents (and over
@@ -329,7 +338,8 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     the rest the windows' hashes are compared over all parts. The list of frequent anchors is the only thing that goes
     to the driver; it holds at most a thousand times the anchors of a mean document.
 
-    Returns doc, n_bytes, kept (bytes; they may cut a character), spans (start, stop of removed runs), kept_sha256.
+    Returns doc, n_bytes, kept (bytes; they may cut a character; with ``as_text`` a text without the cut characters),
+    spans (start, stop of removed runs), kept_sha256, rest (a struct of the columns ``carry``).
     Strings never cross texts and are judged on the input. Anchors and whole surroundings are compared by 64-bit
     hashes, all else byte by byte. A null text counts as empty; texts below ``window`` bytes stay; ids must be unique
     integers (rows that share one see the union of what is removed); nothing is removed from rows without id; an empty
@@ -338,8 +348,9 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     n = docs.count()
     buckets = bucket_count(n)
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_column).cast("long").alias("doc"), text_bytes(text_column).alias("text"))
-    known = texts.where("doc is not null")
+    rest = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(True).alias("_none"))
+    texts = docs.select(F.col(id_column).cast("long").alias("doc"), text_bytes(text_column).alias("text"), rest.alias("rest"))
+    known = texts.where("doc is not null").select("doc", "text")
     found = gathered(repeated(known, _anchors(window, gram), buckets, frequent=max(TOGETHER, n // 1000)), "places", "hot")
     found = cut_lineage(found.mapInArrow(_merged, "doc long, places binary, hot binary"))
     hot = spark.sparkContext.broadcast(b"".join(r[0] for r in found.where("doc is null").select("hot").collect()))
@@ -347,8 +358,9 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     around = near.mapInArrow(_surroundings(window, gram, buckets, hot, LOAD), "bucket int, salt int, hash binary, doc binary, place binary, left binary, right binary, text binary")
     later = around.groupBy("bucket", "salt").applyInArrow(_tree(window, gram, buckets), "bucket int, hash binary, doc binary, start binary, length binary")
     remove = gathered(later.groupBy("bucket").applyInArrow(_first_stays(window), "doc long, starts binary, lengths binary"), "starts", "lengths").withColumnRenamed("doc", "_doc")
-    both = texts.join(remove, F.col("doc") == F.col("_doc"), "left").select("doc", "text", "starts", "lengths")
-    return both.mapInArrow(_cut_out, "doc long, n_bytes long, kept binary, spans array<struct<start:long,stop:long>>, kept_sha256 string")
+    both = texts.join(remove, F.col("doc") == F.col("_doc"), "left").select("doc", "text", "starts", "lengths", "rest")
+    kind = f"doc long, n_bytes long, kept {'string' if as_text else 'binary'}, spans array<struct<start:long,stop:long>>, kept_sha256 string, rest {both.schema['rest'].dataType.simpleString()}"
+    return both.mapInArrow(_cut_out(as_text), kind)
 
 
 ship(__name__)
