@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from riskgrid.llm.shared import components, ship
@@ -14,6 +15,14 @@ from riskgrid.session import cut_lineage
 PER_TASK, BLOCK = 4096, 512
 
 
+def _of_one_length(batch: pa.RecordBatch, column: int):
+    """The rows of each length of a column of lists or bytes."""
+    cells = batch.column(column)
+    lengths = (cells.value_lengths() if pa.types.is_list(cells.type) or pa.types.is_large_list(cells.type) else pc.binary_length(cells)).to_numpy(zero_copy_only=False)
+    for length in np.unique(lengths):
+        yield batch.take(pa.array(np.flatnonzero(lengths == length)))
+
+
 def rotation(size: int, seed: int = 17) -> np.ndarray:
     """A seeded orthogonal matrix: spreads every difference over all components."""
     return np.linalg.qr(np.random.default_rng(seed).normal(size=(size, size)))[0]
@@ -37,11 +46,9 @@ def _cells(width: int, threshold: float, dims: dict, seed: int):
     """Rows to the grid cells of each subspace: its own cell as a querying row, all cells within reach as a met row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _of_one_length(whole, 2)):
             vectors = unpacked(batch.column(2))
-            size = vectors.shape[1] if len(vectors) else 0
-            if not size:
-                continue
+            size = vectors.shape[1]
             unit = vectors / np.sqrt((vectors**2).sum(1))[:, None]
             turned, parts = unit @ rotation(size, seed), subspaces(size, width)
             limits = np.sqrt(_budgets(parts, size, threshold))
@@ -136,9 +143,7 @@ def _linked(width: int, threshold: float, seed: int):
 
 def _to_bytes(batches):
     for batch in batches:
-        for length in np.unique(batch.column(2).value_lengths().to_numpy(zero_copy_only=False)):
-            some = pa.array(np.flatnonzero(batch.column(2).value_lengths().to_numpy(zero_copy_only=False) == length))
-            part = batch.take(some)
+        for part in _of_one_length(batch, 2):
             rows = matrix(part.column(2))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed(rows)), pa.array((rows**2).sum(1) > 0)], names=["id", "group", "vector", "sound"])
 
