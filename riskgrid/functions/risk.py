@@ -51,7 +51,7 @@ def weather_sentence(temp: Column | str, wind: Column | str, humidity: Column |
         F.when(as_column(humidity) <= 40, "dry air"),
         F.when(as_column(rain) >= 2, "recent rainfall"),
     )
-    return F.concat(F.upper(F.substring(parts, 1, 1)), F.substring(parts, 2, 200), F.lit("."))
+    return F.concat(F.upper(F.substring(parts, 1, 1)), F.substr(parts, F.lit(2)), F.lit("."))
 
 
 # The four published warning texts.

@@ -11,6 +11,7 @@ Two physical forms share one definition of every feature:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
@@ -274,10 +275,19 @@ def keep_one(df: DataFrame, key: Sequence[str], order: Sequence[Column | str], l
     return grouped.agg(pick(F.struct(*df.columns), rank).alias("r")).select("r.*")
 
 
-def overlay(base: DataFrame, newer: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Union by name where rows of ``newer`` replace rows of ``base`` with the same key."""
+def comparable(df: DataFrame) -> list[str]:
+    """Columns that have an order (all but maps and variants, also nested ones)."""
+    return [c for c, kind in df.dtypes if not re.search(r"\b(map<|variant\b|interval\b)", kind)]
+
+
+def overlay(base: DataFrame, newer: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Union by name where rows of ``newer`` replace rows of ``base`` with the same key.
+
+    Of several rows of the same side and key the last by ``order`` stays, then the last by all columns: which one
+    never depends on the order in which rows arrive.
+    """
     both = base.withColumn("__src", F.lit(0)).unionByName(newer.withColumn("__src", F.lit(1)), allowMissingColumns=True)
-    return keep_one(both, key, ["__src"]).drop("__src")
+    return keep_one(both, key, ["__src", *order, *comparable(both)]).drop("__src")
 
 
 # -------------------------------------------------------------- decomposition

@@ -77,8 +77,8 @@ def risk_comparison(risk: DataFrame, history: DataFrame, years: tuple[int, int],
 
 
 def summary_table(comparison: DataFrame, entity: str = "City") -> DataFrame:
-    """Percentages with one digit; ties go down, so a last-bit difference cannot flip a published digit."""
-    pct = lambda c, n: (F.round(F.col(c) * 100 - 1e-9, 1) + 0.0).alias(n)
+    """Percentages with one digit."""
+    pct = lambda c, n: (F.round(F.col(c) * 100, 1) + 0.0).alias(n)
     return comparison.select(entity, pct("Forecast_Risk", "Risk_%"), pct("vs_LY", "vs_LY_%"), pct("vs_Dec", "vs_Dec_%"))
 
 

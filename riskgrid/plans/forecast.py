@@ -147,6 +147,11 @@ def origin_features(values: DataFrame, panel: Panel, value: str, lags: Sequence[
     return row_features(values, panel, [known], max(*lags, *widths))
 
 
+def _observed(df: DataFrame, panel: Panel, value: str) -> DataFrame:
+    """Rows with a value: lags and windows run over what was measured, a gap costs a row and not the entity."""
+    return df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*panel.key, value)
+
+
 def ar_inputs(lags: Sequence[int] = AR_LAGS, widths: Sequence[int] = AR_WIDTHS, direct: bool = True) -> list[str]:
     rolls = [f"roll_{n}_{s}" for n in widths for s in ("mean", "std")]
     return [*[f"lag_{k}" for k in lags], *rolls, *(["horizon"] if direct else []), "target_doy", "target_month"]
@@ -158,7 +163,7 @@ def _target_calendar(date: Column) -> list[Column]:
 
 def fit_direct(df: DataFrame, panel: Panel, value: str, horizons: Sequence[int] = (1, 2, 3, 5, 7, 14, 21, 30), trees: int = 20) -> PipelineModel:
     """One pooled model for all entities with the horizon as an input; no feedback loop."""
-    known = origin_features(df.select(*panel.key, value), panel, value).dropna()
+    known = origin_features(_observed(df, panel, value), panel, value).dropna()
     pairs = known.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
     pairs = pairs.withColumn("__at", F.date_add(panel.time, F.col("horizon")))
     target = df.select(panel.entity, F.col(panel.time).alias("__at"), F.col(value).alias("__y"))
@@ -176,7 +181,7 @@ def _fit_boosted(rows: DataFrame, inputs: Sequence[str], trees: int) -> Pipeline
 
 def forecast_direct(df: DataFrame, panel: Panel, value: str, model: PipelineModel, days: int = 30) -> DataFrame:
     """All steps of all entities in one transform, from each entity's last row."""
-    known = origin_features(df.select(*panel.key, value), panel, value)
+    known = origin_features(_observed(df, panel, value), panel, value)
     last = known.groupBy(panel.entity).agg(F.max_by(F.struct(*known.columns), panel.time).alias("r")).select("r.*").dropna()
     steps = last.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(days))))
     steps = steps.withColumn("__at", F.date_add(panel.time, F.col("horizon"))).select("*", *_target_calendar(F.col("__at")))
@@ -187,8 +192,8 @@ def forecast_direct(df: DataFrame, panel: Panel, value: str, model: PipelineMode
 def fit_one_step(df: DataFrame, panel: Panel, value: str, trees: int = 20, min_rows: int = 100) -> PipelineModel:
     """Pooled model of the next value; the input of ``forecast_recursive``."""
     long_enough = df.groupBy(panel.entity).agg(F.count(value).alias("__c")).filter(F.col("__c") >= min_rows).select(panel.entity)
-    rows = df.join(long_enough, panel.entity, "left_semi").select(*panel.key, value)
-    known = origin_features(rows, panel, value)
+    rows = df.join(long_enough, panel.entity, "left_semi")
+    known = origin_features(_observed(rows, panel, value), panel, value)
     w = panel.window()
     target = known.select("*", F.lead(value, 1).over(w).alias("__y"), F.lead(panel.time, 1).over(w).alias("__at")).dropna()
     return _fit_boosted(target.select("*", *_target_calendar(F.col("__at"))), ar_inputs(direct=False), trees)
@@ -203,7 +208,7 @@ def forecast_recursive(df: DataFrame, panel: Panel, value: str, model: PipelineM
     """
     depth = max(max(AR_LAGS), max(AR_WIDTHS))
     collected = row_features(
-        df.select(*panel.key, value), panel, [lambda w: [F.collect_list(value).over(w.rowsBetween(1 - depth, 0)).alias("recent")]], depth
+        _observed(df, panel, value), panel, [lambda w: [F.collect_list(value).over(w.rowsBetween(1 - depth, 0)).alias("recent")]], depth
     )
     state = collected.groupBy(panel.entity).agg(F.max_by("recent", panel.time).alias("recent"), F.max(panel.time).alias("at"))
     state = state.filter(F.size("recent") == depth).withColumn("path", F.array().cast("array<struct<t:date,v:double>>"))

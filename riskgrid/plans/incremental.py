@@ -6,32 +6,38 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from riskgrid.operators.panel import overlay
+from riskgrid.operators.panel import comparable, keep_one, overlay
 from riskgrid.session import cut_lineage
 
 
-def append_after(stored: DataFrame, new: DataFrame, time: str, key: Sequence[str]) -> DataFrame:
+def keep_latest(new: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the last by ``order``, then by all columns, so a repeated key always gives the same row."""
+    return keep_one(new, key, [*order, *comparable(new)])
+
+
+def append_after(stored: DataFrame, new: DataFrame, time: str, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Stored rows plus new rows later than the stored maximum; one row per key, stored first.
 
-    Corrections of stored days are ignored, see ``upsert``.
+    Corrections of stored days are ignored, see ``upsert``; a repeated key of the new rows is settled by ``keep_latest``.
     """
     last = stored.agg(F.max(time).alias("m")).scalar()
     # later rows cannot share a key with stored ones, so only they need de-duplication
-    fresh = new.filter(F.coalesce(F.col(time) > last, F.lit(True))).dropDuplicates(list(key))
+    fresh = keep_latest(new.filter(F.coalesce(F.col(time) > last, F.lit(True))), key, order)
     return stored.unionByName(fresh, allowMissingColumns=True)
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Stored rows with new rows added or replacing those of the same key."""
-    return overlay(stored, new, key)
+def upsert(stored: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Stored rows with new rows added or replacing those of the same key, see ``overlay`` for repeated keys."""
+    return overlay(stored, new, key, order)
 
 
 def save_by_month(df: DataFrame, path: str, date: str = "Date") -> None:
     """Write partitioned by year and month; an existing table keeps the months ``df`` does not hold."""
     parts = df.withColumns({"year": F.year(date), "month": F.month(date)})
     (
-        parts.repartition("year", "month")
-        .sortWithinPartitions(date)
+        # a month with many rows is split, small ones are joined; rows stay grouped by month
+        parts.hint("rebalance", "year", "month")
+        .sortWithinPartitions("year", "month", date)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("year", "month")

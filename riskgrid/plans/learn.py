@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from riskgrid.functions.risk import selection_score_mix
 from riskgrid.operators import evaluate as E
 from riskgrid.operators.blend import calibration_kept, class_imbalance
-from riskgrid.operators.evaluate import GRID_PIPELINE
 from riskgrid.session import cut_lineage
 
 SEED = 42
@@ -171,8 +170,8 @@ def keep_calibration(raw: DataFrame, calibrated: DataFrame) -> DataFrame:
 
 
 def three_way_report(scores: DataFrame, select_on: str = "val") -> DataFrame:
-    """Threshold per model from one split, then the full report on every split."""
-    chosen = E.pick_threshold(E.sweep(scores.filter(F.col("split") == select_on), ["model"], GRID_PIPELINE), ["model"])
+    """Threshold per model from one split by the four-part selection score, then the full report on every split."""
+    chosen = E.pipeline_threshold(scores.filter(F.col("split") == select_on), ["model"])
     joined = scores.join(F.broadcast(chosen.select("model", "threshold")), "model")  # one row per model
     return E.model_report(joined, ["model", "split", "threshold"], F.col("p") >= F.col("threshold"))
 

@@ -10,15 +10,31 @@ from pyspark.sql.types import StructType
 
 from riskgrid.functions.nulls import nan_to_null
 from riskgrid.operators.clean import coerce, drop_unkeyed
+from riskgrid.session import sized_side
 from riskgrid.spec import API_NAMES
 
 
+def _absent(error: AnalysisException) -> bool:
+    """The path isn't there, or holds no file: the only failures for which a fallback stands in."""
+    return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as error:
+        if not _absent(error):
+            raise
+        return False
+    return True
+
+
 def load_table(spark: SparkSession, path: str, fallback: str | None = None, dates: Sequence[str] = ()) -> DataFrame:
     """Parquet at ``path``, else at ``fallback``; date columns cast, NaN turned into null at the scan."""
     try:
         df = spark.read.parquet(path)
-    except AnalysisException:
-        if fallback is None:
+    except AnalysisException as error:
+        if fallback is None or not _absent(error):
             raise
         df = spark.read.parquet(fallback)
     return nan_to_null(df.withColumns({c: F.to_date(c) for c in dates if c in df.columns}))
@@ -30,12 +46,26 @@ def load_entity_cache(spark: SparkSession, folder: str, ts: str = "Timestamp") -
 
 
 def load_side_table(spark: SparkSession, path: str, schema: str | StructType, dates: Sequence[str] = (), date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """CSV with a declared schema; a missing file is an empty table of that schema."""
-    parsed = lambda df: df.withColumns({c: F.to_date(F.try_to_timestamp(F.col(c).cast("string"), F.lit(date_format))) for c in dates})
+    """CSV by its header's names, with the declared types; a missing file is an empty table of that schema.
+
+    All fields are read as text and cast one by one, so a value that is no number becomes null and its row stays,
+    whatever the order of the columns and whichever are selected. A declared column that the file lacks is null.
+    """
+    declared = spark.createDataFrame([], schema).schema
     try:
-        return parsed(spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").csv(path))
-    except AnalysisException:
-        return parsed(spark.createDataFrame([], schema))
+        raw = spark.read.option("header", True).csv(path)
+    except AnalysisException as error:
+        if not _absent(error):
+            raise
+        raw = spark.createDataFrame([], schema)
+
+    def field(f):
+        if f.name not in raw.columns:
+            return F.lit(None).cast(f.dataType)
+        text = F.trim(F.col(f"`{f.name}`").cast("string"))
+        return F.to_date(F.try_to_timestamp(text, F.lit(date_format))) if f.name in dates else text.try_cast(f.dataType)
+
+    return raw.select(*[field(f).alias(f.name) for f in declared])
 
 
 # Accepted header names of the detection archives, in order of preference.
@@ -53,8 +83,10 @@ def read_detections(spark: SparkSession, folder: str, min_confidence: Column | N
     """All detection CSV files below ``folder``, whatever their header family.
 
     Files are read as text.  A header line names its own fields, so each line is
-    read by the header of its file; no file is opened on the driver.  Lines with
-    more fields than their header are skipped, ``readme`` files ignored.
+    read by the header of its file; no file is opened on the driver.  Commas
+    within quotes belong to their field, fields beyond the header are ignored,
+    and so are ``readme`` files.  A file is one header and its lines; if there
+    are several headers the first in text order counts.
     """
     lines = (
         spark.read.option("recursiveFileLookup", True)
@@ -64,10 +96,11 @@ def read_detections(spark: SparkSession, folder: str, min_confidence: Column | N
         .filter(~F.lower("name").startswith("readme"))
     )
     is_header = F.lower("value").contains("latitude") & F.lower("value").contains("acq_date")
-    fields = lambda text: F.transform(F.split(text, ","), lambda x: F.trim(F.regexp_replace(x, '"', "")))
-    headers = lines.filter(is_header).groupBy("file").agg(F.first("value").alias("header"))
+    # a comma is a separator if an even number of quotes follows
+    fields = lambda text: F.transform(F.split(text, ',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda x: F.trim(F.regexp_replace(x, '"', "")))
+    # one row per file: hinted as a small side if it is one, so the lines of one huge archive stay apart
+    headers = sized_side(lines.filter(is_header).groupBy("file").agg(F.min("value").alias("header")))
     rows = lines.filter(~is_header).join(headers, "file").select(fields(F.col("value")).alias("v"), fields(F.lower("header")).alias("h"))
-    rows = rows.filter(F.size("v") <= F.size("h"))
 
     def field(names: Sequence[str]) -> Column:
         at = lambda n: F.array_position("h", F.lit(n)).cast("int")

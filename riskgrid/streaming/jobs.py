@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from riskgrid.functions.risk import anchored
 from riskgrid.operators.resample import day_features
-from riskgrid.plans.incremental import save_by_month, upsert_table
+from riskgrid.plans.incremental import keep_latest, save_by_month, upsert_table
+from riskgrid.sources.readers import table_exists
 
 
 def _watermarked(df: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -63,11 +63,9 @@ def upsert_sink(stream: DataFrame, path: str, key: Sequence[str], checkpoint: st
     def write(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
-        try:
-            batch.sparkSession.read.parquet(path)
-        except AnalysisException:
-            save_by_month(batch, path, date)
-            return
-        upsert_table(batch, path, key, date)
+        if table_exists(batch.sparkSession, path):
+            upsert_table(batch, path, key, date)
+        else:
+            save_by_month(keep_latest(batch, key), path, date)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -341,8 +341,8 @@ def largest_risk_increases(t):
 
 
 @query(
-    f"""WITH {RISK}, {RISKCMP} SELECT "City", round(f * 100 - 1e-9::DOUBLE, 1) + 0.0::DOUBLE AS "Risk_%", round((f - l) * 100 - 1e-9::DOUBLE, 1) + 0.0::DOUBLE AS "vs_LY_%",
-      round((f - d) * 100 - 1e-9::DOUBLE, 1) + 0.0::DOUBLE AS "vs_Dec_%" FROM rc"""
+    f"""WITH {RISK}, {RISKCMP} SELECT "City", round(f * 100, 1) + 0.0::DOUBLE AS "Risk_%", round((f - l) * 100, 1) + 0.0::DOUBLE AS "vs_LY_%",
+      round((f - d) * 100, 1) + 0.0::DOUBLE AS "vs_Dec_%" FROM rc"""
 )
 def climate_summary_table(t):
     return C.summary_table(C.risk_comparison(*risk_and_history(t), (1995, 1999)))

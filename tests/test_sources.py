@@ -45,6 +45,54 @@ def test_side_table_missing_or_malformed(spark, tmp_path):
     assert rows(S.load_side_table(spark, str(tmp_path / "v.csv"), schema, ["Date"]), "NDVI") == [("A", dt.date(2020, 1, 5), 0.5), ("A", None, 0.6)]
 
 
+def test_detections_with_quoted_commas_stay(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('acq_date,latitude,longitude,brightness,frp,confidence\n2020-06-01,41,48,310,1,"high, nominal"\n2020-06-02,41,48,310,1,low,extra\n')
+    got = rows(S.normalise_detections(S.read_detections(spark, str(tmp_path))), "acq_date")
+    assert [r[-1] for r in got] == ["high, nominal", "low"]
+
+
+def test_side_table_goes_by_header_names(spark, tmp_path):
+    schema = "City string, Date string, NDVI double"
+    (tmp_path / "v.csv").write_text("Date,NDVI,City\n2020-01-05,0.5,A\n2020-01-06,none,B\n")
+    table = S.load_side_table(spark, str(tmp_path / "v.csv"), schema, ["Date"])
+    assert rows(table, "City") == [("A", dt.date(2020, 1, 5), 0.5), ("B", dt.date(2020, 1, 6), None)]
+    assert table.select("City").count() == table.select("NDVI").count() == 2
+
+
+def test_a_broken_stored_table_is_no_missing_table(spark, tmp_path):
+    (tmp_path / "t.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        S.table_exists(spark, str(tmp_path / "t.parquet"))
+    with pytest.raises(Exception):
+        S.load_table(spark, str(tmp_path / "t.parquet"), str(tmp_path / "t.parquet"))
+    assert not S.table_exists(spark, str(tmp_path / "none"))
+
+
+def test_repeated_key_in_a_batch_gives_the_last_row(spark):
+    stored = spark.createDataFrame([("A", 1, 0.0, 9)], "k string, day int, v double, seq int")
+    new = [("A", 1, 5.0, 1), ("A", 1, 3.0, 2), ("B", 1, 1.0, 1), ("B", 1, 2.0, 1)]
+    for batch in (new, new[::-1]):
+        got = N.upsert(stored, spark.createDataFrame(batch, stored.schema).repartition(3), ["k", "day"], ["seq"])
+        assert rows(got, "k") == [("A", 1, 3.0, 2), ("B", 1, 2.0, 1)]
+
+
+def test_cluster_without_shared_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from riskgrid.session import ensure_checkpoint_dir
+
+    seen = []
+    context = lambda master: SimpleNamespace(getCheckpointDir=lambda: None, master=master, setCheckpointDir=seen.append)
+    session = lambda master, named: SimpleNamespace(sparkContext=context(master), conf=SimpleNamespace(get=lambda *_: named))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(session("spark://host:7077", None))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(session("local-cluster[2,1,1024]", None))
+    ensure_checkpoint_dir(session("spark://host:7077", "hdfs://shared"))
+    ensure_checkpoint_dir(session("local[2]", None))
+    assert seen[0] == "hdfs://shared" and len(seen) == 2
+
+
 def test_entity_cache_folder(spark, tmp_path):
     df = spark.createDataFrame([("A", dt.datetime(2020, 1, 1), 1.0), ("B", dt.datetime(2020, 1, 1), 2.0)], "City string, Timestamp timestamp_ntz, v double")
     W.save_table(df, str(tmp_path / "c"), partition_by=["City"], sort_by=["Timestamp"])
