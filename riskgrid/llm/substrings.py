@@ -123,7 +123,9 @@ def drop_repeated_windows(docs: DataFrame, id_column: str = "doc_id", text_colum
     anchors = gathered(repeated(known, _anchors(period, length), buckets), "places")
     near = known.join(anchors, "doc").select("doc", "text", "places")
     starts = gathered(repeated(near, _windows(period, window), buckets), "places").withColumnRenamed("doc", "_doc")
-    both = texts.join(starts, F.col("doc") == F.col("_doc"), "left").select("doc", "text", "places")
+    # both joins take the same frame of texts, so one shuffle of it serves both
+    none = F.lit(None).cast("array<binary>").alias("places")
+    both = known.join(starts, F.col("doc") == F.col("_doc"), "left").select("doc", "text", "places").unionAll(texts.where("doc is null").select("doc", "text", none))
     return both.mapInArrow(_removed(window), "doc long, n_words long, n_removed long, kept binary, kept_sha256 string")
 
 

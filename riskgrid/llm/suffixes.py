@@ -327,7 +327,7 @@ def _cut_batch(batch: pa.RecordBatch, as_text: bool) -> pa.RecordBatch:
         kept.append(text), spans.append([{"start": x, "stop": y} for x, y in runs_out]), flags.append(hashlib.sha256(text).hexdigest())
     left = pa.array([t.decode("utf-8", "ignore") for t in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
     columns = [batch.column(0), pa.array(sizes, pa.int64()), left, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(flags)]
-    return pa.RecordBatch.from_arrays([*columns, batch.column(4)], names=["doc", "n_bytes", "kept", "spans", "kept_sha256", "rest"])
+    return pa.RecordBatch.from_arrays([*columns, *batch.columns[4:]], names=["doc", "n_bytes", "kept", "spans", "kept_sha256", *batch.schema.names[4:]])
 
 
 def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 100, gram: int = GRAM, as_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -348,18 +348,24 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     n = docs.count()
     buckets = bucket_count(n)
     spark = docs.sparkSession
-    rest = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(True).alias("_none"))
-    texts = docs.select(F.col(id_column).cast("long").alias("doc"), text_bytes(text_column).alias("text"), rest.alias("rest"))
-    known = texts.where("doc is not null").select("doc", "text")
-    found = gathered(repeated(known, _anchors(window, gram), buckets, frequent=max(TOGETHER, n // 1000)), "places", "hot")
+    rest = [F.struct(*[F.col(c) for c in carry]).alias("rest")] if carry else []
+    texts = docs.select(F.col(id_column).cast("long").alias("doc"), text_bytes(text_column).alias("text"), *rest)
+    known = texts.where("doc is not null")
+    found = gathered(repeated(known.select("doc", "text"), _anchors(window, gram), buckets, frequent=max(TOGETHER, n // 1000)), "places", "hot")
     found = cut_lineage(found.mapInArrow(_merged, "doc long, places binary, hot binary"))
     hot = spark.sparkContext.broadcast(b"".join(r[0] for r in found.where("doc is null").select("hot").collect()))
     near = known.join(found.where("doc is not null").select("doc", "places"), "doc").select("doc", "text", "places")
     around = near.mapInArrow(_surroundings(window, gram, buckets, hot, LOAD), "bucket int, salt int, hash binary, doc binary, place binary, left binary, right binary, text binary")
     later = around.groupBy("bucket", "salt").applyInArrow(_tree(window, gram, buckets), "bucket int, hash binary, doc binary, start binary, length binary")
     remove = gathered(later.groupBy("bucket").applyInArrow(_first_stays(window), "doc long, starts binary, lengths binary"), "starts", "lengths").withColumnRenamed("doc", "_doc")
-    both = texts.join(remove, F.col("doc") == F.col("_doc"), "left").select("doc", "text", "starts", "lengths", "rest")
-    kind = f"doc long, n_bytes long, kept {'string' if as_text else 'binary'}, spans array<struct<start:long,stop:long>>, kept_sha256 string, rest {both.schema['rest'].dataType.simpleString()}"
+    # both joins take the same frame of texts, so one shuffle of it serves both
+    carried = [*(["rest"] if carry else [])]
+    none = F.lit(None).cast("array<binary>")
+    both = known.join(remove, F.col("doc") == F.col("_doc"), "left").select("doc", "text", "starts", "lengths", *carried)
+    both = both.unionAll(texts.where("doc is null").select("doc", "text", none.alias("starts"), none.alias("lengths"), *carried))
+    kind = f"doc long, n_bytes long, kept {'string' if as_text else 'binary'}, spans array<struct<start:long,stop:long>>, kept_sha256 string"
+    if carry:
+        kind += f", rest {both.schema['rest'].dataType.simpleString()}"
     return both.mapInArrow(_cut_out(as_text), kind)
 
 
