@@ -292,20 +292,13 @@ def linear_trend(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataF
 # ------------------------------------------------------------- fitted statistics
 
 
-SMALL_PANEL = 2_000_000
-
-
-def fit_global_quantiles(df: DataFrame, wanted: Sequence[tuple[str, float, str]], small: int = SMALL_PANEL) -> DataFrame:
+def fit_global_quantiles(df: DataFrame, wanted: Sequence[tuple[str, float, str]]) -> DataFrame:
     """Exact quantiles over all rows as one row of constants; ``wanted`` lists (column, probability, name).
 
-    The columns are materialised once.  Up to ``small`` rows one ``percentile``
-    aggregate answers; beyond that its state could outgrow a task, and the
-    histogram selection takes over.
+    The columns are materialised once and the ranks narrowed through histograms, at every size the same way.
     """
     columns = list(dict.fromkeys(c for c, _, _ in wanted))
     values = cut_lineage(df.select(*columns))
-    if values.count() <= small:
-        return fixed_rows(values.agg(*[F.percentile(F.col(c), F.lit(p)).alias(n) for c, p, n in wanted]))
     q = exact_quantiles(values, [], columns, [p for _, p, _ in wanted])
     cell = lambda i, c: F.max(F.when(F.col("variable") == c, F.col(f"q{i}")))
     return fixed_rows(q.agg(*[cell(i, c).alias(n) for i, (c, _, n) in enumerate(wanted)]))

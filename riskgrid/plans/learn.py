@@ -245,20 +245,23 @@ def feature_importance(model: PipelineModel, columns: Sequence[str]) -> DataFram
     return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, columns: Sequence[str], key: Sequence[str], rows: int = 2000, seed: int = SEED) -> DataFrame:
-    """Drop in average precision when one input is shuffled, on a fixed-size sample.
+def permutation_importance(model: PipelineModel, df: DataFrame, columns: Sequence[str], key: Sequence[str], block_rows: int = 5000, seed: int = SEED) -> DataFrame:
+    """Drop in average precision when one input is shuffled, over all rows.
 
-    The sample is the ``rows`` smallest key hashes, so the shuffling windows are bounded.
+    Rows are dealt to hash blocks of about ``block_rows``; within its block each input is rotated by a step of its
+    own, so no window grows with the table.
     """
-    sample = df.withColumn("__h", F.xxhash64(F.lit(seed), *key)).orderBy("__h", *key).limit(rows)
-    sample = cut_lineage(sample.withColumn("__n", F.row_number().over(Window.orderBy("__h", *key))))
-    total = sample.count()
+    blocks = max(1, df.count() // block_rows)
+    dealt = df.withColumn("__h", F.xxhash64(F.lit(seed), *key)).withColumn("__b", F.pmod("__h", F.lit(blocks)))
+    block = Window.partitionBy("__b")
+    dealt = dealt.select("*", F.row_number().over(block.orderBy("__h", *key)).alias("__n"), F.count(F.lit(1)).over(block).alias("__t"))
+    sample = cut_lineage(dealt)
     parts = model.transform(sample).select(F.lit("(none)").alias("feature"), "y", vector_to_array("probability")[1].alias("p"))
     for i, c in enumerate(columns):
-        # rotate the column through the sample by a different step per column
-        step = 1 + (seed * (i + 7)) % max(total - 1, 1)
-        moved = sample.select((F.pmod(F.col("__n") - 1 + step, F.lit(total)) + 1).alias("__n"), F.col(c).alias("__v"))
-        swapped = sample.join(moved, "__n").withColumn(c, F.col("__v")).drop("__v")
+        # rotate the column through the block by a different step per column
+        step = 1 + F.pmod(F.lit(seed * (i + 7)), F.greatest(F.col("__t") - 1, F.lit(1)))
+        moved = sample.select("__b", (F.pmod(F.col("__n") - 1 + step, F.col("__t")) + 1).alias("__n"), F.col(c).alias("__v"))
+        swapped = sample.join(moved, ["__b", "__n"]).withColumn(c, F.col("__v")).drop("__v")
         parts = parts.unionByName(model.transform(swapped).select(F.lit(c).alias("feature"), "y", vector_to_array("probability")[1].alias("p")))
     found = cut_lineage(E.areas(parts, ["feature"]))
     base = found.filter("feature = '(none)'").select("pr_auc").scalar()

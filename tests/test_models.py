@@ -39,7 +39,7 @@ def test_models_rank_better_than_chance(labelled, tmp_path):
     assert report.count() == 9 and report.filter("split = 'test' AND roc_auc < 0.75").count() == 0
     top = L.feature_importance(models["random_forest"], ["a", "b"]).first()
     assert top["feature"] == "a"
-    moved = L.permutation_importance(models["logistic"], labelled, ["a", "b"], ["City", "Date"], rows=300)
+    moved = L.permutation_importance(models["logistic"], labelled, ["a", "b"], ["City", "Date"], block_rows=300)
     assert moved.first()["feature"] == "a"
     calibrated = L.calibrate(scores, L.calibrators(scores.filter("split = 'val'")))
     assert calibrated.count() == scores.count() and calibrated.filter("p < 0 OR p > 1").count() == 0
@@ -127,3 +127,17 @@ def test_recursive_inputs_equal_training_inputs(spark):
     first = echo.seen.first()
     for c in G.ar_inputs(direct=False)[:-2]:
         assert first[c] == pytest.approx(window[c]), c
+
+
+def test_a_gap_costs_a_row_and_not_the_place(spark):
+    rng, data = random.Random(5), []
+    for p in ("A", "B"):
+        for i in range(160):
+            gap = p == "B" and i in (80, 150)
+            data.append((p, dt.date(2020, 1, 1) + dt.timedelta(days=i), None if gap else 10 * math.sin(i / 9) + rng.random()))
+    df = spark.createDataFrame(data, "City string, Date date, v double")
+    one = G.fit_one_step(df, DAILY, "v", trees=2)
+    out = G.forecast_recursive(df, DAILY, "v", one, days=3)
+    assert rows(out.groupBy("City").count(), "City") == [("A", 3), ("B", 3)]
+    many = G.fit_direct(df, DAILY, "v", horizons=(1, 3), trees=2)
+    assert rows(G.forecast_direct(df, DAILY, "v", many, days=3).groupBy("City").count(), "City") == [("A", 3), ("B", 3)]
