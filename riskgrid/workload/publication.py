@@ -35,7 +35,10 @@ PUBLIC_DAILY = f"""{B.WEATHER}, {B.DAILY_RISK}, {B.PLACE_TABLE}, sc AS (SELECT w
         WHEN h <= 40 THEN 'Low humidity can dry vegetation and raise ignition sensitivity.' ELSE 'Current conditions suggest limited short-term wildfire pressure.' END AS warning,
       CASE risk_level WHEN 'Low' THEN '#3FA773' WHEN 'Moderate' THEN '#D8A31D' WHEN 'High' THEN '#D96C3B' ELSE '#B73333' END AS risk_color FROM sc JOIN places USING ("City"))"""
 
-_EXACT = ("risk_score", "temperature", "wind", "humidity", "rain")
+#: One digit of a percentage: the shortest decimal text of the number, rounded half up, as Spark rounds.
+ONE_DIGIT = "CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), 1) AS DOUBLE)"
+#: Columns published with few digits: compared as published.
+_PUBLISHED = ("risk_score", "temperature", "wind", "humidity", "rain")
 
 
 def daily_public(t):
@@ -43,19 +46,15 @@ def daily_public(t):
 
 
 @query(
-    f"""WITH {PUBLIC_DAILY} SELECT date, region, risk_level, round(probability, 6) AS probability, round(confidence, 6) AS confidence, predicted_fire, true AS rounded_ok,
+    f"""WITH {PUBLIC_DAILY} SELECT date, region, risk_level, round(probability, 6) AS probability, round(confidence, 6) AS confidence, predicted_fire,
+      {ONE_DIGIT.format(x="risk_score")} AS risk_score, round(temperature, 1) AS temperature, round(wind, 1) AS wind, round(humidity, 1) AS humidity, round(rain, 2) AS rain,
+      round("Humidity_percent_mean", 6) AS "Humidity_percent_mean", round("Rain_mm_sum", 6) AS "Rain_mm_sum", round("Wind_Speed_kmh_mean", 6) AS "Wind_Speed_kmh_mean",
+      round("Solar_Radiation_Wm2_mean", 6) AS "Solar_Radiation_Wm2_mean", round("Soil_Temp_C_mean", 6) AS "Soil_Temp_C_mean",
       round("Temperature_C_mean", 6) AS "Temperature_C_mean", round("Pressure_hPa_mean", 6) AS "Pressure_hPa_mean", round("Soil_Moisture_mean", 6) AS "Soil_Moisture_mean",
       round("Latitude", 6) AS "Latitude", round("Longitude", 6) AS "Longitude", {SENTENCE_SQL} AS climate_summary, warning, risk_color FROM daily_public"""
 )
 def public_daily(t):
-    out = daily_public(t)
-    sources = {"temperature": "Temperature_C_mean", "wind": "Wind_Speed_kmh_mean", "humidity": "Humidity_percent_mean"}
-    ok = F.abs(F.col("risk_score") - F.col("probability") * 100) <= 0.0501
-    for name, source in sources.items():
-        ok = ok & (F.abs(F.col(name) - F.col(source)) <= 0.0501)
-    ok = ok & (F.abs(F.col("rain") - F.col("Rain_mm_sum")) <= 0.00501)
-    drop = [*_EXACT, "Humidity_percent_mean", "Rain_mm_sum", "Wind_Speed_kmh_mean", "Solar_Radiation_Wm2_mean", "Soil_Temp_C_mean"]
-    return B.round_all(out.withColumn("rounded_ok", ok).drop(*drop))
+    return B.round_all(daily_public(t), keep=_PUBLISHED)
 
 
 STATIONS = """stations AS (SELECT event_type AS "City", CAST(min(event_id) AS DOUBLE) / 4 AS "Latitude", CAST(max(user_id) AS DOUBLE) / 4 AS "Longitude" FROM events GROUP BY 1)"""
@@ -84,14 +83,12 @@ def hourly_public(t):
 
 
 @query(
-    f"""WITH {PUBLIC_HOURLY} SELECT "timestamp", region, round(probability, 6) AS probability, risk_level, predicted_fire, round(confidence, 6) AS confidence, round(humidity, 6) AS humidity,
-      true AS rounded_ok, round("Latitude", 6) AS "Latitude", round("Longitude", 6) AS "Longitude",
+    f"""WITH {PUBLIC_HOURLY} SELECT "timestamp", region, round(probability, 6) AS probability, risk_level, predicted_fire, round(confidence, 6) AS confidence, round(humidity, 1) AS humidity,
+      {ONE_DIGIT.format(x="probability * 100")} AS risk_score, round(temperature, 1) AS temperature, round("Latitude", 6) AS "Latitude", round("Longitude", 6) AS "Longitude",
       CASE risk_level WHEN 'Low' THEN '#3FA773' WHEN 'Moderate' THEN '#D8A31D' WHEN 'High' THEN '#D96C3B' ELSE '#B73333' END AS risk_color FROM hourly_public"""
 )
 def public_hourly(t):
-    out = hourly_public(t)
-    ok = F.abs(F.col("risk_score") - F.col("probability") * 100) <= 0.0501
-    return B.round_all(out.withColumn("rounded_ok", ok).drop("risk_score", "temperature"))
+    return B.round_all(hourly_public(t), keep=_PUBLISHED)
 
 
 @query(
@@ -397,9 +394,10 @@ def dashboard_series(t):
     return shown(D.region_series(D.usable(daily_public(t)), "NATION_3"))
 
 
-@query(f"""WITH {PUBLIC_DAILY} SELECT date, region, round("Latitude", 6) AS "Latitude", round("Longitude", 6) AS "Longitude", risk_level FROM daily_public""")
+@query(f"""WITH {PUBLIC_DAILY} SELECT date, region, round("Latitude", 6) AS "Latitude", round("Longitude", 6) AS "Longitude", risk_level,
+      {ONE_DIGIT.format(x="probability * 100")} AS risk_pct, concat(region, ' ', printf('%.1f', {ONE_DIGIT.format(x="probability * 100")}), '%') AS label FROM daily_public""")
 def dashboard_animation(t):
-    return B.round_all(D.animation_frames(daily_public(t)).drop("risk_pct", "label"))
+    return B.round_all(D.animation_frames(daily_public(t)), keep=("risk_pct",))
 
 
 @query(f"""WITH {PUBLIC_DAILY}, dd AS (SELECT date, row_number() OVER (ORDER BY date) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM daily_public)) SELECT date FROM dd WHERE (rn - 1) % 5 = 0 OR rn = n""")
