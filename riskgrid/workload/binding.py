@@ -192,7 +192,7 @@ FIRES = f"""{MATCHED}, fires AS (
 
 
 def burned(t: Tables) -> DataFrame:
-    rows = t.lineitem.filter("l_returnflag = 'N' AND l_linestatus = 'F' AND l_quantity >= 40").select(
+    rows = t.lineitem.select(
         place("l_partkey").alias("City"), F.col("l_shipdate").alias("Date"), F.col("l_extendedprice").alias("Burned_Area_hectares")
     )
     return side_series_daily(rows, {"Burned_Area_hectares": "max"})
@@ -200,12 +200,11 @@ def burned(t: Tables) -> DataFrame:
 
 BURNED = """burned AS (
   SELECT 'NATION_' || CAST(l_partkey % 25 AS VARCHAR) AS "City", CAST(l_shipdate AS DATE) AS "Date",
-    max(l_extendedprice) AS "Burned_Area_hectares" FROM lineitem
-  WHERE l_returnflag = 'N' AND l_linestatus = 'F' AND l_quantity >= 40 GROUP BY 1, 2)"""
+    max(l_extendedprice) AS "Burned_Area_hectares" FROM lineitem GROUP BY 1, 2)"""
 
 
 def vegetation(t: Tables) -> DataFrame:
-    rows = t.orders.filter("o_orderpriority = '1-URGENT'").select(
+    rows = t.orders.select(
         place("o_custkey").alias("City"),
         F.col("o_orderdate").alias("Date"),
         (F.col("o_custkey") % 97 / 128).alias("NDVI"),
@@ -219,7 +218,7 @@ VEGETATION = """vegetation AS (
   SELECT 'NATION_' || CAST(o_custkey % 25 AS VARCHAR) AS "City", CAST(o_orderdate AS DATE) AS "Date",
     avg(CAST(o_custkey % 97 AS DOUBLE) / 128) AS "NDVI", avg(CAST(o_orderkey % 61 AS DOUBLE) / 128) AS "NDBI",
     avg(CAST(o_orderkey % 89 AS DOUBLE) / 128) AS "EVI"
-  FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2)"""
+  FROM orders GROUP BY 1, 2)"""
 
 
 def geography(t: Tables) -> DataFrame:
@@ -336,18 +335,18 @@ def station_risk_hourly(t: Tables) -> DataFrame:
 
 
 def station_risk_daily(t: Tables) -> DataFrame:
-    """Daily probability per station; every sixth day is left without one."""
+    """Daily probability per station; unknown (null) on every sixth day."""
     day = hourly_readings(t).groupBy("City", F.to_date("Timestamp").alias("Date")).agg(
         (F.least(F.avg("Wind_Speed_kmh"), F.lit(63.0)) / 128).alias("probability")
     )
-    return day.filter(F.dayofmonth("Date") % 6 != 0)
+    return day.withColumn("probability", F.when(F.dayofmonth("Date") % 6 != 0, F.col("probability")))
 
 
 STATION_RISK = f"""{HOURLY_READINGS}, station_hourly AS (
   SELECT "City", date_trunc('hour', "Timestamp") AS "Timestamp", least(sum("Wind_Speed_kmh"), 255) / 256 AS probability
   FROM hreadings GROUP BY 1, 2), station_daily AS (
-  SELECT * FROM (SELECT "City", CAST("Timestamp" AS DATE) AS "Date", least(avg("Wind_Speed_kmh"), 63) / 128 AS probability
-  FROM hreadings GROUP BY 1, 2) WHERE day("Date") % 6 <> 0)"""
+  SELECT "City", "Date", CASE WHEN day("Date") % 6 <> 0 THEN p END AS probability FROM (SELECT "City", CAST("Timestamp" AS DATE) AS "Date", least(avg("Wind_Speed_kmh"), 63) / 128 AS p
+  FROM hreadings GROUP BY 1, 2))"""
 
 
 TIER_SQL = "CASE WHEN {p} >= 0.60 THEN 'Extreme' WHEN {p} >= 0.35 THEN 'High' WHEN {p} >= 0.15 THEN 'Moderate' ELSE 'Low' END"

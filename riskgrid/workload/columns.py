@@ -130,27 +130,27 @@ def risk_texts(t):
 
 
 @query(
-    """SELECT doc_id, try_cast(regexp_replace(left(text, 3), '[^0-9.]', 'x', 'g') AS DOUBLE) AS lead_number,
+    """SELECT doc_id, try_cast(CASE WHEN doc_id % 2 = 0 THEN CAST(n_chars AS VARCHAR) ELSE text END AS DOUBLE) AS size,
       try_cast(strptime_ok AS DATE) AS parsed_day FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN '2024-01-' || lpad(CAST(doc_id % 40 AS VARCHAR), 2, '0') ELSE lang END AS strptime_ok FROM documents)"""
 )
 def lenient_coercion(t):
     rows = t.documents.select(
         "doc_id",
-        F.regexp_replace(F.substring("text", 1, 3), "[^0-9.]", "x").alias("lead_number"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("n_chars").cast("string")).otherwise(F.col("text")).alias("size"),
         F.when(
             F.col("doc_id") % 3 == 0, F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 40).cast("string"), 2, "0"))
         ).otherwise(F.col("lang")).alias("parsed_day"),
     )
-    return L.coerce(rows, dates=["parsed_day"], numbers=["lead_number"])
+    return L.coerce(rows, dates=["parsed_day"], numbers=["size"])
 
 
 @query(
-    """SELECT l.doc_id, lower(trim(source)) AS source_name, CAST(starts_with(lower(source), 'w') AS INTEGER) AS is_web, CAST(contains(text, ' ') AS INTEGER) AS has_space,
+    """SELECT d.doc_id, lower(trim(source)) AS source_name, CAST(starts_with(lower(source), 'w') AS INTEGER) AS is_web, CAST(contains(text, ' ') AS INTEGER) AS has_space,
       replace(lang, 'e', 'E') AS lang_text, concat_ws('-', lang, CAST(quality AS VARCHAR)) AS tag
-    FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 )
 def string_helpers(t):
-    return t.documents.join(t.labels, "doc_id").select(
+    return t.documents.join(t.labels, "doc_id", "left").select(
         "doc_id",
         F.lower(F.trim("source")).alias("source_name"),
         N.flag(F.lower("source").startswith("w")).alias("is_web"),

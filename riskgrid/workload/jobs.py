@@ -120,7 +120,7 @@ def master_daily_table(t):
 
 
 HSIDES = """hfires AS (SELECT "City", CAST("Timestamp" AS DATE) AS "Date", count(*) AS fire_count, 1 AS "Fire_Occurred" FROM hreadings WHERE "Rain_mm" > 11 GROUP BY 1, 2),
-    hveg AS (SELECT "City", CAST("Timestamp" AS DATE) AS "Date", avg("Soil_Moisture") AS "NDVI" FROM hreadings WHERE day("Timestamp") % 4 = 3 GROUP BY 1, 2),
+    hveg AS (SELECT "City", CAST("Timestamp" AS DATE) AS "Date", avg("Soil_Moisture") FILTER (day("Timestamp") % 4 = 3) AS "NDVI" FROM hreadings GROUP BY 1, 2),
     hgeo AS (SELECT "City", max("Wind_Speed_kmh") AS "Elevation" FROM hreadings GROUP BY 1)"""
 
 
@@ -129,7 +129,9 @@ def hourly_sides(t):
     fires = rows.filter("Rain_mm > 11").groupBy("City", F.to_date("Timestamp").alias("Date")).agg(
         F.count(F.lit(1)).alias("fire_count"), F.first(F.lit(1)).alias("Fire_Occurred")
     )
-    veg = rows.filter(F.dayofmonth("Timestamp") % 4 == 3).select("City", F.col("Timestamp").alias("Date"), F.col("Soil_Moisture").alias("NDVI"))
+    # the side series is known on every fourth day
+    known = F.when(F.dayofmonth("Timestamp") % 4 == 3, F.col("Soil_Moisture"))
+    veg = rows.select("City", F.col("Timestamp").alias("Date"), known.alias("NDVI"))
     return fires, veg, rows.groupBy("City").agg(F.max("Wind_Speed_kmh").alias("Elevation"))
 
 

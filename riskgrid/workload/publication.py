@@ -234,8 +234,8 @@ def record_and_artefact_checks(t):
 
 
 CONSISTENCY = f"""{B.STATION_RISK}, ha AS (SELECT "City", CAST("Timestamp" AS DATE) AS "Date", max(probability) AS hourly_max, avg(probability) AS hourly_mean FROM station_hourly GROUP BY 1, 2),
-    rep AS (SELECT "City", "Date", d.probability AS daily_prob, hourly_max, hourly_mean, abs(hourly_max - d.probability) AS disagreement, abs(hourly_max - d.probability) > 0.35 AS mismatch_flag,
-      {B.tier_sql('d.probability', right=True)} AS daily_risk_level, {B.tier_sql('hourly_max', right=True)} AS hourly_max_risk_level FROM station_daily d JOIN ha USING ("City", "Date"))"""
+    rep AS (SELECT "City", "Date", d.probability AS daily_prob, hourly_max, hourly_mean, abs(hourly_max - d.probability) AS disagreement, coalesce(abs(hourly_max - d.probability) > 0.35, false) AS mismatch_flag,
+      CASE WHEN d.probability IS NOT NULL THEN {B.tier_sql('d.probability', right=True)} END AS daily_risk_level, {B.tier_sql('hourly_max', right=True)} AS hourly_max_risk_level FROM station_daily d JOIN ha USING ("City", "Date"))"""
 
 
 def consistency(t):
