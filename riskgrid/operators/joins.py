@@ -1,7 +1,7 @@
 """Keyed joins: labels, sparse series, lookups, anchors, completion.
 
-No side is hinted for broadcast: the optimizer and adaptive execution broadcast
-a side only after checking its size, and fall back to a shuffle join beyond it.
+A side is broadcast only after its size was checked (by adaptive execution or
+``sized_side``); beyond it the join falls back to a shuffle.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from riskgrid.functions.nulls import present
 from riskgrid.functions.risk import anchored
 from riskgrid.operators.panel import fill_gaps, latest_per_entity
+from riskgrid.session import sized_side
 from riskgrid.spec import Panel
 
 
@@ -23,8 +24,11 @@ def attach(df: DataFrame, side: DataFrame, on: Sequence[str], fill: dict | None
 
 
 def attach_daily(df: DataFrame, daily: DataFrame, entity: str = "City", ts: str = "Timestamp", fill: dict | None = None) -> DataFrame:
-    """Give every hour the values of its day."""
-    out = df.withColumn("Date", F.to_date(ts)).join(daily, [entity, "Date"], "left")
+    """Give every hour the values of its day.
+
+    The daily side has one row per place and day; it is measured, and while it is small the hours are not shuffled.
+    """
+    out = df.withColumn("Date", F.to_date(ts)).join(sized_side(daily), [entity, "Date"], "left")
     return out.fillna(fill) if fill else out
 
 

@@ -17,7 +17,7 @@ from riskgrid.functions.nulls import clip
 from riskgrid.operators.blend import apply_mix
 from riskgrid.operators.panel import row_features
 from riskgrid.operators.resample import lengthen
-from riskgrid.session import cut_lineage
+from riskgrid.session import cut_lineage, sized_side
 from riskgrid.spec import FORECAST_BOUNDS, Panel
 
 SERIES = ("City", "variable")
@@ -86,8 +86,8 @@ def fit_seasonal(long: DataFrame, columns: Sequence[Column], series: Sequence[st
 
 
 def apply_seasonal(long: DataFrame, fitted: DataFrame, columns: Sequence[Column], series: Sequence[str] = SERIES, name: str = "pred") -> DataFrame:
-    """Add the fitted value to rows of fitted series."""
-    joined = long.join(fitted, list(series))
+    """Add the fitted value to rows of fitted series; the fit has one row per series and is measured before the join."""
+    joined = long.join(sized_side(fitted), list(series))
     total = None
     for i, c in enumerate(columns):
         term = F.col("beta")[i] * c

@@ -141,10 +141,13 @@ def score(models: dict[str, PipelineModel], df: DataFrame, keep: Sequence[str])
 
 
 def calibrators(validation: DataFrame) -> dict[str, object]:
-    """Isotonic fit of outcome on score per model (a handful of models, one distributed fit each)."""
+    """Isotonic fit of outcome on score per model (a handful of models, one distributed fit each).
+
+    Rows of one score are joined to one weighted row first, so what the fit pools is bounded by the distinct scores.
+    """
     names = [r["model"] for r in validation.select("model").distinct().collect()]
-    iso = IsotonicRegression(featuresCol="p", labelCol="y", isotonic=True)
-    typed = validation.select("model", F.col("p"), F.col("y").cast("double").alias("y"))
+    iso = IsotonicRegression(featuresCol="p", labelCol="y", weightCol="w", isotonic=True)
+    typed = cut_lineage(validation.groupBy("model", "p").agg(F.avg(F.col("y").cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w")))
     return {n: iso.fit(typed.filter(F.col("model") == n)) for n in sorted(names)}
 
 

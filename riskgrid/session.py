@@ -56,11 +56,12 @@ def fixed_rows(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def sized_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Materialise a join side and count it; hint a broadcast only up to ``max_rows``.
+def sized_side(df: DataFrame, max_bytes: int = 32_000_000) -> DataFrame:
+    """Materialise a join side and measure it; hint a broadcast only up to ``max_bytes`` (of its rows as JSON text).
 
     Beyond the limit the side stays a plain frame, joined by shuffle with
     adaptive skew handling.
     """
     done = cut_lineage(df)
-    return F.broadcast(done) if done.count() <= max_rows else done
+    size = done.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0] or 0
+    return F.broadcast(done) if size <= max_bytes else done
