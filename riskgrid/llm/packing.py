@@ -28,12 +28,12 @@ class WordIds:
     """Token ids of a text, word by word.
 
     The vocabulary's rules drop white space and never join across it, so a text's ids are its words' ids in a row. Ids
-    are remembered per word. Plain words (Latin letters, then ASCII signs) are split into their lower-case letters and
-    the signs, which the rules also keep apart, and go to the vocabulary's BPE model in bulk; all other words go
+    are remembered per word. Plain words (Latin letters, then ASCII signs, no apostrophe) are split into their lower-case
+    letters and the signs, which the rules also keep apart, and go to the vocabulary's BPE model in bulk; all other words go
     through the whole tokenizer.
     """
 
-    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
+    SIGNS, LATIN = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", re.compile("[a-zß-öø-ÿ]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -47,19 +47,23 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.parts: dict[bytes, bytes] = {b"": b""}
 
     def learn(self, missing: set[bytes]) -> None:
-        split, new = [], set()
+        plain = []
         for word in missing:
-            text = word.decode("utf-8", "replace")
-            if m := self.PLAIN.fullmatch(text):
-                letters, signs = m[1].lower(), m[2]
-                split.append((word, letters, signs))
-                new.update(x for x in (letters, signs) if x not in self.parts)
-            else:
-                self.words[word] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        new = list(new)
+            letters = word.rstrip(self.SIGNS)
+            low = letters.lower()
+            if not low.isalpha():  # not only ASCII letters
+                low = letters.decode("utf-8", "replace").lower()
+                if not self.LATIN.fullmatch(low):
+                    self.words[word] = np.array(self.whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+                    continue
+                low = low.encode()
+            plain.append((word, low, word[len(letters) :]))
+        new = {low for _, low, _ in plain}
+        new.update(signs for _, _, signs in plain)
+        new = [x.decode() for x in new - self.parts.keys()]
         for at in range(0, len(new), 2000):
             some = new[at : at + 2000]
             lines = [" ".join(some[k : k + 50]) for k in range(0, len(some), 50)]
@@ -69,14 +73,16 @@ class WordIds:
                 raise ValueError("the vocabulary doesn't mark the ends of words")
             data, start = ids.tobytes(), 0
             for x, stop in zip(some, stops):
-                self.parts[x], start = data[4 * start : 4 * stop], stop
-        for word, letters, signs in split:
-            self.words[word] = self.parts[letters] + self.parts[signs]
+                self.parts[x.encode()], start = data[4 * start : 4 * stop], stop
+        parts = self.parts
+        self.words.update((word, parts[low] + parts[signs] if signs else parts[low]) for word, low, signs in plain)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.words) > REMEMBERED or len(self.parts) > REMEMBERED:
-            self.words, self.parts = {}, {"": b""}
+        if len(self.words) > REMEMBERED:
+            self.words = {}
+        if len(self.parts) > REMEMBERED:
+            self.parts = {b"": b""}
         split = [t.split() for t in texts]
         self.learn(set().union(*split) - self.words.keys())
         find = self.words.__getitem__
