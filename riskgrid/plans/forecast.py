@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from riskgrid.functions.calendar import hour_index
 from riskgrid.functions.nulls import clip
 from riskgrid.operators.blend import apply_mix
 from riskgrid.operators.panel import row_features
@@ -126,12 +128,53 @@ def seasonal_forecast(df: DataFrame, panel: Panel, variables: Sequence[str], day
     return out.select(*panel.key, "variable", "value")
 
 
+def seasonal_forecast_hourly(df: DataFrame, panel: Panel, variables: Sequence[str], hours: int = 336, daily: int = 3, weekly: int = 2, min_rows: int = 720) -> DataFrame:
+    """Fitted values for the ``hours`` after each entity's last row, long."""
+    hour = hour_index(panel.time) - hour_index(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    terms = hourly_design(hour, daily, weekly)
+    fitted = fit_seasonal(lengthen(df, panel.key, variables), terms, (panel.entity, "variable"), min_rows=min_rows)
+    last = df.groupBy(panel.entity).agg(F.max(panel.time).alias("__last"))
+    step = F.explode(F.sequence(F.lit(1), F.lit(hours))).alias("__h")
+    axis = last.select(panel.entity, "__last", step).select(panel.entity, (F.col("__last") + F.make_dt_interval(hours=F.col("__h"))).alias(panel.time))
+    return apply_seasonal(axis, fitted, terms, (panel.entity,), "value").select(*panel.key, "variable", "value")
+
+
 # ---------------------------------------------------------------- autoregression
 
 AR_LAGS = (1, 2, 3, 5, 7, 14, 30)
 AR_WIDTHS = (7, 14, 30)
 
 
+@dataclass(frozen=True)
+class Cadence:
+    """What an autoregression knows of a series: lags and trailing windows in steps, and the calendar of its target."""
+
+    lags: tuple[int, ...]
+    widths: tuple[int, ...]
+    calendar: tuple[str, ...]
+    hourly: bool = False
+
+    @property
+    def depth(self) -> int:
+        return max(*self.lags, *self.widths)
+
+    def ahead(self, time: Column, steps: Column | int) -> Column:
+        steps = F.lit(steps) if isinstance(steps, int) else steps
+        return time + F.make_dt_interval(hours=steps) if self.hourly else F.date_add(time, steps)
+
+    def target(self, time: Column) -> list[Column]:
+        parts = {"doy": F.dayofyear, "month": F.month, "hour": F.hour, "weekday": F.weekday}
+        return [parts[name](time).cast("double").alias(f"target_{name}") for name in self.calendar]
+
+    def inputs(self, direct: bool = True) -> list[str]:
+        rolls = [f"roll_{n}_{s}" for n in self.widths for s in ("mean", "std")]
+        return [*[f"lag_{k}" for k in self.lags], *rolls, *(["horizon"] if direct else []), *[f"target_{c}" for c in self.calendar]]
+
+
+BY_DAY = Cadence(AR_LAGS, AR_WIDTHS, ("doy", "month"))
+BY_HOUR = Cadence((1, 2, 3, 6, 12, 24, 48, 168), (24, 168), ("hour", "weekday"), hourly=True)
+
+
 def origin_features(values: DataFrame, panel: Panel, value: str, lags: Sequence[int] = AR_LAGS, widths: Sequence[int] = AR_WIDTHS) -> DataFrame:
     """What is known at the end of a row: its own and earlier values, trailing means and deviations."""
 
@@ -152,23 +195,14 @@ def _observed(df: DataFrame, panel: Panel, value: str) -> DataFrame:
     return df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*panel.key, value)
 
 
-def ar_inputs(lags: Sequence[int] = AR_LAGS, widths: Sequence[int] = AR_WIDTHS, direct: bool = True) -> list[str]:
-    rolls = [f"roll_{n}_{s}" for n in widths for s in ("mean", "std")]
-    return [*[f"lag_{k}" for k in lags], *rolls, *(["horizon"] if direct else []), "target_doy", "target_month"]
-
-
-def _target_calendar(date: Column) -> list[Column]:
-    return [F.dayofyear(date).cast("double").alias("target_doy"), F.month(date).cast("double").alias("target_month")]
-
-
-def fit_direct(df: DataFrame, panel: Panel, value: str, horizons: Sequence[int] = (1, 2, 3, 5, 7, 14, 21, 30), trees: int = 20) -> PipelineModel:
+def fit_direct(df: DataFrame, panel: Panel, value: str, horizons: Sequence[int] = (1, 2, 3, 5, 7, 14, 21, 30), trees: int = 20, cadence: Cadence = BY_DAY) -> PipelineModel:
     """One pooled model for all entities with the horizon as an input; no feedback loop."""
-    known = origin_features(_observed(df, panel, value), panel, value).dropna()
+    known = origin_features(_observed(df, panel, value), panel, value, cadence.lags, cadence.widths).dropna()
     pairs = known.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
-    pairs = pairs.withColumn("__at", F.date_add(panel.time, F.col("horizon")))
+    pairs = pairs.withColumn("__at", cadence.ahead(F.col(panel.time), F.col("horizon")))
     target = df.select(panel.entity, F.col(panel.time).alias("__at"), F.col(value).alias("__y"))
-    rows = pairs.join(target, [panel.entity, "__at"]).filter(F.col("__y").isNotNull()).select("*", *_target_calendar(F.col("__at")))
-    return _fit_boosted(rows.withColumn("horizon", F.col("horizon").cast("double")), ar_inputs(), trees)
+    rows = pairs.join(target, [panel.entity, "__at"]).filter(F.col("__y").isNotNull()).select("*", *cadence.target(F.col("__at")))
+    return _fit_boosted(rows.withColumn("horizon", F.col("horizon").cast("double")), cadence.inputs(), trees)
 
 
 def _fit_boosted(rows: DataFrame, inputs: Sequence[str], trees: int) -> PipelineModel:
@@ -179,57 +213,59 @@ def _fit_boosted(rows: DataFrame, inputs: Sequence[str], trees: int) -> Pipeline
     return Pipeline(stages=stages).fit(rows)
 
 
-def forecast_direct(df: DataFrame, panel: Panel, value: str, model: PipelineModel, days: int = 30) -> DataFrame:
-    """All steps of all entities in one transform, from each entity's last row."""
-    known = origin_features(_observed(df, panel, value), panel, value)
+def forecast_direct(df: DataFrame, panel: Panel, value: str, model: PipelineModel, days: int = 30, cadence: Cadence = BY_DAY) -> DataFrame:
+    """All steps (days, or hours by cadence) of all entities in one transform, from each entity's last row."""
+    known = origin_features(_observed(df, panel, value), panel, value, cadence.lags, cadence.widths)
     last = known.groupBy(panel.entity).agg(F.max_by(F.struct(*known.columns), panel.time).alias("r")).select("r.*").dropna()
     steps = last.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(days))))
-    steps = steps.withColumn("__at", F.date_add(panel.time, F.col("horizon"))).select("*", *_target_calendar(F.col("__at")))
+    steps = steps.withColumn("__at", cadence.ahead(F.col(panel.time), F.col("horizon"))).select("*", *cadence.target(F.col("__at")))
     out = model.transform(steps.withColumn("horizon", F.col("horizon").cast("double")))
     return out.select(panel.entity, F.col("__at").alias(panel.time), F.col("prediction").alias(value))
 
 
-def fit_one_step(df: DataFrame, panel: Panel, value: str, trees: int = 20, min_rows: int = 100) -> PipelineModel:
+def fit_one_step(df: DataFrame, panel: Panel, value: str, trees: int = 20, min_rows: int = 100, cadence: Cadence = BY_DAY) -> PipelineModel:
     """Pooled model of the next value; the input of ``forecast_recursive``."""
     long_enough = df.groupBy(panel.entity).agg(F.count(value).alias("__c")).filter(F.col("__c") >= min_rows).select(panel.entity)
     rows = df.join(long_enough, panel.entity, "left_semi")
-    known = origin_features(_observed(rows, panel, value), panel, value)
-    w = panel.window()
-    target = known.select("*", F.lead(value, 1).over(w).alias("__y"), F.lead(panel.time, 1).over(w).alias("__at")).dropna()
-    return _fit_boosted(target.select("*", *_target_calendar(F.col("__at"))), ar_inputs(direct=False), trees)
+    known = origin_features(_observed(rows, panel, value), panel, value, cadence.lags, cadence.widths)
+    # the step's own value is the next row's newest lag, so the target is joined by time and no entity is sorted whole
+    after = _observed(rows, panel, value).select(panel.entity, F.col(panel.time).alias("__at"), F.col(value).alias("__y"))
+    target = known.withColumn("__at", cadence.ahead(F.col(panel.time), 1)).join(after, [panel.entity, "__at"]).dropna()
+    return _fit_boosted(target.select("*", *cadence.target(F.col("__at"))), cadence.inputs(direct=False), trees)
 
 
-def forecast_recursive(df: DataFrame, panel: Panel, value: str, model: PipelineModel, days: int = 30, every: int = 5) -> DataFrame:
+def forecast_recursive(df: DataFrame, panel: Panel, value: str, model: PipelineModel, days: int = 30, every: int = 5, cadence: Cadence = BY_DAY) -> DataFrame:
     """Predictions fed back step by step, all entities together.
 
-    Each entity carries its last 30 values in one short array, so a step is a
+    Each entity carries its last values (30 days, 168 hours) in one short array, so a step is a
     projection and a model transform: no join, no window, no shuffle.  Lineage
     is cut every few steps through the checkpoint folder.
     """
-    depth = max(max(AR_LAGS), max(AR_WIDTHS))
+    depth = cadence.depth
     collected = row_features(
         _observed(df, panel, value), panel, [lambda w: [F.collect_list(value).over(w.rowsBetween(1 - depth, 0)).alias("recent")]], depth
     )
     state = collected.groupBy(panel.entity).agg(F.max_by("recent", panel.time).alias("recent"), F.max(panel.time).alias("at"))
-    state = state.filter(F.size("recent") == depth).withColumn("path", F.array().cast("array<struct<t:date,v:double>>"))
+    state = state.filter(F.size("recent") == depth).withColumn("path", F.array().cast(f"array<struct<t:{df.schema[panel.time].dataType.simpleString()},v:double>>"))
     state = cut_lineage(state)
     for step in range(1, days + 1):
-        state = _advance(state, panel, model, depth)
+        state = _advance(state, panel, model, cadence)
         if step % every == 0:
             state = cut_lineage(state)
     return state.select(panel.entity, F.inline("path")).select(panel.entity, F.col("t").alias(panel.time), F.col("v").alias(value))
 
 
-def _advance(state: DataFrame, panel: Panel, model: PipelineModel, depth: int) -> DataFrame:
+def _advance(state: DataFrame, panel: Panel, model: PipelineModel, cadence: Cadence) -> DataFrame:
+    depth = cadence.depth
     tail = lambda n: F.slice("recent", depth - n + 1, n)
     mean = lambda n: F.aggregate(tail(n), F.lit(0.0), lambda a, x: a + x) / n
     spread = lambda n: F.sqrt(F.aggregate(tail(n), F.lit(0.0), lambda a, x: a + (x - mean(n)) * (x - mean(n))) / (n - 1))
-    following = F.date_add("at", 1)
+    following = cadence.ahead(F.col("at"), 1)
     inputs = state.select(
         "*",
-        *[F.element_at("recent", -k).alias(f"lag_{k}") for k in AR_LAGS],
-        *[e for n in AR_WIDTHS for e in (mean(n).alias(f"roll_{n}_mean"), spread(n).alias(f"roll_{n}_std"))],
-        *_target_calendar(following),
+        *[F.element_at("recent", -k).alias(f"lag_{k}") for k in cadence.lags],
+        *[e for n in cadence.widths for e in (mean(n).alias(f"roll_{n}_mean"), spread(n).alias(f"roll_{n}_std"))],
+        *cadence.target(following),
     )
     out = model.transform(inputs)
     return out.select(

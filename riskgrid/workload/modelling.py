@@ -13,7 +13,7 @@ from riskgrid.operators import evaluate as E
 from riskgrid.plans import forecast as G
 from riskgrid.plans import learn as L
 from riskgrid.sources.readers import explode_axis, explode_payload
-from riskgrid.spec import API_NAMES, DAILY
+from riskgrid.spec import API_NAMES, DAILY, HOURLY
 from riskgrid.workload import binding as B
 from riskgrid.workload.registry import query
 
@@ -101,7 +101,7 @@ def weather_regressor_report(t):
 
 # ------------------------------------------------------------------- forecasting
 
-TARGETS = ["Temperature_C_mean", "Rain_mm_sum"]
+TARGETS = ["Temperature_C_mean", "Humidity_percent_mean", "Rain_mm_sum", "Wind_Speed_kmh_mean"]
 
 
 @query()
@@ -134,6 +134,20 @@ def seasonal_fit_hourly(t):
     return E.regression_report(done.select("City", F.col("value").alias("actual"), F.col("pred").alias("predicted")), ["City"])
 
 
+@query()
+def seasonal_forecast_hourly(t):
+    """Every hourly variable 336 hours ahead."""
+    return G.seasonal_forecast_hourly(B.weather_hourly(t), HOURLY, ["Temperature_C", "Humidity_percent", "Rain_mm", "Wind_Speed_kmh"], min_rows=100)
+
+
+@query()
+def autoregressive_hourly(t):
+    """The next 24 hours from lags of up to a week."""
+    hourly = L.cut_lineage(B.weather_hourly(t).select("City", "Timestamp", "Temperature_C"))
+    model = G.fit_direct(hourly, HOURLY, "Temperature_C", horizons=(1, 6, 24), trees=4, cadence=G.BY_HOUR)
+    return G.forecast_direct(hourly, HOURLY, "Temperature_C", model, days=24, cadence=G.BY_HOUR)
+
+
 @query()
 def autoregressive_direct(t):
     daily = L.cut_lineage(B.weather_daily(t).select("City", "Date", "Temperature_C_mean"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from riskgrid.plans import forecast as G
 from riskgrid.plans import learn as L
 from riskgrid.sources.sinks import load_bundle, save_bundle
-from riskgrid.spec import DAILY
+from riskgrid.spec import DAILY, HOURLY
 
 
 @pytest.fixture(scope="module")
@@ -125,7 +125,7 @@ def test_recursive_inputs_equal_training_inputs(spark):
     echo = Echo()
     G.forecast_recursive(df, DAILY, "v", echo, days=1)
     first = echo.seen.first()
-    for c in G.ar_inputs(direct=False)[:-2]:
+    for c in G.BY_DAY.inputs(direct=False)[:-2]:
         assert first[c] == pytest.approx(window[c]), c
 
 
@@ -141,3 +141,15 @@ def test_a_gap_costs_a_row_and_not_the_place(spark):
     assert rows(out.groupBy("City").count(), "City") == [("A", 3), ("B", 3)]
     many = G.fit_direct(df, DAILY, "v", horizons=(1, 3), trees=2)
     assert rows(G.forecast_direct(df, DAILY, "v", many, days=3).groupBy("City").count(), "City") == [("A", 3), ("B", 3)]
+
+
+def test_hourly_forecasts(spark):
+    data = [(p, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), 10 + 5 * math.sin(2 * math.pi * i / 24)) for p in ("A", "B") for i in range(800)]
+    df = spark.createDataFrame(data, "City string, Timestamp timestamp_ntz, v double")
+    ahead = G.seasonal_forecast_hourly(df, HOURLY, ["v"], hours=48)
+    got = rows(ahead.filter("City = 'A'"), "Timestamp")
+    assert len(got) == 48 and all(abs(r[3] - (10 + 5 * math.sin(2 * math.pi * (800 + i) / 24))) < 1e-3 for i, r in enumerate(got))
+    model = G.fit_one_step(df, HOURLY, "v", trees=3, cadence=G.BY_HOUR)
+    steps = rows(G.forecast_recursive(df, HOURLY, "v", model, days=3, cadence=G.BY_HOUR).filter("City = 'B'"), "Timestamp")
+    assert [r[1] for r in steps] == [dt.datetime(2024, 1, 1) + dt.timedelta(hours=800 + i) for i in range(3)]
+    assert all(abs(r[2] - (10 + 5 * math.sin(2 * math.pi * (800 + i) / 24))) < 2.5 for i, r in enumerate(steps))
