@@ -21,8 +21,9 @@ from riskgrid.llm.shared import ship, text_bytes
 from riskgrid.session import cut_lineage
 
 GRAM = 32
-#: Bytes of surroundings that a task gathers before it hands them on; occurrences of a frequent anchor that meet.
-LOAD, TOGETHER = 16_000_000, 1000
+#: Bytes of surroundings that a task gathers before it hands them on; occurrences of a frequent anchor that meet; bytes
+#: of texts hashed at a time.
+LOAD, TOGETHER, SLICE = 8_000_000, 1000, 1_000_000
 PLACE_BITS = np.uint64(30)
 
 
@@ -53,7 +54,7 @@ def _anchors(window: int, gram: int):
         rolling, table = Rolling(), byte_values()
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 data, first, lengths = joined(texts[a:b])
                 if len(data) < window:
                     continue
@@ -115,7 +116,7 @@ def _surroundings(window: int, gram: int, buckets: int, hot, load: int):
 
         for batch in batches:
             ids, texts, anchors = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 data, first, lengths = joined(texts[a:b])
                 if len(data) < window:
                     continue
