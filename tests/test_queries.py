@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = sorted(entry.oracle_sql())
-PICKED = NAMES if os.environ.get("RISKGRID_ALL_QUERIES") else NAMES[::9]
+PICKED = NAMES if os.environ.get("RISKGRID_ALL_QUERIES") else NAMES[::3]
 
 
 @pytest.fixture(scope="module")
