@@ -290,8 +290,12 @@ def _first_stays(window: int):
         if open_:
             h, doc, start = (np.concatenate(x) for x in zip(*open_))
             order = np.lexsort((start, doc, h))
-            later = order[np.concatenate([[False], h[order][1:] == h[order][:-1]])]
-            docs.append(doc[later]), starts.append(start[later]), lengths.append(np.full(len(later), window))
+            h, doc, start = h[order], doc[order], start[order]
+            at, count = runs(h)
+            first = np.repeat(at, count)
+            # one window may come from several frequent anchors in it: its own other mentions don't count
+            later = (doc != doc[first]) | (start != start[first])
+            docs.append(doc[later]), starts.append(start[later]), lengths.append(np.full(int(later.sum()), window))
         if not docs:
             return REMOVE.empty_table()
         rows = per_document(*(np.concatenate(x) for x in (docs, starts, lengths)))

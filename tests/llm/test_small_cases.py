@@ -217,7 +217,7 @@ def sound(v):
 @pytest.mark.parametrize("per_task", [4096, 20])
 def test_embedding_links(spark, monkeypatch, per_task):
     monkeypatch.setattr(pigeonhole, "PER_TASK", per_task)
-    rows = vectors(300, 7)
+    rows = vectors(300 if per_task > 100 else 130, 7)
     got = {r.vec_id: r for r in pigeonhole.near_duplicates(spark.createDataFrame(rows, VECTORS), width=4).collect()}
     ids = {r[0]: r for r in rows if r[0] is not None}
     use = [r for r in ids.values() if r[2] is not None and sound(r[1]) and any(r[1])]
@@ -229,7 +229,7 @@ def test_embedding_links(spark, monkeypatch, per_task):
                 if x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.98:
                     links.append((a[0], b[0]))
     want, count = roots(ids, links), Counter(n for pair in links for n in pair)
-    assert len(links) > 500 and set(got) == set(ids)
+    assert len(links) > 300 and set(got) == set(ids)
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (count[i], want[i], want[i] == i) for i in ids)
     assert pigeonhole.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
@@ -238,7 +238,7 @@ def test_embedding_links(spark, monkeypatch, per_task):
 def test_top_k(spark, monkeypatch, size):
     monkeypatch.setattr(voronoi, "QUERIES_PER_CELL", size)
     monkeypatch.setattr(voronoi, "DATA_PER_CELL", 40 * size)
-    rows = vectors(300, 8)
+    rows = vectors(300 if size > 100 else 110, 8)
     got = voronoi.top_k(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 10 == 0, pivots=7).collect()
     ids = {r[0]: np.floor(256 * np.array(r[1], float)).astype(int) for r in rows if r[0] is not None and sound(r[1])}
     want = []
