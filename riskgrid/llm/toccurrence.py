@@ -16,7 +16,7 @@ from riskgrid.llm.substrings import WordHashes
 from riskgrid.session import cut_lineage
 
 #: Signatures that a task holds at a time; sets and shingles that meet in a task; a list longer than this is long.
-LOAD, SETS, SHINGLES, LONG = 1_500_000, 2048, 1_500_000, 64
+LOAD, SETS, SHINGLES, LONG = 1_500_000, 4096, 2_500_000, 64
 
 
 class Shingles:
@@ -61,20 +61,24 @@ def bands(percent: int, largest: int = 1 << 26) -> tuple[np.ndarray, np.ndarray,
     while low < largest:
         high = max(low, 100 * low // percent)
         most = max(s - 2 * overlap(s, percent) for s in (2 * high, 2 * high - 1))
-        least.append(low), differ.append(max(most, 0)), blocks.append(most + 3 + most // 8)
+        least.append(low), differ.append(max(most, 0)), blocks.append(most + 3 + most * 5 // 8)
         low = high + 1
     return np.array(least), np.array(differ), np.array(blocks)
 
 
 def signatures(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature): a hash of each block of each set, for its own band and the next.
+    """(text, signature): a hash of the fuller blocks of each set, for its own band and the next.
 
-    Blocks deal out all shingles by hash. An empty block says nothing and is left out, unless so few blocks have
-    shingles that a linked set might agree in empty ones alone.
+    Blocks deal out all shingles by hash. Of each set only blocks of at least c shingles are named, with the largest c
+    that leaves more of them than shingles may differ from a linked set. Of two linked sets, the one of larger c has
+    such a block in which they agree, and the other names it too. Small blocks, which sets may share by chance or by a
+    common passage, so stay out.
     """
     least, differ, blocks = bands(percent)
     out_doc, out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     band = np.searchsorted(least, np.maximum(sizes, 1), "right") - 1
+    both = sizes + 100 * sizes // percent
+    most = np.maximum(both - 2 * overlap(both, percent), both - 1 - 2 * overlap(both - 1, percent))
     for up in (0, 1):
         level = band + up
         k = np.where((sizes > 0) & (differ[level] > 0), blocks[level], 0)
@@ -91,8 +95,10 @@ def signatures(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int)
         count = np.bincount(at, minlength=total)
         owner = np.repeat(np.arange(len(sizes)), k)
         number = (np.arange(total) - base[owner]).astype(np.uint64)
-        full = np.bincount(owner, count > 0, len(sizes))
-        keep = (count > 0) | (full <= differ[level])[owner]
+        fullness = np.zeros(len(sizes), np.int64)
+        for c in range(1, 9):
+            fullness[np.bincount(owner, count >= c, len(sizes)) > most] = c
+        keep = count >= fullness[owner]
         name = mixed(number * np.uint64(0x9E3779B97F4A7C15) + level[owner].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         sign = mixed(low * np.uint64(0xA0761D6478BD642F) + high * np.uint64(0xE7037ED1A0B428DB) + count.astype(np.uint64) + name)
         out_doc.append(owner[keep]), out.append(sign[keep])
