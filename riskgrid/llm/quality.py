@@ -22,7 +22,7 @@ EDGES = np.array([0, 0.002, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3,
 #: distinct words, repeated lines, lines per word, words with signs inside or behind, longest word.
 STATS = 14
 WIDTH = BUCKETS + STATS * BINS + META
-GATHERED = 300_000
+GATHERED = 120_000
 ENDS, BARE = (".", "!", "?"), re.compile(r"[^\w]+")
 
 

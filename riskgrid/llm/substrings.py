@@ -16,7 +16,7 @@ from riskgrid.llm.shared import ship, text_bytes
 
 #: Difference covers by period: any two places have a common shift below the period that puts both into the cover.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class WordHashes:
