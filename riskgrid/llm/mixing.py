@@ -1,4 +1,4 @@
-"""Mixing sources to target weights: Sainte-Laguë seats for equal-token blocks, then seeded block selection."""
+"""Mixing sources to target weights: Sainte-Laguë seats for equal-token blocks, then blocks in a seeded order of documents."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import re
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from riskgrid.llm.shared import WORD, ship
 from riskgrid.session import cut_lineage
@@ -93,10 +93,12 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
 
     A source's documents follow each other in a seeded order as a stream of words, cut into blocks of ``block`` words.
     Sainte-Laguë gives each source integer quotas of blocks per output shard; whole passes over the stream are taken
-    first, and the blocks of the last, partial pass are chosen at even distances from a seeded start, so each is taken
-    once at most and no row exceeds ``repeats`` times its size. The order is a hash order of the rows, so reruns agree.
+    first, and the last, partial pass takes its blocks in the seeded order, from the first on. So whole documents are
+    chosen, in a source at most one is cut (at the last block's end: it keeps its first words), a block is taken once
+    at most and no row exceeds ``repeats`` times its size. The order is a hash order of the rows, so reruns agree.
 
-    Returns id, source, size, source_size, target, quota (blocks), passes and taken. A null or wordless text has size
+    Returns id, source, size, source_size, target, quota (blocks), passes, place (words of the stream before the row),
+    text_crc32 and taken. A null or wordless text has size
     0 and takes 0; null is a source of its own, last in order; repeated rows are separate rows with the same or
     adjoining places; an empty table gives no rows; other columns are ignored. Sources are expected to be as few as
     their weights (one row each goes to the driver); words and rows are not collected.
@@ -108,23 +110,15 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     for source, (goal, per_shard) in quotas(sizes, list(weights), block, repeats, shards).items():
         words, size = sum(per_shard) * block, sizes[source]
         passes = min(repeats, words // size) if size else 0
-        blocks = size // block
-        extra = min(blocks, (words - passes * size + block // 2) // block) if passes < repeats else 0
-        plan.append((source, size, float(goal), sum(per_shard), passes, blocks, extra))
-    schema = "_source string, source_size long, target double, quota long, passes long, _blocks long, _extra long"
+        extra = min(size // block, (words - passes * size + block // 2) // block) if passes < repeats else 0
+        plan.append((source, size, float(goal), sum(per_shard), passes, min(size, extra * block)))
+    schema = "_source string, source_size long, target double, quota long, passes long, _extra long"
     plan = docs.sparkSession.createDataFrame(plan, schema)
     joined = _stream_places(facts, id_column, source_column, seed).join(F.broadcast(plan), F.col(source_column).cast("string").eqNullSafe(F.col("_source")))
-    start = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("_source", F.lit(""))), F.greatest("_blocks", F.lit(1)))
-
-    def chosen(blocks_before: Column) -> Column:
-        return F.when(F.col("_blocks") > 0, F.floor((F.least(blocks_before, F.col("_blocks")) * F.col("_extra") + start) / F.greatest("_blocks", F.lit(1)))).otherwise(0).cast("long")
-
-    def words_before(place: Column) -> Column:
-        whole = F.floor(place / block).cast("long")
-        return block * chosen(whole) + F.pmod(place, F.lit(block)) * (chosen(whole + 1) - chosen(whole))
-
-    taken = F.col("passes") * F.col("size") + words_before(F.col("_place") + F.col("size")) - words_before(F.col("_place"))
-    return joined.select(id_column, source_column, "size", "source_size", "target", "quota", "passes", taken.cast("long").alias("taken"))
+    last = F.col("_extra")
+    part = F.least(F.col("_place") + F.col("size"), last) - F.least(F.col("_place"), last)
+    taken = F.col("passes") * F.col("size") + part
+    return joined.select(id_column, source_column, "size", "source_size", "target", "quota", "passes", F.col("_place").alias("place"), F.col("_crc").alias("text_crc32"), taken.cast("long").alias("taken"))
 
 
 def _stream_places(facts: DataFrame, id_column: str, source_column: str, seed: int, least_blocks: int = 1024, rows_per_block: int = 20_000) -> DataFrame:
@@ -137,7 +131,7 @@ def _stream_places(facts: DataFrame, id_column: str, source_column: str, seed: i
     sums = dealt.groupBy(source_column, "_part").agg(F.sum("size").alias("_n"))
     earlier = Window.partitionBy(source_column).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sums.select(F.col(source_column).alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
-    return local.join(shifts, F.col(source_column).eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p"))).withColumn("_place", F.col("_in") + F.col("_shift")).drop("_s", "_p", "_shift", "_in", "_part", "_hash", "_crc")
+    return local.join(shifts, F.col(source_column).eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p"))).withColumn("_place", F.col("_in") + F.col("_shift")).drop("_s", "_p", "_shift", "_in", "_part", "_hash")
 
 
 def _cut(batches):
@@ -151,13 +145,16 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string())], names=[*batch.schema.names[2:], "_text"])
 
 
-def realised(docs: DataFrame, mixed: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def realised(docs: DataFrame, mixed: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """The mix as rows of ``docs``: a row that takes n times its words comes n times, and once more cut to the rest.
 
-    Rows with nothing taken go. Rows that share an id all take what the least of them takes; null is an id of its own.
+    The cut row keeps the words of the chosen blocks, which are its first. Rows with nothing taken go. Rows that share
+    id, source and text all take what the least of them takes; null is an id and a source of its own.
     """
-    taken = mixed.groupBy(F.col(id_column).alias("_id")).agg(F.min(F.struct("taken", "size")).alias("_t")).where("_t.taken > 0")
-    both = docs.join(taken, F.col(id_column).eqNullSafe(F.col("_id")))
+    keys = F.col(id_column).alias("_id"), F.col(source_column).alias("_from"), F.col("text_crc32").alias("_crc")
+    taken = mixed.groupBy(*keys).agg(F.min(F.struct("taken", "size")).alias("_t")).where("_t.taken > 0")
+    crc = F.crc32(F.coalesce(F.col(text_column), F.lit("")).cast("binary"))
+    both = docs.join(taken, F.col(id_column).eqNullSafe(F.col("_id")) & F.col(source_column).eqNullSafe(F.col("_from")) & (crc == F.col("_crc")))
     whole, rest = F.expr("cast(_t.taken div _t.size as int)"), F.expr("cast(_t.taken % _t.size as int)")
     copies = F.concat(F.array_repeat(F.lit(None).cast("int"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
     rows = both.select(*docs.columns, F.explode(copies).alias("_words"))

@@ -109,6 +109,29 @@ def test_mixing(spark):
     assert words == Counter({r.doc_id: r.taken for r in mixed.collect() if r.taken})
 
 
+def test_mixed_rows_are_the_chosen_blocks(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(rng.choice([1, 20, 90, 400, 5000]))), None, rng.choice("abcd")) for i in range(160)]
+    rows += [(3, "same id", None, "a"), (3, "same id, other text", None, "b")]
+    docs, text = frame(spark, rows), {(i, s, zlib.crc32(t.encode())): t.split() for i, t, _, s in rows}
+    mixed = mixing.mix(docs).collect()
+    got = Counter(w for r in mixing.realised(docs, mixing.mix(docs)).collect() for w in r.text.split())
+    want, plan = Counter(), mixing.quotas({s: sum(len(t.split()) for _, t, _, x in rows if x == s) for s in "abcd"}, [5, 2, 1], 32, 3, 8)
+    for source in "abcd":
+        own = sorted((r for r in mixed if r.source == source), key=lambda r: (r.place, r.size))
+        stream = [w for r in own for w in text[r.doc_id, r.source, r.text_crc32]]
+        places = [r.place for r in own]
+        assert places == [sum(r.size for r in own[:k]) for k in range(len(own))]
+        passes = own[0].passes
+        left = sum(r.taken for r in own) - passes * len(stream)
+        assert abs(left - sum(plan[source][1]) * 32 + passes * len(stream)) <= 64
+        for w in stream * passes + stream[:left]:
+            want[w] += 1
+        # at most one document of a source is cut
+        assert sum(r.size > 0 and r.taken % r.size > 0 for r in own) <= 1
+    assert got == want
+
+
 def test_mixing_of_nothing(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
 
