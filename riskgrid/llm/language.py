@@ -9,7 +9,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from riskgrid.llm.packing import slices
@@ -67,13 +67,18 @@ def _grams(longest: int, least: int):
 
 
 class LanguageModel:
-    """Negative log frequencies by language of known words (size 0) and of character n-grams (sizes 1 to longest)."""
+    """Negative log frequencies by language of known words (size 0) and of character n-grams (sizes 1 to longest).
 
-    def __init__(self, langs: list[str], usual: str | None, scores: list[dict[str, tuple[float, ...]]]):
-        self.langs, self.usual, self.scores = langs, usual, scores
+    ``scores`` holds them by size; a learned model has them all in ``table`` (size, gram, seen, s0, s1, ...) instead, and
+    in ``entries`` their number by size.
+    """
+
+    def __init__(self, langs: list[str], usual: str | None, scores: list[dict[str, tuple[float, ...]]], table: DataFrame | None = None, entries: list[int] | None = None):
+        self.langs, self.usual, self.scores, self.table = langs, usual, scores, table
+        self.entries = [len(s) for s in scores] if entries is None else entries
 
     def of(self, word: str) -> tuple[float, ...] | None:
-        """Score per language (lower is likelier): the word's own, or the mean of its longest known n-grams."""
+        """Score per language (lower is likelier) by ``scores``: the word's own, or the mean of its longest known n-grams."""
         if (own := self.scores[0].get(word)) is not None:
             return own
         framed = f"_{word}_"
@@ -84,59 +89,95 @@ class LanguageModel:
                 return tuple(map(lambda *x: sum(x) / len(found), *found))
         return None
 
+    def rows(self, spark: SparkSession) -> DataFrame:
+        if self.table is not None:
+            return self.table
+        kinds = ", ".join(["size int, gram string, seen long", *[f"s{i} double" for i in range(len(self.langs))]])
+        return spark.createDataFrame([(size, g, 1, *map(float, s)) for size, known in enumerate(self.scores) for g, s in known.items()], kinds)
+
 
-def learn(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", longest: int = 5, least: int = 2, max_words: int = 200_000, max_grams: int = 50_000) -> LanguageModel:
+def _grid(column: Column) -> Column:
+    """To a multiple of 2^-20, so that sums do not depend on their order."""
+    return F.rint(column * (1 << 20)) / (1 << 20)
+
+
+def learn(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", longest: int = 5, least: int = 2) -> LanguageModel:
     """Count words and n-grams by language over all rows with a text and a language.
 
-    All documents are counted, on the executors. The model keeps the most frequent entries: at most ``max_words``
-    (language, word) pairs seen ``least`` times, and ``max_grams`` pairs for each n-gram size. These two parameters
-    bound what is collected and shipped. Words that are not kept are what the n-grams are for.
+    All documents are counted, on the executors, and the model keeps every word that a language has ``least`` times and
+    every n-gram, as a table of one row each. Only the totals of each language come to the driver.
     """
     rows = docs.where(F.col(text_column).isNotNull() & F.col(lang_column).isNotNull()).select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).cast("binary"))
     words = rows.mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     grams = words.mapInArrow(_grams(longest, least), "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    grams = cut_lineage(grams.withColumn("level", F.floor(16 * F.log2("n")).cast("int")))
+    grams = cut_lineage(grams)
     totals = {(r.lang, r.size): r.n for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({lang for lang, _ in totals})
     if not langs:
         return LanguageModel([], None, [{}])
-    levels: dict[int, Counter] = {}
-    for r in grams.groupBy("size", "level").count().collect():  # some hundred levels for each size
-        levels.setdefault(r[0], Counter())[r[1]] = r[2]
-    keep = F.lit(False)
-    for size, held in levels.items():
-        room, lowest = max_grams if size else max_words, None
-        for level in sorted(held, reverse=True):
-            room -= held[level]
-            if room < 0:
-                break
-            lowest = level
-        if lowest is not None:
-            keep |= (F.col("size") == size) & (F.col("level") >= lowest)
-    kept = grams.where(keep).select("lang", "size", "gram", "n").toArrow()
-    counts: list[dict[str, dict[str, int]]] = [{} for _ in range(longest + 1)]
-    for lang, size, gram, n in zip(*[kept.column(c).to_pylist() for c in ("lang", "size", "gram", "n")]):
-        counts[size].setdefault(gram, {})[lang] = n
-    scores = []
-    for size, table in enumerate(counts):
-        whole = [totals.get((lang, size), 0) + 1 for lang in langs]
+    counts = grams.groupBy("size", "gram").agg(F.sum("n").alias("seen"), *[F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(f"n{i}") for i, lang in enumerate(langs)])
+
+    def score(i: int) -> Column:
+        whole = F.array(*[F.lit(log(totals.get((langs[i], size), 0) + 1)) for size in range(longest + 1)])
         # a gram that a language lacks counts as seen half a time
-        scores.append({g: tuple(log(t) - log(by.get(lang, 0.5)) for lang, t in zip(langs, whole)) for g, by in table.items()})
+        return _grid(F.get(whole, F.col("size")) - F.log(F.coalesce(F.col(f"n{i}").cast("double"), F.lit(0.5)))).alias(f"s{i}")
+
+    table = cut_lineage(counts.select("size", "gram", "seen", *[score(i) for i in range(len(langs))]))
+    held = {r[0]: r[1] for r in table.groupBy("size").count().collect()}
     usual = max(langs, key=lambda lang: (totals.get((lang, 1), 0), lang))
-    return LanguageModel(langs, usual, scores)
+    return LanguageModel(langs, usual, [], table, [held.get(size, 0) for size in range(longest + 1)])
+
+
+def _frequent(table: DataFrame, room: int) -> tuple[list[str], np.ndarray]:
+    """About the ``room`` most frequent words, never more, and their scores; which they are changes no result."""
+    words = table.where("size = 0").withColumn("_level", 64 * F.floor(16 * F.log2("seen")) + F.pmod(F.xxhash64("gram"), F.lit(64)))
+    lowest = None
+    for level, n in sorted(map(tuple, words.groupBy("_level").count().collect()), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        lowest = level
+    names = [c for c in table.columns if c not in ("size", "gram", "seen")]
+    if lowest is None:
+        return [], np.zeros((0, len(names)))
+    kept = words.where(F.col("_level") >= lowest).select("gram", *names).toArrow()
+    return kept.column(0).to_pylist(), np.column_stack([kept.column(c).to_numpy() for c in names])
+
+
+def _rest_scores(words: DataFrame, table: DataFrame, model: LanguageModel) -> DataFrame:
+    """Scores of each of the distinct ``words``: its own, or the mean of its longest known n-grams; without any it goes."""
+    names = [f"s{i}" for i in range(len(model.langs))]
+    out = cut_lineage(words.join(table.where("size = 0").select(F.col("gram").alias("word"), *names), "word"))
+    left = words.join(out, "word", "left_anti")
+    framed = F.concat(F.lit("_"), F.col("word"), F.lit("_"))
+    for size in range(len(model.entries) - 1, 0, -1):
+        left = cut_lineage(left)
+        if left.isEmpty():
+            break
+        places = F.sequence(F.lit(1), F.length(framed) - size + 1)
+        pieces = left.where(F.length(framed) >= size).select("word", F.explode(F.transform(places, lambda k: F.substring(framed, k, F.lit(size)))).alias("gram"))
+        known = table.where(F.col("size") == size).select("gram", *names)
+        # a bounded side only
+        known = F.broadcast(known) if model.entries[size] * (len(names) + 2) <= 2_000_000 else known
+        found = cut_lineage(pieces.join(known, "gram").groupBy("word").agg(*[_grid(F.sum(c) / F.count(F.lit(1))).alias(c) for c in names]))
+        out, left = out.unionAll(found), left.join(found, "word", "left_anti")
+    return out
 
 
-def _score(model: LanguageModel, schema: pa.Schema):
+def _known(words: list[str], scores: np.ndarray):
+    """Sums over a row's words that are in ``words``; the others, with their counts, are handed on."""
+    width, at_word = scores.shape[1], {w: i for i, w in enumerate(words)}
+
     def run(batches):
-        width = len(model.langs)
         rows: dict[bytes, int] = {}
+        others: dict[bytes, list[str]] = {}
         vectors = np.zeros((1 << 12, width + 2))  # scores, scored words, has a letter
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in slices(texts):
                 split = [t.split() for t in texts[a:b]]
                 if len(rows) > GATHERED:
-                    rows = {}
+                    rows, others = {}, {}
                 for token in set().union(*split) - rows.keys():
                     at = rows[token] = len(rows)
                     if at >= len(vectors):
@@ -145,9 +186,11 @@ def _score(model: LanguageModel, schema: pa.Schema):
                     text = token.decode("utf-8", "replace").lower()
                     vectors[at, -1] = any(map(str.isalpha, text))
                     for word in LETTERS.findall(text):
-                        if (score := model.of(word)) is not None:
-                            vectors[at, :width] += score
+                        if (found := at_word.get(word)) is not None:
+                            vectors[at, :width] += scores[found]
                             vectors[at, width] += 1
+                        else:
+                            others.setdefault(token, []).append(word)
                 lengths = np.fromiter(map(len, split), int, len(split))
                 at = np.fromiter(map(rows.__getitem__, chain.from_iterable(split)), int, int(lengths.sum()))
                 sums = np.zeros((len(split), width + 2))
@@ -155,16 +198,29 @@ def _score(model: LanguageModel, schema: pa.Schema):
                     full = lengths > 0
                     starts = (np.cumsum(lengths) - lengths)[full]
                     sums[full] = np.add.reduceat(vectors[at], starts)
-                names, values = [], []
-                for s in sums:
-                    if not s[-1]:
-                        names.append("und"), values.append(0.0)
-                    elif not s[width]:
-                        names.append(model.usual or "und"), values.append(1 / width if width else 0.0)
-                    else:
-                        best = int(s[:width].argmin())
-                        names.append(model.langs[best]), values.append(float(1 / np.exp(np.clip(s[best] - s[:width], -700, 0)).sum()))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(names), pa.array(values, pa.float64())], schema=schema)
+                handed = [list(Counter(chain.from_iterable(map(others.__getitem__, filter(others.__contains__, tokens)))).items()) for tokens in split]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(a, b - a), pa.array(list(sums), pa.list_(pa.float64())), pa.array([[{"word": w, "n": n} for w, n in row] for row in handed], pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))],
+                    names=["id", "sums", "others"],
+                )
+
+    return run
+
+
+def _best(langs: list[str], usual: str | None, schema: pa.Schema):
+    def run(batches):
+        width = len(langs)
+        for batch in batches:
+            names, values = [], []
+            for s in map(np.array, batch.column(1).to_pylist()):
+                if not s[-1]:
+                    names.append("und"), values.append(0.0)
+                elif not s[width]:
+                    names.append(usual or "und"), values.append(1 / width if width else 0.0)
+                else:
+                    best = int(s[:width].argmin())
+                    names.append(langs[best]), values.append(float(1 / np.exp(np.clip(s[best] - s[:width], -700, 0)).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(values, pa.float64())], schema=schema)
 
     return run
 
@@ -175,16 +231,35 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
     A text without letters, or null, is ``und`` with score 0; letters of which no n-gram is known go to the most
     frequent language with an even score; ties to the first language by name. With nothing learned all rows are
     ``und``. Whole texts count; repeated rows and null ids are scored like others; an empty table gives no rows.
+    The most frequent words are looked up in the tasks that read the texts; the rest, which are too many to ship, by
+    joins with the model's table, each distinct word once.
     """
-    field = docs.schema[id_column].dataType
+    spark, field, width = docs.sparkSession, docs.schema[id_column].dataType, len(model.langs)
     schema = pa.schema([(id_column, to_arrow_type(field)), ("lang_pred", pa.string()), ("score", pa.float64())])
     rows = docs.select(id_column, F.coalesce(F.col(text_column).cast("binary"), F.lit(b"")))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    table = model.rows(spark)
+    shared = spark.sparkContext.broadcast(_frequent(table, min(200_000, 4_000_000 // max(width, 1))))
 
-    def run(batches):
-        yield from _score(shared.value, schema)(batches)
+    def known(batches):
+        yield from _known(*shared.value)(batches)
+
+    begun = rows.mapInArrow(known, f"id {field.simpleString()}, sums array<double>, others array<struct<word:string,n:bigint>>")
+    sums = F.col("sums")
+    if width:
+        # row numbers are stored, so they stay as they are
+        begun = cut_lineage(begun.withColumn("row", F.monotonically_increasing_id()))
+        others = begun.select("row", F.inline("others"))
+        scored = _rest_scores(others.select("word").distinct(), table, model)
+        names = [f"s{i}" for i in range(width)]
+        more = others.join(scored, "word").groupBy("row").agg(F.array(*[F.sum(F.col(c) * F.col("n")) for c in names], F.sum("n").cast("double"), F.lit(0.0)).alias("more"))
+        begun = begun.select("id", "sums", "row").join(more, "row", "left")
+        sums = F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda x, y: x + y))
+    langs, usual = model.langs, model.usual
+
+    def best(batches):
+        yield from _best(langs, usual, schema)(batches)
 
-    return rows.mapInArrow(run, f"`{id_column}` {field.simpleString()}, lang_pred string, score double")
+    return begun.select("id", sums.alias("sums")).mapInArrow(best, f"`{id_column}` {field.simpleString()}, lang_pred string, score double")
 
 
 ship(__name__)

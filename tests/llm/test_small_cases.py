@@ -190,6 +190,38 @@ def test_language(spark):
     assert language.identify(frame(spark, []), model).count() == 0
 
 
+def test_every_counted_word_and_gram_is_kept(spark, monkeypatch):
+    """A large language doesn't push a small one out; scores as by plain counting, with few frequent words shipped."""
+    rng = random.Random(12)
+    word = lambda letters, k: "".join(rng.choices(letters, k=k))
+    large, small = [word("abcdefgh", 6) for _ in range(3000)], [word("efghijkl", 6) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(large, k=200)), "big", None) for i in range(300)] + [(1000 + i, " ".join(rng.choices(small, k=30)), "tiny", None) for i in range(40)]
+    new = [(i, " ".join([*rng.choices(small, k=2), *rng.choices(large, k=2), word("efgh", 5), word("ghijz", 4), "日本"]), None, None) for i in range(80)] + [(90, "日", None, None), (90, "日", None, None)]
+    counts = [{} for _ in range(6)]
+    for (lang, w), n in Counter((lang, w) for _, t, lang, _ in rows for w in t.split()).items():
+        framed = f"_{w}_"
+        for size, g in [(0, w)] * (n >= 2) + [(k, framed[a : a + k]) for k in range(1, 6) for a in range(len(framed) - k + 1)]:
+            counts[size].setdefault(g, Counter())[lang] += n
+    langs, scores = ["big", "tiny"], []
+    for by in counts:
+        whole = [1 + sum(c[lang] for c in by.values()) for lang in langs]
+        scores.append({g: tuple(np.log(t) - np.log(c[lang] or 0.5) for lang, t in zip(langs, whole)) for g, c in by.items()})
+    plain = language.LanguageModel(langs, "big", scores)
+    frequent = language._frequent
+    model = language.learn(frame(spark, rows))
+    assert model.entries == plain.entries and model.usual == "big"
+    for room in (0, 700, 10**6):
+        monkeypatch.setattr(language, "_frequent", lambda table, _: frequent(table, room))
+        assert len(frequent(model.table, room)[0]) <= room
+        got = sorted(language.identify(frame(spark, new), model).collect())
+        assert len(got) == len(new)
+        for r, (i, text, _, _) in zip(got, sorted(new)):
+            found = [s for w in text.split() if (s := plain.of(w)) is not None]
+            big, tiny = map(sum, zip(*found)) if found else (0.0, 0.0)
+            assert r.doc_id == i and r.lang_pred == ("big" if big <= tiny else "tiny")
+            assert r.score == pytest.approx(1 / (1 + np.exp(-abs(big - tiny))), abs=1e-4)
+
+
 def test_backoff_uses_the_longest_known_grams():
     model = language.LanguageModel(["x", "y"], "x", [{"word": (1.0, 2.0)}, {"w": (3.0, 4.0), "_": (9.0, 9.0)}, {"_w": (5.0, 6.0), "wo": (7.0, 8.0)}])
     assert model.of("word") == (1.0, 2.0) and model.of("wo") == (6.0, 7.0) and model.of("aw") == pytest.approx((7.0, 22 / 3)) and model.of("日") == (9.0, 9.0)
