@@ -74,14 +74,14 @@ def quotas(sizes: Sizes, weights: list[int], block: int, repeats: int, shards: i
     """Per source its target and its blocks in each of ``shards`` output shards.
 
     The method never takes a seat back as the house grows, so the shards' quotas are the seats that the house gains
-    from one shard to the next.
+    from one shard to the next. Parts of a block count as blocks: of a source's limit and of the whole.
     """
     goal = targets(sizes, weights, repeats)
     order, total = list(goal), sum(sizes.values())
-    most = [repeats * sizes[s] // block for s in order]
+    most = [-(-repeats * sizes[s] // block) for s in order]
     before, out = [0] * len(order), {s: [] for s in order}
     for k in range(1, shards + 1):
-        now = seats([goal[s] for s in order], total * k // (block * shards), most)
+        now = seats([goal[s] for s in order], -(-total * k // (block * shards)), most)
         for s, a, b in zip(order, now, before):
             out[s].append(a - b)
         before = now
@@ -93,11 +93,13 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
 
     A source's documents follow each other in a seeded order as a stream of words, cut into blocks of ``block`` words.
     Sainte-Laguë gives each source integer quotas of blocks per output shard; whole passes over the stream are taken
-    first, and the last, partial pass takes its blocks in the seeded order, from the first on. So whole documents are
+    first, and the last, partial pass takes the rest in the seeded order, from the first block on; a source's last block
+    may be a part of one, and a source with a target below one block is served in words. So whole documents are
     chosen, in a source at most one is cut (at the last block's end: it keeps its first words), a block is taken once
     at most and no row exceeds ``repeats`` times its size. The order is a hash order of the rows, so reruns agree.
 
-    Returns id, source, size, source_size, target, quota (blocks), passes, place (words of the stream before the row),
+    Returns id, source, size, source_size, target, quota (blocks), quotas (blocks of each output shard; rows are not
+    dealt to shards here), passes, place (words of the stream before the row),
     text_crc32 and taken. A null or wordless text has size
     0 and takes 0; null is a source of its own, last in order; repeated rows are separate rows with the same or
     adjoining places; an empty table gives no rows; other columns are ignored. Sources are expected to be as few as
@@ -108,17 +110,18 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     sizes = {r[0]: r[1] for r in facts.groupBy(source_column).agg(F.sum("size")).collect()}
     plan = []
     for source, (goal, per_shard) in quotas(sizes, list(weights), block, repeats, shards).items():
-        words, size = sum(per_shard) * block, sizes[source]
-        passes = min(repeats, words // size) if size else 0
-        extra = min(size // block, (words - passes * size + block // 2) // block) if passes < repeats else 0
-        plan.append((source, size, float(goal), sum(per_shard), passes, min(size, extra * block)))
-    schema = "_source string, source_size long, target double, quota long, passes long, _extra long"
+        size = sizes[source]
+        # a target below one block is served in words
+        words = int(goal) if goal < block else min(sum(per_shard) * block, repeats * size)
+        passes = words // size if size else 0
+        plan.append((source, size, float(goal), sum(per_shard), per_shard, passes, words - passes * size))
+    schema = "_source string, source_size long, target double, quota long, quotas array<long>, passes long, _extra long"
     plan = docs.sparkSession.createDataFrame(plan, schema)
     joined = _stream_places(facts, id_column, source_column, seed).join(F.broadcast(plan), F.col(source_column).cast("string").eqNullSafe(F.col("_source")))
     last = F.col("_extra")
     part = F.least(F.col("_place") + F.col("size"), last) - F.least(F.col("_place"), last)
     taken = F.col("passes") * F.col("size") + part
-    return joined.select(id_column, source_column, "size", "source_size", "target", "quota", "passes", F.col("_place").alias("place"), F.col("_crc").alias("text_crc32"), taken.cast("long").alias("taken"))
+    return joined.select(id_column, source_column, "size", "source_size", "target", "quota", "quotas", "passes", F.col("_place").alias("place"), F.col("_crc").alias("text_crc32"), taken.cast("long").alias("taken"))
 
 
 def _stream_places(facts: DataFrame, id_column: str, source_column: str, seed: int, least_blocks: int = 1024, rows_per_block: int = 20_000) -> DataFrame:

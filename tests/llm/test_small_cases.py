@@ -132,6 +132,15 @@ def test_mixed_rows_are_the_chosen_blocks(spark):
     assert got == want
 
 
+def test_sources_below_one_block(spark):
+    sizes = {"a": 10, "b": 20, "c": 5, "d": 1000}
+    rows = [(i, " ".join(["w"] * n), None, s) for i, (s, n) in enumerate(sizes.items())]
+    got = {r.source: r for r in mixing.mix(frame(spark, rows)).collect()}
+    assert {s: r.taken for s, r in got.items() if s != "d"} == {"a": 30, "b": 60, "c": 15} and abs(got["d"].taken - got["d"].target) <= 32
+    assert all(len(r.quotas) == 8 and sum(r.quotas) == r.quota for r in got.values())
+    assert [r.taken for r in mixing.mix(frame(spark, [(1, "five words in all here", None, "a")])).collect()] == [5]
+
+
 def test_mixing_of_nothing(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
 
