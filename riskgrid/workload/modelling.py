@@ -6,19 +6,22 @@ by tests on small fixtures.  Data-side steps have their twin as usual.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from riskgrid.functions.calendar import hour_index, temporal_split
 from riskgrid.operators import evaluate as E
 from riskgrid.plans import forecast as G
 from riskgrid.plans import learn as L
 from riskgrid.sources.readers import explode_axis, explode_payload
-from riskgrid.spec import API_NAMES, DAILY, HOURLY
+from riskgrid.spec import API_NAMES, DAILY, DAILY_WEATHER, HOURLY, HOURLY_TARGETS, HOURLY_VARIABLES
 from riskgrid.workload import binding as B
 from riskgrid.workload.registry import query
 
 INPUTS = ["Temperature_C_mean", "Humidity_percent_mean", "Rain_mm_sum", "Wind_Speed_kmh_mean", "Pressure_hPa_mean", "Solar_Radiation_Wm2_mean"]
 NAMES = ["logistic", "random_forest", "hist_boosting"]
+TREES = 4  # of the autoregressive models, for the same reason as SMALL
 SMALL = 0.02  # share of the full tree counts, to keep the registered queries short
 
 
@@ -62,7 +65,7 @@ def calibration_kept(t):
 @query()
 def stacked_ensemble(t):
     rows = L.cut_lineage(frame(t))
-    folds, meta = L.stack(rows.filter("split = 'train'"), INPUTS, NAMES[:2], ["City", "Date"], folds=2, scale=SMALL)
+    folds, meta = L.stack(rows.filter("split = 'train'"), INPUTS, NAMES[:2], ["City", "Date"], scale=SMALL)
     scores = L.stacked_scores(rows.filter("split <> 'train'"), folds, meta, KEY)
     return E.areas(L.cut_lineage(scores), ["split"])
 
@@ -111,7 +114,7 @@ def seasonal_residual_features(t):
 
 @query()
 def seasonal_forecast_daily(t):
-    return G.seasonal_forecast(B.weather_daily(t), DAILY, TARGETS, days=60)
+    return G.seasonal_forecast(B.weather_daily(t), DAILY, DAILY_WEATHER)
 
 
 @query(
@@ -137,29 +140,31 @@ def seasonal_fit_hourly(t):
 @query()
 def seasonal_forecast_hourly(t):
     """Every hourly variable 336 hours ahead."""
-    return G.seasonal_forecast_hourly(B.weather_hourly(t), HOURLY, ["Temperature_C", "Humidity_percent", "Rain_mm", "Wind_Speed_kmh"], min_rows=100)
+    return G.seasonal_forecast_hourly(B.weather_hourly(t), HOURLY, HOURLY_VARIABLES)
 
 
 @query()
 def autoregressive_hourly(t):
-    """The next 24 hours from lags of up to a week."""
-    hourly = L.cut_lineage(B.weather_hourly(t).select("City", "Timestamp", "Temperature_C"))
-    model = G.fit_direct(hourly, HOURLY, "Temperature_C", horizons=(1, 6, 24), trees=4, cadence=G.BY_HOUR)
-    return G.forecast_direct(hourly, HOURLY, "Temperature_C", model, days=24, cadence=G.BY_HOUR)
+    """The next 336 hours of each hourly target from lags of up to a week, long."""
+    hourly = L.cut_lineage(B.weather_hourly(t).select("City", "Timestamp", *HOURLY_TARGETS))
+    out = []
+    for target in HOURLY_TARGETS:
+        model = G.fit_direct(hourly, HOURLY, target, horizons=(1, 6, 24, 48, 72, 168, 336), trees=TREES, cadence=G.BY_HOUR)
+        ahead = G.forecast_direct(hourly, HOURLY, target, model, days=336, cadence=G.BY_HOUR)
+        out.append(ahead.select("City", "Timestamp", F.lit(target).alias("variable"), F.col(target).alias("value")))
+    return reduce(DataFrame.unionAll, out)
 
 
 @query()
 def autoregressive_direct(t):
     daily = L.cut_lineage(B.weather_daily(t).select("City", "Date", "Temperature_C_mean"))
-    model = G.fit_direct(daily, DAILY, "Temperature_C_mean", horizons=(1, 7, 30), trees=4)
-    return G.forecast_direct(daily, DAILY, "Temperature_C_mean", model, days=30)
+    return G.forecast_direct(daily, DAILY, "Temperature_C_mean", G.fit_direct(daily, DAILY, "Temperature_C_mean", trees=TREES))
 
 
 @query()
 def autoregressive_recursive(t):
     daily = L.cut_lineage(B.weather_daily(t).select("City", "Date", "Temperature_C_mean"))
-    model = G.fit_one_step(daily, DAILY, "Temperature_C_mean", trees=4)
-    return G.forecast_recursive(daily, DAILY, "Temperature_C_mean", model, days=10)
+    return G.forecast_recursive(daily, DAILY, "Temperature_C_mean", G.fit_one_step(daily, DAILY, "Temperature_C_mean", trees=TREES))
 
 
 @query(
