@@ -10,6 +10,7 @@ from riskgrid.llm.feistel import shard
 from riskgrid.llm.language import identify, learn
 from riskgrid.llm.mixing import mix
 from riskgrid.llm.packing import pack
+from riskgrid.llm.periodic import looped, periodic_runs
 from riskgrid.llm.pigeonhole import near_duplicates
 from riskgrid.llm.quality import score, train
 from riskgrid.llm.shared import remainder, table
@@ -154,3 +155,58 @@ def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = drop_repeats(table(spark, folder, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return found.select(F.col("doc").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+_LOOPED = r"""
+read AS (SELECT doc_id, crc32_h // 10 AS g, crc32_h % 10 AS last, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM (
+  SELECT *, {crc} AS crc32_h FROM documents)),
+placed AS (SELECT *, CASE WHEN len(ws) > 0 THEN g % len(ws) END AS a FROM read),
+looped AS (SELECT *, 1 + (len(ws) - a) // (3 + g % 8) AS p FROM placed),
+w AS (
+  SELECT doc_id, CASE WHEN last = 0 AND len(ws) > 0 THEN list_transform(range(len(ws)), lambda i: CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % p + 1] END) ELSE ws END AS words
+  FROM looped),
+"""
+#: crc32 of a decimal number without a built-in: bit by bit over its bytes, the number's digits joined to a list first.
+_CRC = """list_reduce(list_prepend(4294967295, list_transform(range(1, len(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substring(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))"""
+
+
+@query(
+    "WITH "
+    + _LOOPED.replace("{crc}", f"xor(4294967295, {_CRC})")
+    + """
+spots AS (SELECT doc_id, len(words) AS n, unnest(words) AS word, unnest(range(len(words))) AS i FROM w),
+same AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM spots x JOIN spots y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+streaks AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same) GROUP BY doc_id, q, k),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM streaks WHERE length >= 6 AND length >= 4 * q GROUP BY doc_id, start, length),
+told AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t,
+    arg_min({'start': start, 'length': length, 'period': period}, {'a': -length, 'b': start, 'c': period}) AS best
+  FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM spots ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length,
+  CAST(best.period AS BIGINT) AS period, CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(told.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM w LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+)
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    seed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    found = periodic_runs(docs.select("doc_id", looped(F.col("text"), seed).alias("text")))
+    best = F.sort_array(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    told = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    rows = found.withColumn("best", F.get(best, F.lit(0)))
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.less")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("-1000 * best.less div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(told, F.lit("\n"))).otherwise(F.lit("")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
