@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from riskgrid.llm.collocations import phrases
 from riskgrid.llm.feistel import shard
 from riskgrid.llm.language import identify, learn
 from riskgrid.llm.mixing import mix
@@ -210,3 +211,33 @@ def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.when(F.size("runs") > 0, F.concat(told, F.lit("\n"))).otherwise(F.lit("")).cast("binary"), 256).alias("runs_sha256"),
         F.sha2("kept", 256).alias("collapsed_sha256"),
     )
+
+
+@query(r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+grams AS (
+  SELECT lang, unnest(list_concat(
+    list_transform(range(1, len(words) + 1), lambda i: words[i:i]), list_transform(range(1, len(words)), lambda i: words[i:i + 1]),
+    list_transform(range(1, len(words) - 1), lambda i: words[i:i + 2]), list_transform(range(1, len(words) - 2), lambda i: words[i:i + 3]))) AS g FROM w),
+counts AS (SELECT lang, g, CAST(count(*) AS BIGINT) AS f FROM grams GROUP BY lang, g),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE len(g) = 1 GROUP BY lang),
+candidates AS (SELECT lang, g, f AS a FROM counts WHERE len(g) > 1 AND f >= 30),
+cuts AS (SELECT c.*, unnest(range(1, len(g))) AS k FROM candidates c),
+scored AS (
+  SELECT c.lang, c.g, c.a, k, x.f AS l, y.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN counts y ON y.lang = c.lang AND y.g = c.g[k + 1:]),
+lowest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS place FROM scored) WHERE place = 1),
+inside AS (
+  SELECT lang, a AS most, unnest(list_filter([g[1:2], g[2:3], g[3:4], g[1:3], g[2:4]], lambda x: len(x) > 1 AND len(x) < len(g))) AS part FROM candidates),
+covered AS (SELECT lang, part, max(most) AS most FROM inside GROUP BY ALL),
+left_over AS (
+  SELECT s.*, array_to_string(g, ' ') AS phrase FROM lowest s LEFT JOIN covered c ON c.lang = s.lang AND c.part = s.g
+  WHERE most IS NULL OR 100 * CAST(most AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over) JOIN totals USING (lang) WHERE rank <= 2000
+""")
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases(table(spark, folder, "documents"))
