@@ -8,6 +8,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskgrid.llm.packing import slices
@@ -48,7 +49,7 @@ class Words:
         at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
         for lang in set(langs) - self.langs.keys():
             self.langs[lang] = len(self.langs)
-        seeds = np.array([xxhash.xxh64_intdigest(x.encode()) for x in self.langs], np.uint64)
+        seeds = np.array([xxhash.xxh64_intdigest(x.encode(), seed=1) for x in self.langs], np.uint64)
         lang = np.repeat(np.array([self.langs[x] for x in langs], np.int64), lengths)
         h = self.hashes[at]
         return at, lang, np.where(h == 0, h, mixed(h ^ seeds[lang]) | np.uint64(1))
@@ -62,19 +63,14 @@ def gram_hash(words: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-class Filter:
-    """A set of grams by one bit each: has all of them, and few others."""
+def passes(bits: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """Which grams are in a filter: all that were put in, and few others."""
+    at = gram_hash(words) % np.uint64(FILTER_BITS)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
 
-    def has(self, words: list[np.ndarray]) -> np.ndarray:
-        at = gram_hash(words) % np.uint64(FILTER_BITS)
-        return (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-
-def filter_of(grams: DataFrame, columns: list[str]) -> Filter:
-    """The filter of a frame's grams (columns of word hashes); what reaches the driver has a fixed size at most."""
+def filter_of(grams: DataFrame, columns: list[str]) -> Broadcast:
+    """A filter (one bit a gram) of a frame's grams (columns of word hashes); its size is fixed."""
 
     def run(batches):
         for batch in batches:
@@ -84,7 +80,7 @@ def filter_of(grams: DataFrame, columns: list[str]) -> Filter:
     cells = grams.select(*columns).mapInArrow(run, "cell long, bit long").groupBy("cell").agg(F.bit_or("bit").alias("bit")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, np.uint64)
     bits[cells.column("cell").to_numpy()] = cells.column("bit").to_numpy().view(np.uint64)
-    return Filter(bits)
+    return grams.sparkSession.sparkContext.broadcast(bits)
 
 
 def _combined(parts: Iterator[list[np.ndarray]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -146,7 +142,7 @@ def _count_pairs(frequent):
     def run(batches):
         def pairs():
             for _, _, _, _, h in _read(batches):
-                good = (h != 0) & frequent.value.has([h])
+                good = (h != 0) & passes(frequent.value, [h])
                 at = np.flatnonzero(good[:-1] & good[1:])
                 if len(at):
                     yield [h[at], h[at + 1]]
@@ -163,7 +159,7 @@ def _stretches(pairs):
         for _, _, _, _, h in _read(batches):
             linked = np.zeros(len(h), bool)  # with the next word
             at = np.flatnonzero((h[:-1] != 0) & (h[1:] != 0))
-            linked[at] = pairs.value.has([h[at], h[at + 1]])
+            linked[at] = passes(pairs.value, [h[at], h[at + 1]])
             before = np.append(False, linked[:-1])
             # longer phrases need two links in a row
             twice = linked & (before | np.append(linked[1:], False))
@@ -193,9 +189,9 @@ def _count_longer(n: int, heads, tails, settled: list[tuple]):
                         good &= h[k : len(h) - n + 1 + k] != 0
                     at = np.flatnonzero(good)
                     words = [h[at + k] for k in range(n)]
-                    wanted = heads.value.has(words[:-1]) | tails.value.has(words[1:])
+                    wanted = passes(heads.value, words[:-1]) | passes(tails.value, words[1:])
                     for head, tail in settled:
-                        wanted &= ~(head.value.has(words[:-1]) | tail.value.has(words[1:]))
+                        wanted &= ~(passes(head.value, words[:-1]) | passes(tail.value, words[1:]))
                     if wanted.any():
                         yield [w[wanted] for w in words]
 
@@ -281,14 +277,13 @@ def phrases(docs: DataFrame, text_column: str = "text", lang_column: str = "lang
     size and histograms of bounds per language.
     """
     spark = docs.sparkSession
-    share = spark.sparkContext.broadcast
     rows = docs.select(text_bytes(text_column).alias("text"), F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("lang"))
     counted = cut_lineage(rows.mapInArrow(_count_words, "lang string, word binary, w long, f long").groupBy("lang", "word").agg(F.first("w").alias("w"), F.sum("f").alias("f")))
     words = counted.where(F.col("f") >= least)
-    pairs = _counted(rows, 2, _count_pairs(share(filter_of(words, ["w"]))), least)
+    pairs = _counted(rows, 2, _count_pairs(filter_of(words, ["w"])), least)
     pairs = pairs.join(words.select("lang", F.col("w").alias("w0"), F.col("f").alias("head1")), "w0").join(words.select(F.col("w").alias("w1"), F.col("f").alias("tail1")), "w1")
     two = cut_lineage(_scored(pairs, [("head1", "tail1")]).withColumns({"head": _bound("head1"), "tail": _bound("tail1")}))
-    texts = cut_lineage(rows.mapInArrow(_stretches(share(filter_of(two, ["w0", "w1"]))), "words binary"))
+    texts = cut_lineage(rows.mapInArrow(_stretches(filter_of(two, ["w0", "w1"])), "words binary"))
 
     bands: dict[str, list[tuple[int, int]]] = {}
     band = F.expr("greatest(head, tail) div 1000").alias("band")
@@ -306,7 +301,7 @@ def phrases(docs: DataFrame, text_column: str = "text", lang_column: str = "lang
         def new(n: int, parts: DataFrame) -> DataFrame:
             reached = parts.join(levels, "lang")
             names = [f"w{k}" for k in range(n - 1)]
-            heads, tails = (share(filter_of(reached.where(F.col(side) >= F.col("level")), names)) for side in ("head", "tail"))
+            heads, tails = (filter_of(reached.where(F.col(side) >= F.col("level")), names) for side in ("head", "tail"))
             grams = _counted(texts, n, _count_longer(n, heads, tails, list(settled[n])), least)
             settled[n].append((heads, tails))
             return cut_lineage(grams)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from riskgrid.llm import toxicity
 from riskgrid.llm.collocations import phrases
 from riskgrid.llm.feistel import shard
 from riskgrid.llm.language import identify, learn
@@ -241,3 +242,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC
 """)
 def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return phrases(table(spark, folder, "documents"))
+
+
+@query()
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    detector = toxicity.train(docs, table(spark, folder, "labels").where(remainder("doc_id", 3) != 1))
+    return toxicity.score(docs, detector).withColumn("held_out", remainder("doc_id", 3) == 1).select("doc_id", "held_out", "score", "predicted")
