@@ -37,8 +37,6 @@ class Words:
     def of(self, texts: list[bytes], langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all words of the texts, one after the other: number, language (number) and hash. Texts end with a piece."""
         split = [(t.translate(FOLD) + STOP).replace(STOP, b" A ").split() for t in texts]
-        if len(self.number) > REMEMBERED:
-            self.number, self.texts = {}, []
         for word in set().union(*split) - self.number.keys():
             k = self.number[word] = len(self.texts)
             self.texts.append(word)
@@ -49,10 +47,19 @@ class Words:
         at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
         for lang in set(langs) - self.langs.keys():
             self.langs[lang] = len(self.langs)
-        seeds = np.array([xxhash.xxh64_intdigest(x.encode(), seed=1) for x in self.langs], np.uint64)
         lang = np.repeat(np.array([self.langs[x] for x in langs], np.int64), lengths)
-        h = self.hashes[at]
-        return at, lang, np.where(h == 0, h, mixed(h ^ seeds[lang]) | np.uint64(1))
+        return at, lang, self.of_lang(at, lang)
+
+    def of_lang(self, number: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        seeds = np.array([xxhash.xxh64_intdigest(x.encode(), seed=1) for x in self.langs], np.uint64)
+        h = self.hashes[number]
+        return np.where(h == 0, h, mixed(h ^ seeds[lang]) | np.uint64(1))
+
+    def full(self) -> bool:
+        return len(self.number) > REMEMBERED
+
+    def forget(self) -> None:
+        self.number, self.texts = {}, []
 
 
 def gram_hash(words: list[np.ndarray]) -> np.ndarray:
@@ -109,31 +116,46 @@ def _gram_schema(n: int) -> pa.Schema:
     return pa.schema([*[(f"w{k}", pa.int64()) for k in range(n)], ("a", pa.int64())])
 
 
-def _read(batches) -> Iterator[tuple[Words, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+def _read(batches) -> Iterator[np.ndarray]:
+    """Hashes of the words of slices of texts."""
     words = Words()
     for batch in batches:
         texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for a, b in slices(texts):
-            yield words, langs[a:b], *words.of(texts[a:b], langs[a:b])
+            if words.full():
+                words.forget()
+            yield words.of(texts[a:b], langs[a:b])[2]
 
 
 WORD_COUNTS = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("w", pa.int64()), ("f", pa.int64())])
 
 
 def _count_words(batches):
-    """Counts of words by language, summed over loads."""
-    held: dict[tuple[str, bytes], list[int]] = {}
-    for words, _, at, lang, h in _read(batches):
+    """Counts of words by language, summed as long as the words are remembered."""
+    words, sums = Words(), {}
+
+    def told():
         names = list(words.langs)
-        key, first, count = np.unique(lang * len(words.texts) + at, return_index=True, return_counts=True)
-        for k, f, n in zip(key.tolist(), first.tolist(), count.tolist()):
-            if h[f]:
-                entry = held.setdefault((names[k // len(words.texts)], words.texts[k % len(words.texts)]), [int(h[f].view(np.int64)), 0])
-                entry[1] += n
-        if len(held) > LOAD // 3:
-            yield pa.RecordBatch.from_pylist([{"lang": k[0], "word": k[1], "w": v[0], "f": v[1]} for k, v in held.items()], schema=WORD_COUNTS)
-            held = {}
-    yield pa.RecordBatch.from_pylist([{"lang": k[0], "word": k[1], "w": v[0], "f": v[1]} for k, v in held.items()], schema=WORD_COUNTS)
+        for lang, counts in sums.items():
+            at = np.flatnonzero(counts)
+            at = at[words.hashes[at] != 0]
+            h = words.of_lang(at, np.full(len(at), lang))
+            yield pa.RecordBatch.from_arrays([pa.array([names[lang]] * len(at), pa.string()), pa.array([words.texts[k] for k in at], pa.binary()), pa.array(h.view(np.int64)), pa.array(counts[at], pa.int64())], schema=WORD_COUNTS)
+
+    for batch in batches:
+        texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for a, b in slices(texts):
+            if words.full():
+                yield from told()
+                sums.clear()
+                words.forget()
+            at, lang, _ = words.of(texts[a:b], langs[a:b])
+            for k in np.unique(lang).tolist():
+                counts = np.bincount(at[lang == k], minlength=len(words.texts))
+                if k in sums:
+                    counts[: len(sums[k])] += sums[k]
+                sums[k] = counts
+    yield from told()
 
 
 def _count_pairs(frequent):
@@ -141,7 +163,7 @@ def _count_pairs(frequent):
 
     def run(batches):
         def pairs():
-            for _, _, _, _, h in _read(batches):
+            for h in _read(batches):
                 good = (h != 0) & passes(frequent.value, [h])
                 at = np.flatnonzero(good[:-1] & good[1:])
                 if len(at):
@@ -156,7 +178,7 @@ def _stretches(pairs):
     """What is left of the texts: stretches of words that are frequent pairs throughout, each behind a 0."""
 
     def run(batches):
-        for _, _, _, _, h in _read(batches):
+        for h in _read(batches):
             linked = np.zeros(len(h), bool)  # with the next word
             at = np.flatnonzero((h[:-1] != 0) & (h[1:] != 0))
             linked[at] = passes(pairs.value, [h[at], h[at + 1]])

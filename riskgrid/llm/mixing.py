@@ -106,8 +106,10 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     their weights (one row each goes to the driver); words and rows are not collected.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
-    facts = cut_lineage(docs.select(F.col(id_column), F.col(source_column), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("_crc")))
-    sizes = {r[0]: r[1] for r in facts.groupBy(source_column).agg(F.sum("size")).collect()}
+    facts = docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"))
+    # rows that are equal in all this are one row with a count from here on, so no number of them is too much for a task
+    facts = cut_lineage(facts.groupBy("id", "source", "size", "crc").agg(F.count(F.lit(1)).alias("rows")))
+    sizes = {r[0]: r[1] for r in facts.groupBy("source").agg(F.sum(F.col("size") * F.col("rows"))).collect()}
     plan = []
     for source, (goal, per_shard) in quotas(sizes, list(weights), block, repeats, shards).items():
         size = sizes[source]
@@ -115,26 +117,31 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
         words = int(goal) if goal < block else min(sum(per_shard) * block, repeats * size)
         passes = words // size if size else 0
         plan.append((source, size, float(goal), sum(per_shard), per_shard, passes, words - passes * size))
-    schema = "_source string, source_size long, target double, quota long, quotas array<long>, passes long, _extra long"
+    schema = "of string, source_size long, target double, quota long, quotas array<long>, passes long, last long"
     plan = docs.sparkSession.createDataFrame(plan, schema)
-    joined = _stream_places(facts, id_column, source_column, seed).join(F.broadcast(plan), F.col(source_column).cast("string").eqNullSafe(F.col("_source")))
-    last = F.col("_extra")
-    part = F.least(F.col("_place") + F.col("size"), last) - F.least(F.col("_place"), last)
-    taken = F.col("passes") * F.col("size") + part
-    return joined.select(id_column, source_column, "size", "source_size", "target", "quota", "quotas", "passes", F.col("_place").alias("place"), F.col("_crc").alias("text_crc32"), taken.cast("long").alias("taken"))
-
-
-def _stream_places(facts: DataFrame, id_column: str, source_column: str, seed: int, least_blocks: int = 1024, rows_per_block: int = 20_000) -> DataFrame:
+    joined = _stream_places(facts, seed).join(F.broadcast(plan), F.col("source").cast("string").eqNullSafe(F.col("of")))
+    chunk = 10_000
+    each = joined.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(rows - 1) div {chunk}"))))
+    each = each.withColumn("number", F.explode(F.sequence(F.col("chunk") * chunk, F.least(F.col("rows"), (F.col("chunk") + 1) * chunk) - 1)))
+    place = F.col("place") + F.col("number") * F.col("size")
+    part = F.least(place + F.col("size"), F.col("last")) - F.least(place, F.col("last"))
+    taken = (F.col("passes") * F.col("size") + part).cast("long")
+    return each.select(
+        F.col("id").alias(id_column), F.col("source").alias(source_column), "size", "source_size", "target", "quota", "quotas", "passes", place.alias("place"), F.col("crc").alias("text_crc32"), taken.alias("taken")
+    )
+
+
+def _stream_places(facts: DataFrame, seed: int, least_blocks: int = 1024, rows_per_block: int = 20_000) -> DataFrame:
     """Words of the source before each row, in seeded order: sums within hash blocks plus the sums of earlier blocks."""
     parts = max(least_blocks, facts.count() // rows_per_block)
-    mixed = F.xxhash64(F.lit(seed), F.col(id_column), F.col("_crc"))
-    dealt = facts.withColumn("_hash", mixed).withColumn("_part", F.pmod("_hash", F.lit(parts)))
-    within = Window.partitionBy(source_column, "_part").orderBy("_hash", id_column, "_crc", "size").rowsBetween(Window.unboundedPreceding, -1)
-    local = dealt.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    sums = dealt.groupBy(source_column, "_part").agg(F.sum("size").alias("_n"))
-    earlier = Window.partitionBy(source_column).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sums.select(F.col(source_column).alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
-    return local.join(shifts, F.col(source_column).eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p"))).withColumn("_place", F.col("_in") + F.col("_shift")).drop("_s", "_p", "_shift", "_in", "_part", "_hash")
+    words = F.col("size") * F.col("rows")
+    dealt = facts.withColumn("hash", F.xxhash64(F.lit(seed), "id", "crc")).withColumn("part", F.pmod("hash", F.lit(parts)))
+    within = Window.partitionBy("source", "part").orderBy("hash", "id", "crc", "size").rowsBetween(Window.unboundedPreceding, -1)
+    local = dealt.withColumn("inside", F.coalesce(F.sum(words).over(within), F.lit(0)))
+    sums = dealt.groupBy("source", "part").agg(F.sum(words).alias("n"))
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sums.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
+    return local.join(shifts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).withColumn("place", F.col("inside") + F.col("shift")).drop("s", "p", "shift", "inside", "part", "hash")
 
 
 def _cut(batches):
@@ -145,26 +152,50 @@ def _cut(batches):
                 ends = itertools.islice(WORDS.finditer(text), words - 1, None)
                 text = text[: next(ends).end()]
             texts.append(text)
-        yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string())], names=[*batch.schema.names[2:], "_text"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string())], names=[*batch.schema.names[2:], "text"])
+
+
+def _numbered(rows: DataFrame, group: list[str], salts: int = 1024) -> DataFrame:
+    """Number the rows of each group from 0; a group of any size is spread over ``salts`` parts."""
+    dealt = cut_lineage(rows.withColumn("nth", F.monotonically_increasing_id())).withColumn("salt", F.pmod("nth", F.lit(salts)))
+    local = dealt.withColumn("number", F.row_number().over(Window.partitionBy(*group, "salt").orderBy("nth")) - 1)
+    before = Window.partitionBy(*group).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = dealt.groupBy(*group, "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    shifts = shifts.select(*[F.col(g).alias(f"of_{g}") for g in group], F.col("salt").alias("of_salt"), "shift")
+    same = F.col("salt") == F.col("of_salt")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"of_{g}"))
+    return local.join(shifts, same).withColumn("number", F.col("number") + F.col("shift"))
 
 
 def realised(docs: DataFrame, mixed: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """The mix as rows of ``docs``: a row that takes n times its words comes n times, and once more cut to the rest.
 
     The cut row keeps the words of the chosen blocks, which are its first. Rows with nothing taken go. Rows that share
-    id, source and text all take what the least of them takes; null is an id and a source of its own.
+    id, source and text share what they take together: the first take what a whole row takes, one the rest. Null is an
+    id and a source of its own; an empty table gives no rows; further columns may have any names.
     """
-    keys = F.col(id_column).alias("_id"), F.col(source_column).alias("_from"), F.col("text_crc32").alias("_crc")
-    taken = mixed.groupBy(*keys).agg(F.min(F.struct("taken", "size")).alias("_t")).where("_t.taken > 0")
-    crc = F.crc32(F.coalesce(F.col(text_column), F.lit("")).cast("binary"))
-    both = docs.join(taken, F.col(id_column).eqNullSafe(F.col("_id")) & F.col(source_column).eqNullSafe(F.col("_from")) & (crc == F.col("_crc")))
-    whole, rest = F.expr("cast(_t.taken div _t.size as int)"), F.expr("cast(_t.taken % _t.size as int)")
+    keys = F.col(id_column).alias("of_id"), F.col(source_column).alias("of_source"), F.col("text_crc32").alias("of_crc")
+    taken = mixed.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.sum("taken").alias("taken"), F.max("size").alias("size"), F.max("passes").alias("passes")).where("taken > 0")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = dict(zip(docs.columns, names))
+    rows = docs.toDF(*names)
+    crc = F.crc32(F.coalesce(F.col(own[text_column]), F.lit("")).cast("binary"))
+    both = rows.join(taken, F.col(own[id_column]).eqNullSafe(F.col("of_id")) & F.col(own[source_column]).eqNullSafe(F.col("of_source")) & (crc == F.col("of_crc")))
+    facts = ["rows", "taken", "size", "passes", "number"]
+    single = both.where("rows = 1").withColumn("number", F.lit(0).cast("long")).select(*names, *facts)
+    several = mixed.groupBy(*keys).count().where("count > 1").limit(1).count()
+    if several:
+        single = single.unionAll(_numbered(both.where("rows > 1"), ["of_id", "of_source", "of_crc"]).select(*names, *facts))
+    more = F.expr("taken - passes * size * rows")  # beyond the passes that every row of the group has
+    full = F.expr("(taken - passes * size * rows) div size")
+    whole = (F.col("passes") + F.when(F.col("number") < full, 1).otherwise(0)).cast("int")
+    rest = F.when(F.col("number") == full, (more % F.col("size")).cast("int")).otherwise(F.lit(0))
     copies = F.concat(F.array_repeat(F.lit(None).cast("int"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    rows = both.select(*docs.columns, F.explode(copies).alias("_words"))
     others = [c for c in docs.columns if c != text_column]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    cut = rows.select(text_column, "_words", *others).mapInArrow(_cut, f"{kinds}, _text string")
-    return cut.select(*[F.col("_text").alias(c) if c == text_column else F.col(c) for c in docs.columns])
+    kinds = ", ".join(f"{own[c]} {docs.schema[c].dataType.simpleString()}" for c in others)
+    cut = single.select(own[text_column], F.explode(copies).alias("words"), *[own[c] for c in others]).mapInArrow(_cut, f"{kinds}, text string")
+    return cut.select(*[F.col("text" if c == text_column else own[c]).alias(c) for c in docs.columns])
 
 
 ship(__name__)

@@ -27,7 +27,7 @@ def tables(data):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) < set(entry.queries()) and "pipeline" in entry.queries() and set(SQL) < set(entry.oracle_sql())
 
 
