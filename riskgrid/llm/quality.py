@@ -216,7 +216,10 @@ def accepted(docs: DataFrame, machine: Machine, id_column: str = "doc_id", text_
             rest = pa.RecordBatch.from_arrays(batch.columns[2 + len(metadata) :], names=names)
             yield rest.filter(pa.array(keep))
 
-    given = [F.col(f"`{c}`") for c in names]
-    return docs.select(*_columns(id_column, text_column, metadata), *given).mapInArrow(run, docs.schema)
+    # by number, as the columns may have any names
+    own = [f"c{i}" for i in range(len(names))]
+    inputs = _columns(id_column, text_column, metadata)
+    given = [F.col(f"`{c}`").alias(o) for c, o in zip(names, own)]
+    return docs.select(*[c.alias(f"in{i}") for i, c in enumerate(inputs)], *given).mapInArrow(run, docs.schema)
 
 ship(__name__)

@@ -39,7 +39,7 @@ class Rolling:
         self.size, self.powers, self.inverse = 0, None, None
 
     def sums(self, values: np.ndarray) -> np.ndarray:
-        if len(values) > self.size:
+        if self.powers is None or len(values) > self.size:
             self.size = max(2 * self.size, len(values), 1 << 16)
             inverse = pow(self.BASE, -1, 1 << 64)
             one = np.ones(1, np.uint64)
