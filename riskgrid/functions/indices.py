@@ -6,19 +6,8 @@ from pyspark.sql import Column, functions as F
 
 from riskgrid.functions.nulls import as_column, clip, flag
 
-# Magnus constants and the heat-index regression in degrees Fahrenheit, (factor, power of t, power of rh).
+# Magnus constants.
 MAGNUS_A, MAGNUS_B, SATURATION = 17.27, 237.3, 0.6108
-HEAT_TERMS = (
-    (-42.379, 0, 0),
-    (2.04901523, 1, 0),
-    (10.14333127, 0, 1),
-    (-0.22475541, 1, 1),
-    (-6.83783e-3, 2, 0),
-    (-5.481717e-2, 0, 2),
-    (1.22874e-3, 2, 1),
-    (8.5282e-4, 1, 2),
-    (-1.99e-6, 2, 2),
-)
 
 
 def vapour_pressure_deficit(temp: Column | str, humidity: Column | str) -> Column:
@@ -35,19 +24,24 @@ def dew_point(temp: Column | str, humidity: Column | str) -> Column:
 
 def heat_index(temp: Column | str, humidity: Column | str) -> Column:
     """Felt temperature; only above 27 degrees, the plain temperature below."""
-    t, h = as_column(temp), as_column(humidity)
-    fahrenheit = t * 1.8 + 32
-
-    def power(base: Column, n: int) -> Column | None:
-        return None if n == 0 else base if n == 1 else base * base
-
-    total = None
-    for factor, pt, ph in HEAT_TERMS:
-        term = F.lit(factor)
-        for part in (power(fahrenheit, pt), power(h, ph)):
-            term = term if part is None else term * part
-        total = term if total is None else total + term
-    return F.when(t > 27, (total - 32) / 1.8).otherwise(t)
+    celsius, h = as_column(temp), as_column(humidity)
+    f = celsius * 1.8 + 32
+    # fixed values: the public regression of the heat index in degrees Fahrenheit
+    felt = (
+        F.lit(-42.379)
+        + F.lit(2.04901523) * f
+        + F.lit(10.14333127) * h
+        + F.lit(-0.22475541) * f * h
+        + F.lit(-6.83783e-3) * (f * f)
+        + F.lit(-5.481717e-2) * (h * h)
+        + F.lit(1.22874e-3) * (f * f) * h
+        + F.lit(8.5282e-4) * f * (h * h)
+        + F.lit(-1.99e-6) * (f * f) * (h * h)
+    )
+    return F.when(celsius > 27, (felt - 32) / 1.8).otherwise(celsius)
+
+
+# The factors and limits of the fire-weather proxies below are fixed values.
 
 
 def fine_fuel_code(temp: Column | str, humidity: Column | str, rain: Column | str) -> Column:

@@ -137,7 +137,7 @@ def estimate_extremes(df: DataFrame, spread: DataFrame, variables: Sequence[str]
 
 
 def hour_proxies() -> list[Column]:
-    """Hour-based features estimated from daily values only."""
+    """Hour-based features estimated from daily values only; starts, slopes, limits and the solar hour are fixed values."""
     t, h, w = (F.col(c) for c in ("Temperature_C_mean", "Humidity_percent_mean", "Wind_Speed_kmh_mean"))
 
     def ramp(start: Column, gap: Column, slope: float, top: float) -> Column:

@@ -120,7 +120,7 @@ LAGS_HOURLY = (1, 3, 6, 12, 24)
 ROLLS_HOURLY = (6, 12, 24)
 EVENT_WINDOWS = (7, 14, 30, 90)
 
-# Physical ranges used when a forecast is clipped.
+# Physical ranges used when a forecast is clipped.
 FORECAST_BOUNDS = {
     "Temperature_C_mean": (-60.0, 60.0),
     "Humidity_percent_mean": (0.0, 100.0),
@@ -137,5 +137,20 @@ FORECAST_BOUNDS = {
     "Pressure_hPa": (800.0, 1100.0),
     "Solar_Radiation_Wm2": (0.0, 1400.0),
 }
-# Physical ranges used by the quality checks: the same without soil temperature, with hourly soil moisture.
-CHECK_BOUNDS = {c: b for c, b in FORECAST_BOUNDS.items() if not c.startswith("Soil_Temp")} | {"Soil_Moisture": (0.0, 1.0)}
+# Physical ranges used by the quality checks.
+CHECK_BOUNDS = {
+    "Temperature_C_mean": (-60.0, 60.0),
+    "Humidity_percent_mean": (0.0, 100.0),
+    "Rain_mm_sum": (0.0, 500.0),
+    "Wind_Speed_kmh_mean": (0.0, 200.0),
+    "Pressure_hPa_mean": (800.0, 1100.0),
+    "Solar_Radiation_Wm2_mean": (0.0, 1400.0),
+    "Soil_Moisture_mean": (0.0, 1.0),
+    "Temperature_C": (-60.0, 60.0),
+    "Humidity_percent": (0.0, 100.0),
+    "Rain_mm": (0.0, 100.0),
+    "Wind_Speed_kmh": (0.0, 200.0),
+    "Pressure_hPa": (800.0, 1100.0),
+    "Solar_Radiation_Wm2": (0.0, 1400.0),
+    "Soil_Moisture": (0.0, 1.0),
+}
