@@ -1,7 +1,8 @@
 """Exact ordered statistics without sorting a group in one task.
 
-Values are dealt to slots by value: a coarse slot between the group's bounds,
-then a finer one inside coarse slots that hold many rows.  Only slot totals are
+Quantiles are selected digit by digit from the ordered bits of the values.  For
+running sums, values are dealt to slots by value: a coarse slot between the group's
+bounds, then a finer one inside coarse slots that hold many rows; only slot totals are
 ordered across a group, and rows are sorted within their slot only.  Every
 quantity the slots depend on (minimum, maximum, counts) is independent of
 evaluation order, so a recomputed task lands on the same slots.
@@ -90,73 +91,96 @@ def running_by_value(
     )
 
 
-def _narrow(rows: DataFrame, found: DataFrame, keys: list[str], level: int, fanout: int, probabilities: Sequence[float]) -> tuple[DataFrame, DataFrame]:
-    """One refinement: histogram the rows of ``found`` ranges, keep the slots that hold a wanted rank.
+MANTISSA, SMALLEST, UPPERMOST = 1 << 52, 2.0**-1022, 2047
+#: Bits of an ordered number that one level of the selection tells apart, and its levels.
+DIGIT, LEVELS = 16, 4
 
-    ``found`` has keys, __lo, __hi, __before (rows of the group below the range)
-    and __n (rows of the group).  The histogram combines before the shuffle, so
-    values themselves are never moved.
-    """
-    slot = f"__s{level}"
-    dealt = rows.join(found, keys).withColumn(slot, _slot(F.col("value"), F.col("__lo"), F.col("__hi"), F.lit(fanout)))
-    counts = dealt.groupBy(*keys, slot).agg(
-        F.count(F.lit(1)).alias("__c"), F.min("value").alias("__a"), F.max("value").alias("__b"), F.max("__before").alias("__p"), F.max("__n").alias("__n")
-    )
-    w = Window.partitionBy(*keys).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("__p") + F.coalesce(F.sum("__c").over(w), F.lit(0))
-    placed = counts.select(*keys, slot, "__c", "__n", F.col("__a").alias("__lo"), F.col("__b").alias("__hi"), start.alias("__before"))
-    spots = [f(F.lit(float(p)) * (F.col("__n") - 1)) for p in probabilities for f in (F.floor, F.ceil)]
-    wanted = None
-    for spot in spots:
-        inside = (spot >= F.col("__before")) & (spot < F.col("__before") + F.col("__c"))
-        wanted = inside if wanted is None else wanted | inside
-    return dealt.drop("__lo", "__hi", "__before", "__n"), sized_side(placed.filter(wanted).drop("__c"))
-
-
-def exact_quantiles(
-    df: DataFrame, groups: Sequence[str], columns: Sequence[str], probabilities: Sequence[float], levels: int = 2, fanout: int = 2048
-) -> DataFrame:
-    """Linear-interpolation quantiles of several columns for groups of any size.
 
-    Selection by repeated histograms: each pass over the input narrows every
-    wanted rank to a slot ``fanout`` times smaller, and only the values of the
-    last slots are shuffled and ordered.  Exact, whatever the distribution.
-    Returns (groups, variable, q0, q1, ...) in the order of ``probabilities``.
+def ordered_bits(value: Column) -> Column:
+    """The bits of a double as a whole number of the same order; not-a-number comes last, both zeros are one.
+
+    Exponent and mantissa are taken apart by exact arithmetic: powers of two are exact, and so is a division by them.
+    """
+    size = F.abs(value)
+    near = F.floor(F.log2(size))
+    step = F.pow(F.lit(2.0), near)
+    exponent = near - F.when(size < step, 1).otherwise(0) + F.when(size >= step * 2, 1).otherwise(0)
+    normal = (exponent.cast("bigint") + 1023) * F.lit(MANTISSA) + ((size / F.pow(F.lit(2.0), exponent) - 1) * F.lit(float(MANTISSA))).cast("bigint")
+    tiny = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("bigint")
+    bits = F.when(F.isnan(value), F.lit(UPPERMOST * MANTISSA + 1)).when(size == float("inf"), F.lit(UPPERMOST * MANTISSA)).when(size < SMALLEST, tiny).otherwise(normal)
+    return F.when(value < 0, -bits).otherwise(bits)
+
+
+def double_of(bits: Column) -> Column:
+    """The double whose ``ordered_bits`` these are."""
+    size = F.abs(bits)
+    exponent, mantissa = F.shiftright(size, 52), (size % F.lit(MANTISSA)).cast("double")
+    normal = (F.lit(1.0) + mantissa / float(MANTISSA)) * F.pow(F.lit(2.0), exponent - 1023)
+    ending = F.when(mantissa == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    value = F.when(exponent == 0, mantissa * F.lit(2.0**-537) * F.lit(2.0**-537)).when(exponent == UPPERMOST, ending).otherwise(normal)
+    return F.when(bits < 0, -value).otherwise(value)
+
+
+def exact_quantiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """Linear-interpolation quantiles of several columns for groups of any size and distribution.
+
+    Radix selection: the values' ordered bits are told apart digit by digit, 16 bits a level. Each level is one pass over
+    the input that counts, combined before the shuffle, the rows of each digit below the prefixes that hold a wanted rank,
+    and keeps the digits that hold one. So four levels end at single values whatever the distribution, no task
+    ever orders more than the 65 536 digits of a prefix, and no values are sorted.
+    Returns (groups, variable, q0, q1, ...) in the order of ``probabilities``. Nulls don't count; a column without values
+    has no row.
     """
     keys = [*groups, "variable"]
     wide = df.select(*groups, *[F.col(c).cast("double").alias(c) for c in columns])
-    rows = wide.unpivot(list(groups), list(columns), "variable", "value").filter(F.col("value").isNotNull())
-    # ranges are a few rows per group; materialised, every level is one pass over the input
-    found = sized_side(
-        rows.groupBy(*keys).agg(
-            F.min("value").alias("__lo"), F.max("value").alias("__hi"), F.lit(0).cast("bigint").alias("__before"), F.count(F.lit(1)).alias("__n")
-        )
-    )
-    at = list(keys)
-    for level in range(levels):
-        rows, found = _narrow(rows, found, at, level, fanout, probabilities)
-        at.append(f"__s{level}")
-    last = rows.join(found.select(*at, "__before", "__n"), at).groupBy(*at, "value").agg(
-        F.count(F.lit(1)).alias("__c"), F.max("__before").alias("__p"), F.max("__n").alias("__n")
-    )
-    w = Window.partitionBy(*at).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.col("__p") + F.coalesce(F.sum("__c").over(w), F.lit(0))
-    placed = last.select(*keys, "value", "__n", "__c", first.alias("__first"))
-    holds = lambda spot: F.max(F.when((F.col("__first") <= spot) & (spot < F.col("__first") + F.col("__c")), F.col("value")))
-    picks = []
-    for i, p in enumerate(probabilities):
-        spot = F.lit(float(p)) * (F.col("__n") - 1)
-        picks += [holds(F.floor(spot)).alias(f"__a{i}"), holds(F.ceil(spot)).alias(f"__b{i}")]
-    result = placed.groupBy(*keys).agg(F.max("__n").alias("__n"), *picks)
+    rows = wide.unpivot(list(groups), list(columns), "variable", "value").filter(F.col("value").isNotNull()).select(*keys, ordered_bits(F.col("value")).alias("__bits"))
+    spots = lambda n: [f(F.lit(float(p)) * (n - 1)).cast("bigint") for p in probabilities for f in (F.floor, F.ceil)]
+    found = None
+    for level in range(LEVELS):
+        digit = F.shiftright("__bits", 64 - DIGIT * (level + 1)).alias("__digit")
+        if found is None:
+            counts = rows.groupBy(*keys, digit).agg(F.count(F.lit(1)).alias("__c"))
+            below = Window.partitionBy(*keys)
+            counts = counts.select("*", F.lit(0).cast("bigint").alias("__p"), F.sum("__c").over(below).alias("__n"))
+        else:
+            inside = rows.join(found, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys] + [F.shiftright("__bits", 64 - DIGIT * level) == F.col("__prefix")])
+            counts = inside.groupBy(*keys, "__prefix", digit).agg(F.count(F.lit(1)).alias("__c"), F.max("__before").alias("__p"), F.max("__total").alias("__n"))
+            below = Window.partitionBy(*keys, "__prefix")
+        earlier = F.coalesce(F.sum("__c").over(below.orderBy("__digit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = counts.withColumn("__before", F.col("__p") + earlier)
+        holds = lambda spot: (spot >= F.col("__before")) & (spot < F.col("__before") + F.col("__c"))
+        wanted = placed.filter(F.exists(F.array(*spots(F.col("__n"))), holds))
+        if level < LEVELS - 1:
+            found = sized_side(wanted.select(*[F.col(k).alias(f"__of_{k}") for k in keys], F.col("__digit").alias("__prefix"), "__before", F.col("__n").alias("__total")))
+    value = double_of(F.col("__digit"))
+    picks = [F.max(F.when(holds(spot), value)).alias(f"__v{i}") for i, spot in enumerate(spots(F.col("__n")))]
+    result = wanted.groupBy(*keys).agg(F.max("__n").alias("__n"), *picks)
 
     def between(i: int, p: float) -> Column:
         spot = F.lit(float(p)) * (F.col("__n") - 1)
-        a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
+        a, b = F.col(f"__v{2 * i}"), F.col(f"__v{2 * i + 1}")
         return (a + (b - a) * (spot - F.floor(spot))).alias(f"q{i}")
 
     return result.select(*keys, *[between(i, p) for i, p in enumerate(probabilities)])
 
 
+def spread_ranks(df: DataFrame, groups: Sequence[str], key: Sequence[str], name: str, blocks: int = 256) -> DataFrame:
+    """Number the rows of each group from 0 in a hash order of ``key``, without a group ever meeting in one task.
+
+    Rows are numbered within hash blocks and shifted by the group's rows in earlier blocks. Rows of one key are told apart
+    by their other columns; equal rows get any of their numbers. ``df`` is read twice, so it should be stored.
+    """
+    g = list(groups)
+    dealt = df.withColumn("__h", F.xxhash64(*key)).withColumn("__block", F.pmod("__h", F.lit(blocks)))
+    rest = [c for c in df.columns if c not in g]
+    local = dealt.withColumn("__at", F.row_number().over(Window.partitionBy(*g, "__block").orderBy("__h", *rest)) - 1)
+    counts = dealt.groupBy(*g, "__block").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*g).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(*[F.col(c).alias(f"__of_{c}") for c in g], F.col("__block").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
+    placed = local.join(shifts, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in g] + [F.col("__block") == F.col("__of")])
+    return placed.select(*df.columns, (F.col("__at") + F.col("__shift")).cast("bigint").alias(name))
+
+
 def bounded_quantiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """The same table for groups with a bounded number of distinct values.
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from riskgrid.functions.nulls import ratio
 from riskgrid.operators.order import bounded_quantiles, exact_quantiles
+from riskgrid.operators.gram import correlations
 from riskgrid.session import cut_lineage, fixed_rows
 
 
@@ -106,16 +107,8 @@ def near_constant(df: DataFrame, columns: Sequence[str], below: float = 0.001) -
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson r of every pair i < j over pairwise complete rows, in one aggregate."""
-    pairs = list(combinations(range(len(columns)), 2))
-    sums = [F.corr(columns[i], columns[j]).alias(f"__{i}_{j}") for i, j in pairs]
-    rows = [
-        F.struct(
-            F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(f"__{i}_{j}").alias("r")
-        )
-        for i, j in pairs
-    ]
-    return df.agg(*sums).select(F.inline(F.array(*rows)))
+    """Pearson r of every pair i < j over pairwise complete rows, from tiled sums of products."""
+    return correlations(df, columns)
 
 
 def target_correlation(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
@@ -128,12 +121,12 @@ def collinear_pairs(pairs: DataFrame, limit: float = 0.9) -> DataFrame:
 
 
 def prune_correlated(df: DataFrame, columns: Sequence[str], target: str, limit: float = 0.95) -> list[str]:
-    """Columns to drop: of each pair above the limit the one less related to the target.
+    """Columns to drop: of each pair above the limit the one less related to the target (equal to nine digits: the later).
 
     The statistics are one distributed aggregate; only the matrix (a few
     numbers per column pair) reaches the driver for the order-dependent pass.
     """
-    related = {r["variable"]: abs(r["r"] or 0.0) for r in target_correlation(df, columns, target).collect()}
+    related = {r["variable"]: round(abs(r["r"] or 0.0), 9) for r in target_correlation(df, columns, target).collect()}
     strong = correlation_pairs(df, columns).filter(F.abs("r") > limit).orderBy("i", "j").collect()
     dropped: list[str] = []
     for row in strong:

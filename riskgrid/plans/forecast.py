@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,21 +37,30 @@ def season_terms(position: Column, period: float, order: int) -> list[Column]:
     return out
 
 
-def design(date: str, yearly: int = 3, weekly: int = 2, grows: bool = False) -> list[Column]:
-    """Intercept, trend and Fourier terms of a day; ``grows`` lets the yearly amplitude follow the trend."""
+def day_trend(date: str) -> Column:
+    return F.datediff(F.col(date), F.lit("2000-01-01").cast("date")).cast("double") / 3652.5
+
+
+def day_seasons(date: str, yearly: int = 3, weekly: int = 2) -> list[Column]:
+    """Fourier terms of a day's place in the year and the week."""
     day = F.datediff(F.col(date), F.lit("2000-01-01").cast("date")).cast("double")
-    trend = day / 3652.5
-    year_terms = season_terms(day, 365.25, yearly)
-    out = [F.lit(1.0), trend, *year_terms, *season_terms(day, 7.0, weekly)]
-    if grows:
-        out += [trend * s for s in year_terms]
-    return out
+    return [*season_terms(day, 365.25, yearly), *season_terms(day, 7.0, weekly)]
+
+
+def design(date: str, yearly: int = 3, weekly: int = 2, times: bool = False) -> list[Column]:
+    """Intercept, trend and Fourier terms of a day; ``times`` adds the products of trend and season."""
+    trend, seasons = day_trend(date), day_seasons(date, yearly, weekly)
+    return [F.lit(1.0), trend, *seasons, *([trend * s for s in seasons] if times else [])]
 
 
-def hourly_design(ts_hour: Column, daily: int = 3, weekly: int = 2) -> list[Column]:
+def hourly_design(ts_hour: Column, daily: int = 3, weekly: int = 2, yearly: int = 0) -> list[Column]:
     """Intercept, trend and Fourier terms of an hour number."""
     h = ts_hour.cast("double")
-    return [F.lit(1.0), h / 8766.0, *season_terms(h, 24.0, daily), *season_terms(h, 168.0, weekly)]
+    return [F.lit(1.0), h / 8766.0, *season_terms(h, 24.0, daily), *season_terms(h, 168.0, weekly), *season_terms(h, 8766.0, yearly)]
+
+
+def hours_since(time: str, origin: str = "2024-01-01 00:00:00") -> Column:
+    return hour_index(time) - hour_index(F.lit(origin).cast("timestamp_ntz"))
 
 
 def _solve_rows(gram: pd.Series, moment: pd.Series) -> pd.Series:
@@ -70,23 +80,86 @@ def _solve_rows(gram: pd.Series, moment: pd.Series) -> pd.Series:
 solve_normal = F.pandas_udf(_solve_rows, ArrayType(DoubleType()))
 
 
+def seasonal_sums(long: DataFrame, columns: Sequence[Column], series: Sequence[str] = SERIES, value: str = "value") -> DataFrame:
+    """Normal equations of each series: rows n, products g<i>_<j> of the terms and m<i> of terms and value."""
+    x = [c.alias(f"x{i}") for i, c in enumerate(columns)]
+    k = len(columns)
+    rows = long.filter(F.col(value).isNotNull()).select(*series, F.col(value).alias("__y"), *x)
+    cross = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
+    against = [F.sum(F.col(f"x{i}") * F.col("__y")).alias(f"m{i}") for i in range(k)]
+    return rows.groupBy(*series).agg(F.count(F.lit(1)).alias("n"), *cross, *against)
+
+
 def fit_seasonal(long: DataFrame, columns: Sequence[Column], series: Sequence[str] = SERIES, value: str = "value", min_rows: int = 60) -> DataFrame:
     """Coefficients per series.
 
     The sums of products combine before the shuffle, so a series of any length
     reaches the solver as one small row.
     """
-    x = [c.alias(f"x{i}") for i, c in enumerate(columns)]
     k = len(columns)
-    rows = long.filter(F.col(value).isNotNull()).select(*series, F.col(value).alias("__y"), *x)
-    cross = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    against = [F.sum(F.col(f"x{i}") * F.col("__y")).alias(f"m{i}") for i in range(k)]
-    sums = rows.groupBy(*series).agg(F.count(F.lit(1)).alias("n"), *cross, *against).filter(F.col("n") >= min_rows)
+    sums = seasonal_sums(long, columns, series, value).filter(F.col("n") >= min_rows)
     gram = F.array(*[F.col(f"g{i}_{j}") for i in range(k) for j in range(i, k)])
     moment = F.array(*[F.col(f"m{i}") for i in range(k)])
     return sums.select(*series, solve_normal(gram, moment).alias("beta"))
 
 
+#: Most turns of a fit of trend and season.
+TURNS = 200
+
+
+def _solve_product(first: pd.Series, second: pd.Series, third: pd.Series, level: pd.Series, slope: pd.Series) -> pd.Series:
+    """Trend and season of value = (a + b t) (1 + season), by turns: each is a linear fit while the other stays.
+
+    With z = (1, seasons), all that either fit needs are sums of t^p z z' (p = 0, 1, 2) and t^p y z (p = 0, 1). Returned as
+    coefficients of 1, t, the seasons and t times the seasons.
+    """
+    out = []
+    for sums in zip(first, second, third, level, slope):
+        m = [np.asarray(v, dtype=float) for v in sums[3:]]
+        k = len(m[0])
+        g = []
+        for flat in sums[:3]:
+            a = np.zeros((k, k))
+            a[np.triu_indices(k)] = np.asarray(flat, dtype=float)
+            g.append(a + np.triu(a, 1).T)
+        ridge = lambda a: a + np.eye(len(a)) * (1e-9 * max(np.trace(a) / len(a), 1e-12))
+        shape, trend = np.eye(k)[0], np.zeros(2)
+        for _ in range(TURNS):
+            a = np.array([[shape @ g[p + q] @ shape for q in range(2)] for p in range(2)])
+            trend = np.linalg.solve(ridge(a), np.array([shape @ v for v in m]))
+            b = trend[0] ** 2 * g[0] + 2 * trend[0] * trend[1] * g[1] + trend[1] ** 2 * g[2]
+            found = np.linalg.solve(ridge(b), trend[0] * m[0] + trend[1] * m[1])
+            if abs(found[0]) < 1e-9:
+                break
+            trend, found = trend * found[0], found / found[0]
+            settled = np.abs(found - shape).max() < 1e-12
+            shape = found
+            if settled:
+                break
+        out.append([*trend, *(trend[0] * shape[1:]), *(trend[1] * shape[1:])])
+    return pd.Series(out)
+
+
+solve_product = F.pandas_udf(_solve_product, ArrayType(DoubleType()))
+
+
+def fit_product(long: DataFrame, trend: Column, seasons: Sequence[Column], series: Sequence[str] = SERIES, value: str = "value", min_rows: int = 60) -> DataFrame:
+    """Coefficients per series of a season that multiplies the trend, see ``design(times=True)``.
+
+    The sums that the turns of the fit need are taken once, combined before the shuffle; the turns work on them alone.
+    """
+    z = [F.lit(1.0), *seasons]
+    k = range(len(z))
+    rows = long.filter(F.col(value).isNotNull()).select(*series, F.col(value).alias("__y"), trend.alias("__t"), *[c.alias(f"z{i}") for i, c in enumerate(z)])
+    power = lambda p, c: c if p == 0 else c * F.col("__t") if p == 1 else c * F.col("__t") * F.col("__t")
+    cross = [F.sum(power(p, F.col(f"z{i}") * F.col(f"z{j}"))).alias(f"g{p}_{i}_{j}") for p in range(3) for i in k for j in k if i <= j]
+    against = [F.sum(power(p, F.col(f"z{i}") * F.col("__y"))).alias(f"m{p}_{i}") for p in range(2) for i in k]
+    sums = rows.groupBy(*series).agg(F.count(F.lit(1)).alias("n"), *cross, *against).filter(F.col("n") >= min_rows)
+    parts = [F.array(*[F.col(f"g{p}_{i}_{j}") for i in k for j in k if i <= j]) for p in range(3)]
+    parts += [F.array(*[F.col(f"m{p}_{i}") for i in k]) for p in range(2)]
+    return sums.select(*series, solve_product(*parts).alias("beta"))
+
+
 def apply_seasonal(long: DataFrame, fitted: DataFrame, columns: Sequence[Column], series: Sequence[str] = SERIES, name: str = "pred") -> DataFrame:
     """Add the fitted value to rows of fitted series; the fit has one row per series and is measured before the join."""
     joined = long.join(sized_side(fitted), list(series))
@@ -98,22 +171,25 @@ def apply_seasonal(long: DataFrame, fitted: DataFrame, columns: Sequence[Column]
 
 
 def seasonal_residuals(df: DataFrame, panel: Panel, variables: Sequence[str], yearly: int = 3, weekly: int = 2) -> DataFrame:
-    """Fitted value and residual of every variable, wide; rain lets its season grow with the trend."""
+    """Fitted value and residual of every variable, wide; the season of rain multiplies its trend."""
     long = lengthen(df, panel.key, variables)
-    out = None
-    for grows in (False, True):
-        names = [v for v in variables if ("Rain" in v) == grows]
-        if not names:
-            continue
-        part = long.filter(F.col("variable").isin(names))
-        terms = design(panel.time, yearly, weekly, grows)
-        fitted = fit_seasonal(part, terms, (panel.entity, "variable"))
-        done = apply_seasonal(part, fitted, terms, (panel.entity, "variable"))
-        out = done if out is None else out.unionByName(done)
-    cell = lambda v, c: F.max(F.when(F.col("variable") == v, c))
-    pairs = [(f"prophet_{v}_pred", cell(v, F.col("pred"))) for v in variables]
-    pairs += [(f"prophet_{v}_resid", cell(v, F.col("value") - F.col("pred"))) for v in variables]
-    return out.groupBy(*panel.key).agg(*[c.alias(n) for n, c in pairs])
+    series = (panel.entity, "variable")
+    rain = F.col("variable").contains("Rain")
+    fits = [fit_seasonal(long.filter(~rain), design(panel.time, yearly, weekly), series)]
+    if any("Rain" in v for v in variables):
+        seasons = day_seasons(panel.time, yearly, weekly)
+        fits.append(fit_product(long.filter(rain), day_trend(panel.time), seasons, series))
+    # one row per entity: a map from variable to coefficients
+    fitted = reduce(DataFrame.unionByName, fits).groupBy(panel.entity).agg(F.map_from_entries(F.collect_list(F.struct("variable", "beta"))).alias("__fit"))
+    terms = design(panel.time, yearly, weekly, times=True)
+    keys, values = list(panel.key), [v for v in variables if v in df.columns]
+    joined = df.select(*keys, *values, F.array(*terms).alias("__x")).join(sized_side(fitted), panel.entity)
+    out = []
+    for v in values:
+        beta = F.col("__fit")[v]
+        pred = F.aggregate(F.zip_with(beta, F.slice("__x", F.lit(1), F.size(beta)), lambda b, x: b * x), F.lit(0.0), lambda a, x: a + x)
+        out += [pred.alias(f"prophet_{v}_pred"), (F.col(v) - pred).alias(f"prophet_{v}_resid")]
+    return joined.select(*keys, *out)
 
 
 def seasonal_forecast(df: DataFrame, panel: Panel, variables: Sequence[str], days: int = 60, yearly: int = 3, weekly: int = 2, min_rows: int = 90) -> DataFrame:
@@ -128,10 +204,9 @@ def seasonal_forecast(df: DataFrame, panel: Panel, variables: Sequence[str], day
     return out.select(*panel.key, "variable", "value")
 
 
-def seasonal_forecast_hourly(df: DataFrame, panel: Panel, variables: Sequence[str], hours: int = 336, daily: int = 3, weekly: int = 2, min_rows: int = 720) -> DataFrame:
+def seasonal_forecast_hourly(df: DataFrame, panel: Panel, variables: Sequence[str], hours: int = 336, daily: int = 3, weekly: int = 2, yearly: int = 3, min_rows: int = 720) -> DataFrame:
     """Fitted values for the ``hours`` after each entity's last row, long."""
-    hour = hour_index(panel.time) - hour_index(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
-    terms = hourly_design(hour, daily, weekly)
+    terms = hourly_design(hours_since(panel.time), daily, weekly, yearly)
     fitted = fit_seasonal(lengthen(df, panel.key, variables), terms, (panel.entity, "variable"), min_rows=min_rows)
     last = df.groupBy(panel.entity).agg(F.max(panel.time).alias("__last"))
     step = F.explode(F.sequence(F.lit(1), F.lit(hours))).alias("__h")
@@ -172,7 +247,7 @@ class Cadence:
 
 
 BY_DAY = Cadence(AR_LAGS, AR_WIDTHS, ("doy", "month"))
-BY_HOUR = Cadence((1, 2, 3, 6, 12, 24, 48, 168), (24, 168), ("hour", "weekday"), hourly=True)
+BY_HOUR = Cadence((1, 3, 6, 12, 24, 48, 168), (24, 168), ("hour", "weekday", "month"), hourly=True)
 
 
 def origin_features(values: DataFrame, panel: Panel, value: str, lags: Sequence[int] = AR_LAGS, widths: Sequence[int] = AR_WIDTHS) -> DataFrame:

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from riskgrid.functions.risk import selection_score_mix
 from riskgrid.operators import evaluate as E
 from riskgrid.operators.blend import calibration_kept, class_imbalance
+from riskgrid.operators.isotonic import apply_steps, isotonic_steps
+from riskgrid.operators.order import spread_ranks
+from riskgrid.plans import trees as T
 from riskgrid.session import cut_lineage
 
 SEED = 42
@@ -37,7 +41,6 @@ def classifiers(features: int, label: str = "y", weight: str = "w", scale: float
     return {
         "logistic": LogisticRegression(**common, weightCol=weight, maxIter=100, regParam=0.01),
         "random_forest": forest(200, 10, "sqrt"),
-        "extra_trees": forest(200, 12, "onethird"),
         "hist_boosting": boosted(100, 5, 0.1, 1.0),
         "boosting_shallow": boosted(150, 4, 0.05, 0.8),
         "boosting_deep": boosted(80, 7, 0.05, 0.8),
@@ -90,32 +93,47 @@ def weighted(train: DataFrame, cap: float = 20.0) -> DataFrame:
     return train.withColumn("w", F.when(F.col("y") == 1, ratio).otherwise(F.lit(1.0)))
 
 
-def balanced_sample(ready: DataFrame) -> DataFrame:
-    """All positive rows and about as many negative ones (the balanced-forest input).
+@dataclass
+class FittedForest:
+    """A forest of ``plans.trees`` behind the fitted stages that prepare its inputs."""
+
+    prepare: list
+    forest: T.Forest
+
+    @property
+    def stages(self) -> list:
+        return [*self.prepare, self.forest]
+
+
+def grown_forests(features: int, scale: float = 1.0) -> dict[str, T.Growth]:
+    """Forests that Spark ML doesn't have; ``scale`` shrinks the tree counts."""
+    trees, subset = max(int(200 * scale), 3), max(1, int(features**0.5))
+    return {
+        "extra_trees": T.Growth(trees=trees, depth=12, subset=subset, random=True, seed=SEED),
+        "balanced_forest": T.Growth(trees=trees, depth=10, subset=subset, random=False, balanced=True, seed=SEED),
+    }
 
-    Rows are picked by the hash of their inputs, so a recomputed task picks the same ones.
-    """
-    share = class_imbalance(ready, "y", cap=float("inf")).select((1 / F.greatest("pos_weight", F.lit(1.0))).alias("s")).scalar()
-    draw = F.pmod(F.xxhash64(vector_to_array("features")), F.lit(1_000_000)) / 1_000_000
-    return ready.filter((F.col("y") == 1) | (draw < share))
 
+def fit_classifiers(train: DataFrame, columns: Sequence[str], names: Sequence[str], scale: float = 1.0) -> dict[str, PipelineModel | FittedForest]:
+    """Fit the named models on one shared, prepared training frame.
 
-def fit_classifiers(train: DataFrame, columns: Sequence[str], names: Sequence[str], scale: float = 1.0) -> dict[str, PipelineModel]:
-    """Fit the named models on one shared, prepared training frame."""
+    Extra trees weigh the classes like the other families; the balanced forest draws a balanced bootstrap for each tree.
+    """
     prepare = Pipeline(stages=preparation(columns)).fit(train)
     ready = cut_lineage(prepare.transform(weighted(train)).select("features", "y", "w"))
-    registry = classifiers(len(columns), scale=scale)
+    registry, grown = classifiers(len(columns), scale=scale), grown_forests(len(columns), scale)
     out = {}
     for name in names:
-        if name == "balanced_forest":
-            model = registry["random_forest"].copy().setWeightCol("__one").fit(balanced_sample(ready).withColumn("__one", F.lit(1.0)))
+        if name in grown:
+            inputs = vector_to_array("features")
+            positive = 1.0 if grown[name].balanced else ready.agg(F.coalesce(F.max("w"), F.lit(1.0))).first()[0]
+            out[name] = FittedForest(prepare.stages, T.grow(ready, inputs, len(columns), "y", [inputs], grown[name], (1.0, positive)))
         else:
-            model = registry[name].fit(ready)
-        out[name] = PipelineModel(stages=[*prepare.stages, model])
+            out[name] = PipelineModel(stages=[*prepare.stages, registry[name].fit(ready)])
     return out
 
 
-def score(models: dict[str, PipelineModel], df: DataFrame, keep: Sequence[str]) -> DataFrame:
+def score(models: dict[str, PipelineModel | FittedForest], df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Long score table: kept columns, model, p.
 
     Models fitted on the same preparation are applied side by side to one
@@ -127,11 +145,14 @@ def score(models: dict[str, PipelineModel], df: DataFrame, keep: Sequence[str])
     parts = None
     for names in shared.values():
         wide = PipelineModel(stages=models[names[0]].stages[:-1]).transform(df).select(*keep, "features")
+        columns = [vector_to_array(f"__p{i}")[1].alias(name) for i, name in enumerate(names) if not isinstance(models[name], FittedForest)]
+        columns += [models[name].forest.probability(vector_to_array("features")).alias(name) for name in names if isinstance(models[name], FittedForest)]
         for i, name in enumerate(names):
+            if isinstance(models[name], FittedForest):
+                continue
             last = models[name].stages[-1].copy()
             last.setProbabilityCol(f"__p{i}").setRawPredictionCol(f"__r{i}").setPredictionCol(f"__y{i}")
             wide = last.transform(wide)
-        columns = [vector_to_array(f"__p{i}")[1].alias(name) for i, name in enumerate(names)]
         one = wide.select(*keep, *columns).unpivot(list(keep), names, "model", "p")
         parts = one if parts is None else parts.unionByName(one)
     return parts
@@ -140,25 +161,15 @@ def score(models: dict[str, PipelineModel], df: DataFrame, keep: Sequence[str])
 # ------------------------------------------------------------------- calibration
 
 
-def calibrators(validation: DataFrame) -> dict[str, object]:
-    """Isotonic fit of outcome on score per model (a handful of models, one distributed fit each).
-
-    Rows of one score are joined to one weighted row first, so what the fit pools is bounded by the distinct scores.
-    """
-    names = [r["model"] for r in validation.select("model").distinct().collect()]
-    iso = IsotonicRegression(featuresCol="p", labelCol="y", weightCol="w", isotonic=True)
-    typed = cut_lineage(validation.groupBy("model", "p").agg(F.avg(F.col("y").cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w")))
-    return {n: iso.fit(typed.filter(F.col("model") == n)) for n in sorted(names)}
+def calibrators(validation: DataFrame) -> DataFrame:
+    """Isotonic fit of outcome on score, all models at once: the steps of each, see ``operators.isotonic``."""
+    return cut_lineage(isotonic_steps(validation, ["model"], "p", "y"))
 
 
-def calibrate(scores: DataFrame, fitted: dict[str, object]) -> DataFrame:
-    """Replace p by its calibrated value, limited to [0, 1]."""
-    parts = None
-    for name, model in fitted.items():
-        one = model.setPredictionCol("__c").transform(scores.filter(F.col("model") == name))
-        one = one.withColumn("p", F.greatest(F.least("__c", F.lit(1.0)), F.lit(0.0))).select(*scores.columns)
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+def calibrate(scores: DataFrame, fitted: DataFrame) -> DataFrame:
+    """Replace p by its calibrated value; a model without a fit keeps its scores."""
+    done = apply_steps(scores, fitted, ["model"], "p", "__c")
+    return done.withColumn("p", F.coalesce("__c", "p")).select(*scores.columns)
 
 
 def keep_calibration(raw: DataFrame, calibrated: DataFrame) -> DataFrame:
@@ -182,14 +193,15 @@ def three_way_report(scores: DataFrame, select_on: str = "val") -> DataFrame:
 # ----------------------------------------------------------------------- stacking
 
 
-def fold_of(key: Sequence[str], folds: int) -> Column:
-    """Fold by key hash: needs no ordering, and classes split evenly in expectation."""
-    return F.pmod(F.xxhash64(*key), F.lit(folds)).cast("int")
+def stratified_folds(rows: DataFrame, key: Sequence[str], folds: int, label: str = "y") -> DataFrame:
+    """Add ``fold``: the classes' rows are numbered in hash order and dealt in turn, so a class's folds differ by one row at most."""
+    ranked = spread_ranks(cut_lineage(rows), [label], key, "__rank")
+    return ranked.withColumn("fold", F.pmod("__rank", F.lit(folds)).cast("int")).drop("__rank")
 
 
 def stack(train: DataFrame, columns: Sequence[str], names: Sequence[str], key: Sequence[str], folds: int = 5, scale: float = 1.0):
     """Out-of-fold probabilities and the logistic meta model on them; returns (fold models, meta model)."""
-    dealt = cut_lineage(train.withColumn("fold", fold_of(key, folds)))
+    dealt = cut_lineage(stratified_folds(train, key, folds))
     oof, fold_models = None, []
     for k in range(folds):
         models = fit_classifiers(dealt.filter(F.col("fold") != k), columns, names, scale)
@@ -240,11 +252,14 @@ def search(train: DataFrame, validation: DataFrame, columns: Sequence[str], tria
 # --------------------------------------------------------------------- importance
 
 
-def feature_importance(model: PipelineModel, columns: Sequence[str]) -> DataFrame:
+def feature_importance(model: PipelineModel | FittedForest, columns: Sequence[str]) -> DataFrame:
     """Importance (trees) or absolute coefficient (linear) per input, largest first."""
     last = model.stages[-1]
-    values = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
-    rows = [(c, abs(float(v))) for c, v in zip(columns, values.toArray())]
+    if isinstance(last, T.Forest):
+        values = last.importances()
+    else:
+        values = (last.featureImportances if hasattr(last, "featureImportances") else last.coefficients).toArray()
+    rows = [(c, abs(float(v))) for c, v in zip(columns, values)]
     return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 

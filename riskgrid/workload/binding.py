@@ -6,7 +6,7 @@ sums do not depend on the order of evaluation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskgrid.functions.calendar import floor_hour
 from riskgrid.functions.risk import risk_tier
@@ -36,12 +36,12 @@ def place(key: str):
 # ------------------------------------------------------ weather readings by day
 
 
-def readings(t: Tables) -> DataFrame:
+def readings(t: Tables, city: Column | None = None, time: Column | None = None) -> DataFrame:
     """One weather reading per line item: place from the supplier key, day from the ship date."""
     percent = lambda c: F.round(F.col(c) * 100)
     return t.lineitem.select(
-        place("l_suppkey").alias("City"),
-        F.col("l_shipdate").alias("Timestamp"),
+        (place("l_suppkey") if city is None else city).alias("City"),
+        (F.col("l_shipdate") if time is None else time).alias("Timestamp"),
         (F.col("l_quantity") * 0.75 - 2.5).alias("Temperature_C"),
         (percent("l_discount") * 7 + 20).alias("Humidity_percent"),
         F.when(F.col("l_returnflag") == "A", F.col("l_linenumber") * 1.5).otherwise(F.lit(0.0)).alias("Rain_mm"),
@@ -131,6 +131,21 @@ HOURLY = f"""{HOURLY_READINGS}, hourly AS (
   FROM hreadings GROUP BY 1, 2)"""
 
 
+def stations_hourly(t: Tables) -> DataFrame:
+    """Hours of years at four stations, from the line items: the hour from the part key."""
+    city = F.concat(F.lit("STATION_"), F.pmod("l_suppkey", F.lit(4)).cast("string"))
+    return roll_up_hourly(readings(t, city, F.col("l_shipdate") + F.make_dt_interval(hours=F.pmod("l_partkey", F.lit(24)).cast("int"))))
+
+
+_SREADINGS = READINGS.replace("readings AS", "sreadings AS").replace("'NATION_' || CAST(l_suppkey % 25 AS VARCHAR)", "'STATION_' || CAST(l_suppkey % 4 AS VARCHAR)").replace('l_shipdate AS "Timestamp"', 'l_shipdate + to_hours(CAST(l_partkey % 24 AS INTEGER)) AS "Timestamp"')
+STATIONS_HOURLY = f"""{_SREADINGS}, stations AS (
+  SELECT "City", date_trunc('hour', "Timestamp") AS "Timestamp",
+    avg("Temperature_C") AS "Temperature_C", avg("Humidity_percent") AS "Humidity_percent", sum("Rain_mm") AS "Rain_mm",
+    avg("Wind_Speed_kmh") AS "Wind_Speed_kmh", avg("Wind_Dir_deg") AS "Wind_Dir_deg", avg("Pressure_hPa") AS "Pressure_hPa",
+    avg("Solar_Radiation_Wm2") AS "Solar_Radiation_Wm2", avg("Soil_Temp_C") AS "Soil_Temp_C", avg("Soil_Moisture") AS "Soil_Moisture"
+  FROM sreadings GROUP BY 1, 2)"""
+
+
 # -------------------------------------------------------- places and detections
 
 

@@ -6,14 +6,18 @@ by tests on small fixtures.  Data-side steps have their twin as usual.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from riskgrid.functions.calendar import hour_index, temporal_split
 from riskgrid.operators import evaluate as E
+from riskgrid.operators.isotonic import isotonic_steps
+from riskgrid.operators.resample import lengthen
 from riskgrid.plans import forecast as G
 from riskgrid.plans import learn as L
+from riskgrid.plans import trees as T
 from riskgrid.sources.readers import explode_axis, explode_payload
 from riskgrid.spec import API_NAMES, DAILY, DAILY_WEATHER, HOURLY, HOURLY_TARGETS, HOURLY_VARIABLES
 from riskgrid.workload import binding as B
@@ -40,11 +44,55 @@ KEY = ["City", "Date", "split", "y"]
 
 @query()
 def classifier_report(t):
-    """All classifier families, threshold from validation, report per split."""
-    rows, models = fitted(t, [*NAMES, "extra_trees", "boosting_shallow", "neural", "balanced_forest"])
+    """All nine classifier families, threshold from validation, report per split."""
+    rows, models = fitted(t, [*NAMES, "extra_trees", "balanced_forest", "boosting_shallow", "boosting_deep", "boosting_slow", "neural"])
     return L.three_way_report(L.cut_lineage(L.score(models, rows, KEY)))
 
 
+def complete():
+    return F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in INPUTS])
+
+
+_ROOTS = T.Growth(trees=40, subset=2)
+
+
+@query(
+    f"""WITH {B.LABELLED}, x AS (SELECT "Fire_Occurred" AS y, [{", ".join(f'coalesce("{c}", 0)' for c in INPUTS)}] AS v FROM panel),
+    ends AS (SELECT f, min(v) AS low, max(v) AS high FROM (SELECT unnest(range({len(INPUTS)})) AS f, unnest(v) AS v FROM x) GROUP BY f),
+    h0 AS (SELECT tree, f, c, (tree * 2654435761 + 2246822519 + f * 3266489917 + {42 * 668265263} + c * 374761393) % 4294967296 AS h
+      FROM (SELECT unnest(range(40)) AS tree), (SELECT unnest(range({len(INPUTS)})) AS f), (SELECT unnest([1, 2]) AS c)),
+    h1 AS (SELECT tree, f, c, CAST(CAST(xor(h, h >> 15) AS HUGEINT) * 2246822519 % 4294967296 AS BIGINT) AS h FROM h0),
+    h2 AS (SELECT tree, f, c, CAST(CAST(xor(h, h >> 13) AS HUGEINT) * 3266489917 % 4294967296 AS BIGINT) AS h FROM h1),
+    h3 AS (SELECT tree, f, c, xor(h, h >> 16) AS h FROM h2),
+    picked AS (SELECT tree, f FROM (SELECT tree, f, row_number() OVER (PARTITION BY tree ORDER BY h, f) AS k FROM h3 WHERE c = 1) WHERE k <= 2),
+    drawn AS (SELECT tree, f, low + (CAST(h AS DOUBLE) / 4294967296) * (high - low) AS threshold FROM picked JOIN (SELECT * FROM h3 WHERE c = 2) USING (tree, f) JOIN ends USING (f))
+    SELECT CAST(tree AS INTEGER) AS tree, CAST(f AS INTEGER) AS feature, round(threshold, 6) AS threshold,
+      count(*) FILTER (y = 0 AND v[f + 1] <= threshold) AS l0, count(*) FILTER (y = 1 AND v[f + 1] <= threshold) AS l1,
+      count(*) FILTER (y = 0 AND v[f + 1] > threshold) AS r0, count(*) FILTER (y = 1 AND v[f + 1] > threshold) AS r1
+    FROM drawn, x GROUP BY tree, f, threshold"""
+)
+def extra_trees_root_counts(t):
+    """The drawn splits of the roots of 40 extremely randomised trees, and the classes on both sides."""
+    return B.round_all(T.root_counts(B.labelled_daily(t), complete(), len(INPUTS), "Fire_Occurred", ["City", "Date"], _ROOTS))
+
+
+@query()
+def extra_trees_scores(t):
+    """200 extremely randomised trees over all labelled days: probability of every day."""
+    days = B.labelled_daily(t)
+    forest = T.grow(days, complete(), len(INPUTS), "Fire_Occurred", ["City", "Date"], T.Growth(trees=200, depth=12, subset=2), (1.0, 4.0))
+    return days.select("City", "Date", forest.probability(complete()).alias("p"))
+
+
+@query()
+def balanced_forest_scores(t):
+    """200 trees, each on its own balanced bootstrap of all labelled days: probability of every day."""
+    days = B.labelled_daily(t)
+    how = T.Growth(trees=200, depth=10, subset=2, random=False, balanced=True)
+    forest = T.grow(days, complete(), len(INPUTS), "Fire_Occurred", ["City", "Date"], how)
+    return days.select("City", "Date", forest.probability(complete()).alias("p"))
+
+
 @query()
 def classifier_calibrated_report(t):
     rows, models = fitted(t)
@@ -53,6 +101,20 @@ def classifier_calibrated_report(t):
     return L.three_way_report(L.cut_lineage(calibrated))
 
 
+@query(
+    f"""WITH {B.SCORES}, d AS (SELECT model, p, sum(y) AS s, count(*) AS w FROM scores GROUP BY 1, 2),
+    c AS (SELECT model, p, s, w, row_number() OVER o AS i, sum(s) OVER o AS cs, sum(w) OVER o AS cw FROM d WINDOW o AS (PARTITION BY model ORDER BY p)),
+    m AS (SELECT a.model, a.i AS j, b.i AS k, CAST(b.cs - a.cs + a.s AS DOUBLE) / CAST(b.cw - a.cw + a.w AS DOUBLE) AS mean FROM c a JOIN c b ON a.model = b.model AND a.i <= b.i),
+    low AS (SELECT model, j, k, min(mean) OVER (PARTITION BY model, j ORDER BY k DESC) AS mean FROM m),
+    fit AS (SELECT model, k AS i, max(mean) AS value FROM low GROUP BY 1, 2)
+    SELECT model, min(p) AS low, max(p) AS high, round(value, 6) AS value, CAST(sum(s) AS BIGINT) AS total, CAST(sum(w) AS BIGINT) AS weight
+    FROM fit JOIN c USING (model, i) GROUP BY model, value"""
+)
+def isotonic_calibration_steps(t):
+    """Isotonic regression of outcome on score for every model over all scored rows."""
+    return B.round_all(isotonic_steps(B.scores(t), ["model"], "p", "y", block=256), keep=("low", "high"))
+
+
 @query()
 def calibration_kept(t):
     rows, models = fitted(t)
@@ -62,6 +124,17 @@ def calibration_kept(t):
     return L.keep_calibration(report(val), report(calibrated))
 
 
+@query(
+    f"""WITH {B.LABELLED}, c AS (SELECT "Fire_Occurred" AS y, count(*) AS n FROM panel GROUP BY 1)
+    SELECT CAST(y AS INTEGER) AS y, CAST(fold AS INTEGER) AS fold, n // 5 + CASE WHEN fold < n % 5 THEN 1 ELSE 0 END AS n
+    FROM c, (SELECT unnest(range(5)) AS fold) WHERE n > fold"""
+)
+def stratified_fold_counts(t):
+    """Rows of each class in each of five stratified folds."""
+    rows = B.labelled_daily(t).select("City", "Date", F.col("Fire_Occurred").cast("int").alias("y"))
+    return L.stratified_folds(rows, ["City", "Date"], 5).groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def stacked_ensemble(t):
     rows = L.cut_lineage(frame(t))
@@ -104,7 +177,7 @@ def weather_regressor_report(t):
 
 # ------------------------------------------------------------------- forecasting
 
-TARGETS = ["Temperature_C_mean", "Humidity_percent_mean", "Rain_mm_sum", "Wind_Speed_kmh_mean"]
+TARGETS = list(DAILY_WEATHER)
 
 
 @query()
@@ -129,18 +202,41 @@ def seasonal_trend_only(t):
     return fitted_.select("City", F.round(F.col("beta")[0], 4).alias("a"), F.round(F.col("beta")[1], 4).alias("b"))
 
 
+def _hourly_terms(h: str) -> list[str]:
+    """The terms of ``forecast.hourly_design`` in SQL."""
+    turns = [f"{f}({2 * math.pi * k / period!r} * {h})" for period, order in ((24.0, 3), (168.0, 2), (8766.0, 3)) for k in range(1, order + 1) for f in ("sin", "cos")]
+    return ["1.0::DOUBLE", f"{h} / 8766.0::DOUBLE", *turns]
+
+
+_TERMS = len(_hourly_terms("h"))
+
+
+@query(
+    f"""WITH {B.STATIONS_HOURLY}, long AS ({" UNION ALL ".join(f"""SELECT "City", '{v}' AS variable, CAST(date_diff('hour', TIMESTAMP '2024-01-01', "Timestamp") AS DOUBLE) AS h, "{v}" AS y FROM stations""" for v in HOURLY_VARIABLES)}),
+    x AS (SELECT "City", variable, y, {", ".join(f"{e} AS x{i}" for i, e in enumerate(_hourly_terms("h")))} FROM long WHERE y IS NOT NULL)
+    SELECT "City", variable, count(*) AS n, {", ".join(f"round(sum(x{i} * x{j}), 4) AS g{i}_{j}" for i in range(_TERMS) for j in range(i, _TERMS))},
+      {", ".join(f"round(sum(x{i} * y), 4) AS m{i}" for i in range(_TERMS))} FROM x GROUP BY 1, 2"""
+)
+def seasonal_sums_hourly(t):
+    """The normal equations that ``seasonal_forecast_hourly`` solves, of all nine variables at every station."""
+    rows = lengthen(B.stations_hourly(t), HOURLY.key, HOURLY_VARIABLES)
+    sums = G.seasonal_sums(rows, G.hourly_design(G.hours_since("Timestamp"), yearly=3))
+    return sums.select("City", "variable", "n", *[F.round(c, 4).alias(c) for c in sums.columns[3:]])
+
+
 @query()
 def seasonal_fit_hourly(t):
-    rows = B.weather_hourly(t).select("City", "Timestamp", F.lit("Temperature_C").alias("variable"), F.col("Temperature_C").alias("value"))
-    terms = G.hourly_design(hour_index("Timestamp") - 473352)
-    done = G.apply_seasonal(rows, G.fit_seasonal(rows, terms, min_rows=400), terms)
-    return E.regression_report(done.select("City", F.col("value").alias("actual"), F.col("pred").alias("predicted")), ["City"])
+    """How well the hourly seasonal fit follows all nine variables, by station."""
+    rows = lengthen(B.stations_hourly(t), HOURLY.key, HOURLY_VARIABLES)
+    terms = G.hourly_design(G.hours_since("Timestamp"), yearly=3)
+    done = G.apply_seasonal(rows, G.fit_seasonal(rows, terms, min_rows=720), terms)
+    return E.regression_report(done.select("City", "variable", F.col("value").alias("actual"), F.col("pred").alias("predicted")), ["City", "variable"])
 
 
 @query()
 def seasonal_forecast_hourly(t):
     """Every hourly variable 336 hours ahead."""
-    return G.seasonal_forecast_hourly(B.weather_hourly(t), HOURLY, HOURLY_VARIABLES)
+    return G.seasonal_forecast_hourly(B.stations_hourly(t), HOURLY, HOURLY_VARIABLES)
 
 
 @query()

@@ -8,10 +8,16 @@ from riskgrid.functions.calendar import hour_index
 from riskgrid.operators import stats as S
 from riskgrid.operators.blend import class_imbalance
 from riskgrid.operators.order import exact_quantiles
+from riskgrid.spec import HOURLY_VARIABLES
 from riskgrid.workload import binding as B
 from riskgrid.workload.registry import query
 
-VARIABLES = ("Temperature_C_mean", "Rain_mm_sum", "Wind_Speed_kmh_mean")
+#: All numeric columns of the daily panel.
+VARIABLES = tuple(
+    f"{v}_{s}"
+    for v in HOURLY_VARIABLES
+    for s in {"Rain_mm": ("sum",), "Wind_Dir_deg": ("mean",), "Solar_Radiation_Wm2": ("mean",)}.get(v, ("mean", "min", "max"))
+)
 
 
 def stacked(select: str, source: str = "weather", variables=VARIABLES) -> str:
@@ -89,7 +95,7 @@ def place_month_pivot(t):
     return B.round_all(wide)
 
 
-PAIRS = [(i, j, VARIABLES[i], VARIABLES[j]) for i in range(3) for j in range(i + 1, 3)]
+PAIRS = [(i, j, VARIABLES[i], VARIABLES[j]) for i in range(len(VARIABLES)) for j in range(i + 1, len(VARIABLES))]
 
 
 @query(
@@ -102,27 +108,21 @@ def correlation_matrix(t):
     return B.round_all(S.correlation_pairs(B.weather_daily(t), VARIABLES))
 
 
-TOP = ("Temperature_C_mean", "Soil_Temp_C_mean", "Soil_Temp_C_max", "Humidity_percent_mean", "Soil_Moisture_mean")
+ALL_PAIRS = " UNION ALL ".join(
+    f"""SELECT CAST({i} AS INTEGER) AS i, CAST({j} AS INTEGER) AS j, '{a}' AS a, '{b}' AS b, corr("{a}", "{b}") AS r FROM panel""" for i, j, a, b in PAIRS
+)
 
 
-@query(
-    f"""WITH {B.WEATHER} SELECT * FROM ("""
-    + " UNION ALL ".join(
-        f"""SELECT CAST({i} AS INTEGER) AS i, CAST({j} AS INTEGER) AS j, '{TOP[i]}' AS a, '{TOP[j]}' AS b, round(corr("{TOP[i]}", "{TOP[j]}"), 6) AS r FROM weather"""
-        for i in range(5)
-        for j in range(i + 1, 5)
-    )
-    + ") WHERE abs(r) > 0.9"
-)
+@query(f"WITH {B.LABELLED} SELECT i, j, a, b, round(r, 6) AS r FROM ({ALL_PAIRS}) WHERE abs(r) > 0.9")
 def collinear_pairs(t):
-    return B.round_all(S.collinear_pairs(S.correlation_pairs(B.weather_daily(t), TOP)))
+    return B.round_all(S.collinear_pairs(S.correlation_pairs(B.weather_daily(t), VARIABLES)))
 
 
 @query(
-    f"""WITH {B.LABELLED}, s AS ({stacked("SELECT '{n}' AS variable, corr({v}, \"Fire_Occurred\") AS r", "panel")}) SELECT variable, round(r, 6) AS r FROM s ORDER BY abs(r) DESC LIMIT 2"""
+    f"""WITH {B.LABELLED}, s AS ({stacked("SELECT '{n}' AS variable, corr({v}, \"Fire_Occurred\") AS r", "panel")}) SELECT variable, round(r, 6) AS r FROM s ORDER BY abs(r) DESC, variable LIMIT 10"""
 )
 def top_target_correlation(t):
-    ranked = S.target_correlation(B.labelled_daily(t), VARIABLES, "Fire_Occurred").orderBy(F.abs("r").desc(), "variable").limit(2)
+    ranked = S.target_correlation(B.labelled_daily(t), VARIABLES, "Fire_Occurred").orderBy(F.abs("r").desc(), "variable").limit(10)
     return B.round_all(ranked)
 
 
@@ -235,19 +235,18 @@ def near_constant_columns(t):
 
 
 @query(
-    f"""WITH {B.LABELLED}, m AS (SELECT abs(corr("Temperature_C_mean", "Temperature_C_max")) AS r12, abs(corr("Temperature_C_mean", "Temperature_C_min")) AS r13,
-      abs(corr("Temperature_C_max", "Temperature_C_min")) AS r23, abs(corr("Temperature_C_mean", "Fire_Occurred")) AS y1, abs(corr("Temperature_C_max", "Fire_Occurred")) AS y2,
-      abs(corr("Temperature_C_min", "Fire_Occurred")) AS y3 FROM panel),
-    a AS (SELECT *, CASE WHEN r12 > 0.8 THEN CASE WHEN y1 >= y2 THEN 2 ELSE 1 END ELSE 0 END AS d1 FROM m),
-    b AS (SELECT *, CASE WHEN r13 > 0.8 AND d1 <> 1 THEN CASE WHEN y1 >= y3 THEN 3 ELSE 1 END ELSE 0 END AS d2 FROM a),
-    c AS (SELECT *, CASE WHEN r23 > 0.8 AND d1 <> 2 AND d2 <> 3 THEN CASE WHEN y2 >= y3 THEN 3 ELSE 2 END ELSE 0 END AS d3 FROM b)
-    SELECT CASE d WHEN 1 THEN 'Temperature_C_mean' WHEN 2 THEN 'Temperature_C_max' ELSE 'Temperature_C_min' END AS dropped
-    FROM (SELECT unnest([d1, d2, d3]) AS d FROM c) WHERE d > 0"""
+    f"""WITH RECURSIVE {B.LABELLED}, related AS ({stacked("SELECT '{n}' AS variable, abs(corr({v}, \"Fire_Occurred\")) AS r", "panel")}),
+    strong AS (SELECT a, b, row_number() OVER (ORDER BY i, j) AS k FROM ({ALL_PAIRS}) WHERE abs(r) > 0.8),
+    judged AS (SELECT k, a, b, CASE WHEN round(coalesce(x.r, 0), 9) >= round(coalesce(y.r, 0), 9) THEN b ELSE a END AS weaker
+      FROM strong JOIN related x ON x.variable = a JOIN related y ON y.variable = b),
+    walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS gone
+      UNION ALL SELECT j.k, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) THEN gone ELSE list_append(gone, weaker) END
+      FROM walk JOIN judged j ON j.k = walk.k + 1)
+    SELECT unnest(gone) AS dropped FROM walk WHERE k = (SELECT max(k) FROM walk)"""
 )
 def correlation_pruning(t):
-    columns = ["Temperature_C_mean", "Temperature_C_max", "Temperature_C_min"]
-    rows = B.labelled_daily(t).select(*columns, "Fire_Occurred")
-    dropped = S.prune_correlated(rows, columns, "Fire_Occurred", limit=0.8)
+    rows = B.labelled_daily(t).select(*VARIABLES, "Fire_Occurred")
+    dropped = S.prune_correlated(rows, VARIABLES, "Fire_Occurred", limit=0.8)
     return t.spark.createDataFrame([(c,) for c in dropped], "dropped string")
 
 
