@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskgrid.functions.nulls import ratio
 from riskgrid.functions.risk import recall_score_mix
-from riskgrid.session import fixed_rows
+from riskgrid.session import fixed_rows, sized_side
 
 
 def role_weights(report: DataFrame, model: str = "model") -> DataFrame:
@@ -34,8 +34,8 @@ def role_blend(scores: DataFrame, weights: DataFrame, key: Sequence[str], model:
 
     ``scores`` is long: one row per key and model.  Partial sums combine before the shuffle.
     """
-    # one row per model: a handful by construction, and a shuffle on the model would gather all scores in as many tasks
-    joined = scores.join(F.broadcast(weights.select(model, "role", "weight")), model)
+    # a shuffle on the model would gather all scores in as many tasks, so the weights are measured and sent where they fit
+    joined = scores.join(sized_side(weights.select(model, "role", "weight")), model)
     sums = joined.groupBy(*key).agg(
         F.sum(F.col("weight") * F.col(p)).alias("mean"),
         F.count_if(F.col(p) > 0.15).alias("votes"),
@@ -51,8 +51,7 @@ def role_blend(scores: DataFrame, weights: DataFrame, key: Sequence[str], model:
 
 def soft_vote(scores: DataFrame, key: Sequence[str], members: DataFrame | None = None, model: str = "model", p: str = "p") -> DataFrame:
     """Mean score per key over all models or over those listed in ``members``."""
-    # members are at most one row per model
-    use = scores if members is None else scores.join(F.broadcast(members.select(model)), model, "left_semi")
+    use = scores if members is None else scores.join(sized_side(members.select(model)), model, "left_semi")
     return use.groupBy(*key).agg(F.avg(p).alias("p"))
 
 

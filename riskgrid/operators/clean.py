@@ -40,13 +40,17 @@ def winsorise(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: fl
 
 
 def impute_entity_median(df: DataFrame, columns: Sequence[str], entity: str = "City", medians: DataFrame | None = None) -> DataFrame:
-    """Null to the entity's median, then to 0."""
+    """Null to the entity's median, then to 0; whole-number columns keep their type (the median is rounded)."""
     columns = present(df, columns)
     medians = fit_medians(df, columns, [entity]) if medians is None else medians
     joined = df.join(medians, entity, "left")
-    return joined.select(
-        *[F.coalesce(c, f"{c}_median", F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns]
-    )
+    whole = {c for c, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint")}
+
+    def filled(c: str) -> Column:
+        median = F.round(f"{c}_median").cast(df.schema[c].dataType) if c in whole else F.col(f"{c}_median")
+        return F.coalesce(F.col(c), median, F.lit(0).cast(df.schema[c].dataType) if c in whole else F.lit(0.0)).alias(c)
+
+    return joined.select(*[filled(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def repair_features(

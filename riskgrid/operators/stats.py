@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType
 
 from riskgrid.functions.nulls import ratio
 from riskgrid.operators.order import bounded_quantiles, exact_quantiles
@@ -140,50 +137,50 @@ def prune_correlated(df: DataFrame, columns: Sequence[str], target: str, limit:
 # ------------------------------------------------------------------------ tests
 
 
-def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Continued fraction of the incomplete beta function (modified Lentz), vectorised."""
-    tiny = 1e-300
-    guard = lambda v: np.where(np.abs(v) < tiny, tiny, v)
-    c = np.ones_like(x)
-    d = 1.0 / guard(1.0 - (a + b) * x / (a + 1.0))
-    out = d.copy()
-    for m in range(1, rounds + 1):
+def log_gamma(z: Column) -> Column:
+    """Logarithm of the gamma function for z > 0: Stirling's series ten steps higher, brought down by the recurrence."""
+    high = z + 10
+    series = 1 / (12 * high) - 1 / (360 * high**3) + 1 / (1260 * high**5) - 1 / (1680 * high**7)
+    steps = F.aggregate(F.sequence(F.lit(0), F.lit(9)), F.lit(0.0), lambda total, k: total + F.log(z + k))
+    return (high - 0.5) * F.log(high) - high + 0.5 * math.log(2 * math.pi) + series - steps
+
+
+def _beta_fraction(a: Column, b: Column, x: Column, rounds: int = 300) -> Column:
+    """Continued fraction of the incomplete beta function, two steps a round, from the front (Lentz)."""
+    guard = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+    first = 1 / guard(1 - (a + b) * x / (a + 1))
+
+    def step(at: Column, part: Column) -> Column:
+        d = 1 / guard(1 + part * at["d"])
+        c = guard(1 + part / at["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (at["h"] * d * c).alias("h"))
+
+    def turn(at: Column, m: Column) -> Column:
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        for step in (even, odd):
-            d = 1.0 / guard(1.0 + step * d)
-            c = guard(1.0 + step / c)
-            change = d * c
-            out = out * change
-        if np.all(np.abs(change - 1.0) < 1e-15):
-            break
-    return out
-
-
-def student_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """P(|T| > |t|) for Student's t with real degrees of freedom."""
-    from math import lgamma
-
-    t, df = np.asarray(t, dtype=float), np.asarray(df, dtype=float)
-    out = np.full(t.shape, np.nan)
-    ok = np.isfinite(t) & np.isfinite(df) & (df > 0)
-    if not ok.any():
-        return out
-    n, a, b = df[ok], df[ok] / 2.0, np.full(ok.sum(), 0.5)
-    x = n / (n + t[ok] ** 2)
-    gamma = np.vectorize(lgamma)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(gamma(a + b) - gamma(a) - gamma(b) + a * np.log(x) + b * np.log1p(-x))
-    direct = x < (a + 1.0) / (a + b + 2.0)
-    low = front * _beta_fraction(a, b, x) / a
-    high = 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
-    out[ok] = np.where(x >= 1.0, 1.0, np.where(direct, low, high))
-    return out
-
-
-@F.pandas_udf(DoubleType())
-def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series(student_two_sided(t.to_numpy(), df.to_numpy()))
+        # a list of one element names the first step's result, so it is computed once
+        return F.transform(F.array(step(at, even)), lambda half: step(half, odd))[0]
+
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, turn, lambda at: at["h"])
+
+
+def student_p(t: Column | str, dof: Column | str) -> Column:
+    """P(|T| > |t|) for Student's t with real degrees of freedom, in columns; null where either is missing or not positive."""
+    t, n = (F.col(c) if isinstance(c, str) else c for c in (t, dof))
+
+    def tail(given: Column) -> Column:
+        square, n = given["t"] * given["t"], given["n"]
+        a, x, rest = n / 2, n / (n + square), square / (n + square)
+        front = F.exp(log_gamma(a + 0.5) - log_gamma(a) - 0.5 * math.log(math.pi) + a * F.log(x) + 0.5 * F.log(rest))
+        swapped = x >= (a + 1) / (a + 2.5)
+        half = F.lit(0.5)
+        low = front * _beta_fraction(a, half, x) / a
+        high = 1 - front * _beta_fraction(half, a, rest) / half
+        return F.when(square == 0, F.lit(1.0)).when(x == 0, F.lit(0.0)).when(swapped, high).otherwise(low)
+
+    sound = t.isNotNull() & ~F.isnan(t) & (n > 0) & (n < float("inf"))
+    return F.when(sound, F.transform(F.array(F.struct(t.alias("t"), n.alias("n"))), tail)[0])
 
 
 def welch_table(

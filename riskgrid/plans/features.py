@@ -19,6 +19,7 @@ from riskgrid.operators import joins as J
 from riskgrid.operators import panel as P
 from riskgrid.operators.clean import default_history, estimate_extremes, fill_zero, hour_proxies, impute_entity_median, one_hot, repair_features, winsorise
 from riskgrid.operators.stats import as_scalar_row, fit_medians, fit_monthly_means, fit_spread, fit_thresholds
+from riskgrid.plans.incremental import keep_latest
 from riskgrid.session import cut_lineage
 from riskgrid.spec import (
     DAILY, DAILY_WEATHER, EVENT_WINDOWS, HOURLY, LABEL, LAGS_DAILY, LAGS_HOURLY, ROLLS_DAILY, ROLLS_HOURLY, STATIC_COLUMNS, Panel,
@@ -139,7 +140,7 @@ def engineer_daily(
     predictions and residuals, both keyed by entity and day.
     """
     # fits and features below all read the panel, so it is materialised once
-    clean = cut_lineage(P.keep_one(master, panel.key, [F.hash(*master.columns)]))
+    clean = cut_lineage(keep_latest(master, panel.key))
     if winsor:
         clean = winsorise(clean, list(winsor))
     clean = impute_entity_median(clean, [c for c in numeric_columns(clean) if c not in (LABEL, "fire_count")], panel.entity)

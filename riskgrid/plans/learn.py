@@ -20,7 +20,7 @@ from riskgrid.operators.blend import calibration_kept, class_imbalance
 from riskgrid.operators.isotonic import apply_steps, isotonic_steps
 from riskgrid.operators.order import spread_ranks
 from riskgrid.plans import trees as T
-from riskgrid.session import cut_lineage
+from riskgrid.session import cut_lineage, sized_side
 
 SEED = 42
 
@@ -186,7 +186,7 @@ def keep_calibration(raw: DataFrame, calibrated: DataFrame) -> DataFrame:
 def three_way_report(scores: DataFrame, select_on: str = "val") -> DataFrame:
     """Threshold per model from one split by the four-part selection score, then the full report on every split."""
     chosen = E.pipeline_threshold(scores.filter(F.col("split") == select_on), ["model"])
-    joined = scores.join(F.broadcast(chosen.select("model", "threshold")), "model")  # one row per model
+    joined = scores.join(sized_side(chosen.select("model", "threshold")), "model")
     return E.model_report(joined, ["model", "split", "threshold"], F.col("p") >= F.col("threshold"))
 
 

@@ -8,6 +8,7 @@ from riskgrid.functions.risk import selection_score_mix
 from riskgrid.operators import blend as M
 from riskgrid.operators import evaluate as E
 from riskgrid.operators.resample import lengthen
+from riskgrid.session import sized_side
 from riskgrid.workload import binding as B
 from riskgrid.workload.joining import FORECASTS, naive_forecasts
 from riskgrid.workload.registry import query
@@ -151,29 +152,37 @@ def tradeoff_verified_on_test(t):
     """Threshold chosen on validation rows, counted on test rows, with its sentence."""
     rows = B.scores(t)
     chosen = E.pick_tradeoff(E.tradeoff_table(rows.filter("split = 'val'"), ["model"]), ["model"]).select("model", "threshold")
-    test = rows.filter("split = 'test'").join(F.broadcast(chosen), "model")  # one row per model
+    test = rows.filter("split = 'test'").join(sized_side(chosen), "model")
     out = E.rates(E.count_outcomes(test, ["model", "threshold"], F.col("p") >= F.col("threshold")))
     note = E.threshold_note(*[F.col(c) for c in ("threshold", "recall", "precision", "fn", "fp")])
     return B.round_all(out.withColumn("note", note).drop("f1", "f2", "accuracy"), keep=("threshold",))
 
 
+BOARD = f"""b AS (SELECT model, recall, precision, f1, pr_auc, recall * 0.6 + f1 * 0.4 AS composite, pr_auc * 0.35 + f1 * 0.30 + recall * 0.20 + precision * 0.15 AS selection_score,
+      recall >= 0.7 AND precision >= 0.3 AND pr_auc >= 0.2 AS qualified FROM f JOIN areas USING (model, split) WHERE split = 'val')"""
+WINNER = f"""{REPORT}, {BOARD}, winner AS (SELECT model FROM b ORDER BY qualified DESC, composite DESC, model LIMIT 1),
+    won AS (SELECT * FROM scores WHERE split = 'test' AND model = (SELECT model FROM winner))"""
+
+
+def winner_scores(t):
+    """Test rows of the model that the validation rows choose."""
+    best = E.best_model(E.leaderboard(report(t).filter("split = 'val'")))
+    return B.scores(t).filter("split = 'test'").filter(F.col("model") == best.select("model").scalar())
+
+
 @query(
-    f"""WITH {B.SCORES}, c AS (SELECT "City", count(*) AS total_days, CAST(sum(y) AS BIGINT) AS actual_fires, count(*) FILTER (p >= 0.5) AS predicted_fires, avg(p) AS mean_probability,
+    f"""WITH {B.SCORES}, {WINNER}, c2 AS (SELECT "City", count(*) AS total_days, CAST(sum(y) AS BIGINT) AS actual_fires, count(*) FILTER (p >= 0.5) AS predicted_fires, avg(p) AS mean_probability,
       max(p) AS max_probability, CAST(count(*) FILTER (p >= 0.5 AND y = 1) AS DOUBLE) AS tp, CAST(count(*) FILTER (p >= 0.5 AND y = 0) AS DOUBLE) AS fp,
-      CAST(count(*) FILTER (p < 0.5 AND y = 1) AS DOUBLE) AS fn, CAST(count(*) FILTER (p < 0.5 AND y = 0) AS DOUBLE) AS tn FROM scores WHERE split = 'test' AND model = 'forest' GROUP BY 1),
-    r AS (SELECT *, {RATES_SQL} FROM c), f AS (SELECT *, {F_SQL} FROM r)
+      CAST(count(*) FILTER (p < 0.5 AND y = 1) AS DOUBLE) AS fn, CAST(count(*) FILTER (p < 0.5 AND y = 0) AS DOUBLE) AS tn FROM won GROUP BY 1),
+    r2 AS (SELECT *, {RATES_SQL} FROM c2), f2s AS (SELECT *, {F_SQL} FROM r2)
     SELECT "City", total_days, actual_fires, predicted_fires, round(mean_probability, 6) AS mean_probability, round(max_probability, 6) AS max_probability, {ints('tp', 'fp', 'fn', 'tn')},
-      round(recall, 6) AS recall, round(precision, 6) AS precision, round(f1, 6) AS f1, round(f2, 6) AS f2, round((tp + tn) / total_days, 6) AS accuracy, round(actual_fires / total_days, 6) AS fire_rate FROM f"""
+      round(recall, 6) AS recall, round(precision, 6) AS precision, round(f1, 6) AS f1, round(f2, 6) AS f2, round((tp + tn) / total_days, 6) AS accuracy, round(actual_fires / total_days, 6) AS fire_rate FROM f2s"""
 )
 def place_risk_summary(t):
-    rows = B.scores(t).filter("split = 'test' AND model = 'forest'")
+    rows = winner_scores(t)
     return B.round_all(E.entity_report(rows, ["City"], F.col("p") >= 0.5))
 
 
-BOARD = f"""b AS (SELECT model, recall, precision, f1, pr_auc, recall * 0.6 + f1 * 0.4 AS composite, pr_auc * 0.35 + f1 * 0.30 + recall * 0.20 + precision * 0.15 AS selection_score,
-      recall >= 0.7 AND precision >= 0.3 AND pr_auc >= 0.2 AS qualified FROM f JOIN areas USING (model, split) WHERE split = 'val')"""
-
-
 @query(
     f"""WITH {B.SCORES}, {REPORT}, {BOARD} SELECT model, round(recall, 6) AS recall, round(precision, 6) AS precision, round(f1, 6) AS f1, round(pr_auc, 6) AS pr_auc,
       round(composite, 6) AS composite, round(selection_score, 6) AS selection_score, qualified FROM b"""

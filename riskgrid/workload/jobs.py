@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from riskgrid.operators import resample as R
 from riskgrid.plans import features as X
+from riskgrid.plans import forecast as G
 from riskgrid.plans import incremental as N
 from riskgrid.plans.master import build_master_daily, build_master_hourly
-from riskgrid.spec import DAILY
+from riskgrid.spec import DAILY, DAILY_WEATHER
 from riskgrid.workload import binding as B
 from riskgrid.workload.columns import DEW_SQL, HEAT_SQL, VPD_SQL, date_parts_sql
 from riskgrid.workload.panels import HISTORY_SQL, r6
@@ -193,6 +194,14 @@ def engineered_daily_table(t):
     return B.round_all(out.select(*wanted))
 
 
+@query()
+def engineered_daily_full(t):
+    """The whole daily feature table: winsorised inputs, hour-based extras, seasonal predictions and residuals of all variables."""
+    weather = B.weather_daily(t)
+    residuals = G.seasonal_residuals(weather, DAILY, DAILY_WEATHER)
+    return X.engineer_daily(master_daily(t), day_extras=day_extras(t), residuals=residuals, winsor=[c for c in weather.columns if c not in DAILY.key])
+
+
 def hourly_windows(zero: bool = True) -> str:
     parts = []
     for v in X.HOURLY_LAGGED:

@@ -122,7 +122,14 @@ def replicate_forecast(t):
     return J.replicate_to_entities(forecast, B.places(t)).select("City", "Date", "n")
 
 
-PARTIAL = """part AS (SELECT "City", "Date", "Rain_mm_sum" FROM weather WHERE right("City", 1) <> '7')"""
+#: Places that report: those with at least the mean total of rain.
+WET = """wet AS (SELECT "City" FROM (SELECT "City", sum("Rain_mm_sum") AS s FROM weather GROUP BY 1) WHERE s >= (SELECT avg(s) FROM (SELECT sum("Rain_mm_sum") AS s FROM weather GROUP BY "City")))"""
+PARTIAL = f"""{WET}, part AS (SELECT "City", "Date", "Rain_mm_sum" FROM weather SEMI JOIN wet USING ("City"))"""
+
+
+def wet_places(weather):
+    totals = weather.groupBy("City").agg(F.sum("Rain_mm_sum").alias("s"))
+    return totals.filter(F.col("s") >= totals.agg(F.avg("s").alias("m")).scalar()).select("City")
 
 
 @query(
@@ -131,7 +138,8 @@ PARTIAL = """part AS (SELECT "City", "Date", "Rain_mm_sum" FROM weather WHERE ri
     UNION ALL SELECT miss."City", "Date", round("Rain_mm_sum", 6) FROM part, miss WHERE part."City" = (SELECT min("City") FROM part)"""
 )
 def complete_missing_places(t):
-    some = B.weather_daily(t).select("City", "Date", "Rain_mm_sum").filter(F.substring("City", -1, 1) != "7")
+    weather = B.weather_daily(t).select("City", "Date", "Rain_mm_sum")
+    some = weather.join(wet_places(weather), "City", "left_semi")
     return B.round_all(J.complete_entities(some, B.places(t)))
 
 
@@ -139,7 +147,7 @@ def complete_missing_places(t):
     f"""WITH {B.WEATHER}, {B.PLACE_TABLE}, {PARTIAL} SELECT "City" FROM places WHERE "City" NOT IN (SELECT "City" FROM part)"""
 )
 def missing_places(t):
-    some = B.weather_daily(t).filter(F.substring("City", -1, 1) != "7")
+    some = wet_places(B.weather_daily(t))
     return J.missing_entities(B.places(t), some)
 
 
@@ -259,10 +267,10 @@ def every_fifth_date(t):
 
 
 @query(
-    f"""WITH {B.WEATHER}, {FORECASTS}, w8 AS (SELECT DISTINCT "City", CASE WHEN right("City", 1) = '3' THEN 0 ELSE 0.25 END AS weight FROM weather)
+    f"""WITH {B.WEATHER}, {FORECASTS}, {WET}, w8 AS (SELECT DISTINCT "City", CASE WHEN wet."City" IS NULL THEN 0 ELSE 0.25 END AS weight FROM weather LEFT JOIN wet USING ("City"))
     SELECT "City", "Date", round(a * weight + b * (1 - weight), 6) AS value FROM fc LEFT JOIN w8 USING ("City")"""
 )
 def weight_lookup_blend(t):
     fc = naive_forecasts(t)
-    weights = fc.select("City").distinct().filter(F.substring("City", -1, 1) != "3").withColumn("weight", F.lit(0.25))
+    weights = wet_places(B.weather_daily(t)).withColumn("weight", F.lit(0.25))
     return B.round_all(apply_mix(fc, weights, ["City"]).select("City", "Date", "value"))

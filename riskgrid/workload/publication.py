@@ -12,6 +12,7 @@ from riskgrid.plans import publish as U
 from riskgrid.workload import binding as B
 from riskgrid.workload.columns import SENTENCE_SQL
 from riskgrid.workload.evaluation import REPORT, report
+from riskgrid.workload.evaluation import WINNER, winner_scores
 from riskgrid.workload.registry import query
 
 # ----------------------------------------------------------------- public tables
@@ -123,13 +124,13 @@ def metrics_document(t):
 
 
 @query(
-    f"""WITH {B.SCORES}, c AS (SELECT CAST(count(*) FILTER (p >= 0.5 AND y = 1) AS DOUBLE) AS tp, CAST(count(*) FILTER (p >= 0.5 AND y = 0) AS DOUBLE) AS fp, CAST(count(*) FILTER (p < 0.5 AND y = 1) AS DOUBLE) AS fn,
-      CAST(count(*) FILTER (p < 0.5 AND y = 0) AS DOUBLE) AS tn FROM scores WHERE split = 'test' AND model = 'forest')
-    SELECT 'forest' AS model, 0.5::DOUBLE AS threshold, round(tp / (tp + fn), 6) AS recall, round(tp / (tp + fp), 6) AS precision, CAST(tp AS BIGINT) AS true_positives, CAST(fp AS BIGINT) AS false_positives,
-      CAST(fn AS BIGINT) AS false_negatives, CAST(tn AS BIGINT) AS true_negatives, CAST(tp + fp + fn + tn AS BIGINT) AS test_samples, round((tp + fn) / (tp + fp + fn + tn), 6) AS fire_rate FROM c"""
+    f"""WITH {B.SCORES}, {WINNER}, c2 AS (SELECT any_value(model) AS model, CAST(count(*) FILTER (p >= 0.5 AND y = 1) AS DOUBLE) AS tp, CAST(count(*) FILTER (p >= 0.5 AND y = 0) AS DOUBLE) AS fp, CAST(count(*) FILTER (p < 0.5 AND y = 1) AS DOUBLE) AS fn,
+      CAST(count(*) FILTER (p < 0.5 AND y = 0) AS DOUBLE) AS tn FROM won)
+    SELECT model, 0.5::DOUBLE AS threshold, round(tp / (tp + fn), 6) AS recall, round(tp / (tp + fp), 6) AS precision, CAST(tp AS BIGINT) AS true_positives, CAST(fp AS BIGINT) AS false_positives,
+      CAST(fn AS BIGINT) AS false_negatives, CAST(tn AS BIGINT) AS true_negatives, CAST(tp + fp + fn + tn AS BIGINT) AS test_samples, round((tp + fn) / (tp + fp + fn + tn), 6) AS fire_rate FROM c2"""
 )
 def final_metrics(t):
-    rows = B.scores(t).filter("split = 'test' AND model = 'forest'")
+    rows = winner_scores(t)
     c = E.rates(E.count_outcomes(rows, ["model"], F.col("p") >= 0.5))
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
     return B.round_all(
@@ -149,10 +150,10 @@ def final_metrics(t):
 
 
 @query(
-    f"""WITH {B.SCORES} SELECT row_order, row_line, "City" AS city, CAST(month("Date") AS INTEGER) AS month, CAST(y AS INTEGER) AS y_true, CAST(p >= 0.5 AS INTEGER) AS y_pred, p AS probability FROM scores WHERE split = 'test' AND model = 'forest'"""
+    f"""WITH {B.SCORES}, {WINNER} SELECT row_order, row_line, "City" AS city, CAST(month("Date") AS INTEGER) AS month, CAST(y AS INTEGER) AS y_true, CAST(p >= 0.5 AS INTEGER) AS y_pred, p AS probability FROM won"""
 )
 def final_predictions(t):
-    rows = B.scores(t).filter("split = 'test' AND model = 'forest'")
+    rows = winner_scores(t)
     return rows.select(
         "row_order",
         "row_line",

@@ -141,9 +141,28 @@ def welch_statistics(t):
     return B.round_all(S.welch_table(B.labelled_daily(t), ["City"], VARIABLES, "Fire_Occurred"))
 
 
-@query()
+TAIL = """t AS (SELECT "City", variable, CASE WHEN s1 + s0 > 0 THEN (m1 - m0) / sqrt(s1 + s0) END AS t,
+      CASE WHEN s1 + s0 > 0 THEN (s1 + s0) ** 2 / (s1 ** 2 / (n1 - 1) + s0 ** 2 / (n0 - 1)) END AS n FROM w),
+    e AS (SELECT "City", variable, n / 2 AS h, n / (n + t * t) AS x, t * t / (n + t * t) AS y, n / (n + t * t) >= (n / 2 + 1) / (n / 2 + 2.5) AS turned FROM t WHERE t <> 0),
+    g AS (SELECT *, CASE WHEN turned THEN 0.5 ELSE h END AS a, CASE WHEN turned THEN h ELSE 0.5 END AS b, CASE WHEN turned THEN y ELSE x END AS z FROM e),
+    frac AS (SELECT *, 0 AS m, 1.0::DOUBLE AS c, 1 / (1 - (a + b) * z / (a + 1)) AS d, 1 / (1 - (a + b) * z / (a + 1)) AS f FROM g
+      UNION ALL SELECT "City", variable, h, x, y, turned, a, b, z, m + 1, 1 + odd / c1, 1 / (1 + odd * d1), f1 * (1 + odd / c1) / (1 + odd * d1)
+      FROM (SELECT *, 1 + even / c AS c1, 1 / (1 + even * d) AS d1, f * (1 + even / c) / (1 + even * d) AS f1
+        FROM (SELECT *, (m + 1) * (b - m - 1) * z / ((a + 2 * m + 1) * (a + 2 * m + 2)) AS even, -(a + m + 1) * (a + b + m + 1) * z / ((a + 2 * m + 2) * (a + 2 * m + 3)) AS odd FROM frac WHERE m < 300))),
+    part AS (SELECT *, exp(lgamma(h + 0.5) - lgamma(h) - lgamma(0.5::DOUBLE) + h * ln(x) + 0.5 * ln(y)) * f / a AS share FROM frac WHERE m = 300),
+    tail AS (SELECT "City", variable, CASE WHEN turned THEN 1 - share ELSE share END AS p FROM part),
+    tests AS (SELECT t."City", t.variable, CASE WHEN t.t = 0 THEN 1.0::DOUBLE ELSE p END AS p FROM t LEFT JOIN tail ON tail."City" = t."City" AND tail.variable = t.variable)"""
+
+
+@query(f"""WITH RECURSIVE {B.LABELLED}, {WELCH}, {TAIL} SELECT "City", variable, round(p, 6) AS p_value, coalesce(p < 0.05, false) AS "Significant" FROM tests""")
+def welch_p_values(t):
+    """Two-sided p of every place and variable, from the aggregated rows."""
+    tests = S.welch_tests(B.labelled_daily(t), ["City"], VARIABLES, "Fire_Occurred")
+    return B.round_all(tests.select("City", "variable", "p_value", "Significant"))
+
+
+@query(f"""WITH RECURSIVE {B.LABELLED}, {WELCH}, {TAIL} SELECT variable, round(avg(CASE WHEN p < 0.05 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share, count(*) AS n FROM tests GROUP BY 1""")
 def welch_significant_share(t):
-    """Needs the Student-t distribution, which SQL lacks; the p-values are tested against quadrature."""
     tests = S.welch_tests(B.labelled_daily(t), ["City"], VARIABLES, "Fire_Occurred")
     return B.round_all(S.significant_share(tests).orderBy(F.desc("share"), "variable"))
 

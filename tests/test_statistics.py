@@ -117,8 +117,17 @@ def t_tail(t, df, steps=200_000):
 
 
 @pytest.mark.parametrize("t,df", [(0.0, 5.0), (0.3, 3.7), (1.96, 40.0), (2.5, 9.3), (-4.0, 120.5), (0.01, 1.0)])
-def test_student_p_against_quadrature(t, df):
-    assert S.student_two_sided(np.array([t]), np.array([df]))[0] == pytest.approx(t_tail(t, df), abs=1e-7)
+def test_student_p_against_quadrature(spark, t, df):
+    assert spark.createDataFrame([(t, df)], "t double, df double").select(S.student_p("t", "df")).first()[0] == pytest.approx(t_tail(t, df), abs=1e-7)
+
+
+def test_student_p_of_odd_rows_and_log_gamma(spark):
+    odd = [(None, 3.0), (1.0, None), (float("nan"), 3.0), (1.0, 0.0), (1.0, float("inf"))]
+    assert [r[0] for r in spark.createDataFrame(odd, "t double, df double").select(S.student_p("t", "df")).collect()] == [None] * 5
+    assert spark.createDataFrame([(1e200, 4.0)], "t double, df double").select(S.student_p("t", "df")).first()[0] == pytest.approx(0, abs=1e-12)
+    z = [0.01, 0.5, 1.0, 2.5, 60.25, 4000.0]
+    got = spark.createDataFrame([(v,) for v in z], "z double").select("z", S.log_gamma(F.col("z")).alias("g")).collect()
+    assert all(r.g == pytest.approx(math.lgamma(r.z), rel=1e-12, abs=1e-12) for r in got)
 
 
 def test_welch_skips_thin_groups(spark):
