@@ -280,3 +280,26 @@ def test_digest_of_runs(spark, data):
     empty = hashlib.sha256(b"").hexdigest()
     assert all(r.runs_sha256 != empty and r.start is not None for r in got.values() if r.n_runs)
     assert all(r.runs_sha256 == empty and r.start is None for r in got.values() if not r.n_runs)
+
+
+# ------------------------------------------------------------------------ top k
+
+
+@pytest.mark.parametrize("sizes", [[1.0], [1e16], [1.0, 1e8, 1e16], [1e300, 1e-300, 3.0], [2.0**45, 2.0**44]])
+def test_top_k_of_large_components(spark, sizes):
+    from riskgrid.llm import voronoi
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(len(sizes))
+    rows = [(i, [float(x) for x in rng.normal(size=6) * rng.choice(sizes)]) for i in range(150)]
+    rows += [(i, rows[i - 150][1]) for i in range(150, 160)] + [(200, [0.0] * 6), (201, [float("inf")] * 6)]
+    got = {}
+    for r in voronoi.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id, r.score))
+    whole = {i: [math.floor(256 * x) if abs(256 * x) < 2**53 else int(256 * x) for x in v] for i, v in rows if all(map(math.isfinite, v))}
+    for i in whole:
+        if i % 10 == 0:
+            score = lambda j: min(max(sum(a * b for a, b in zip(whole[i], whole[j])), -(2**63)), 2**63 - 1)
+            best = sorted((-score(j), j) for j in whole if j != i)[:5]
+            assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert set(got) == {i for i in whole if i % 10 == 0}
