@@ -149,10 +149,10 @@ def engineer_daily(
         if side is not None:
             new = [c for c in side.columns if c not in clean.columns]
             clean = clean.join(side.select(*panel.key, *new), panel.key, "left")
-    dated = add_date_parts(clean, panel.time)
+    # the one order by month comes first, so that all else shares one sort
+    dated = P.event_rate_so_far(add_date_parts(clean, panel.time), panel, name="city_month_fire_rate", by=["Month"])
     out = add_weather_features(dated, fitted, panel, [P.event_counts()], max(EVENT_WINDOWS))
     out = P.rows_since_event(out, panel)
-    out = P.event_rate_so_far(out, panel, name="city_month_fire_rate", by=["Month"])
     out = P.event_rate_so_far(out, panel, name="city_fire_rate")
     use = present(out, HISTORY_VARIABLES)
     out = P.row_features(out, panel, [P.lags(use, LAGS_DAILY), P.rolls(use, ROLLS_DAILY)], max(LAGS_DAILY + ROLLS_DAILY))
@@ -175,7 +175,7 @@ def training_frame(history: DataFrame, cities: Sequence[str] = (), panel: Panel
     """Features of the needed columns; absent static columns become 0."""
     needed = present(history, (*panel.key, LABEL, *DAILY_WEATHER, *STATIC_COLUMNS))
     absent = [c for c in STATIC_COLUMNS if c not in history.columns]
-    rows = history.select(*needed, *[F.lit(0.0).alias(c) for c in absent])
+    rows = cut_lineage(history.select(*needed, *[F.lit(0.0).alias(c) for c in absent]))
     return build_features(rows, fit_statistics(rows, panel) if fitted is None else fitted, cities, panel)
 
 
@@ -187,6 +187,7 @@ def forecast_frame(
     Only the tail is read into windows, yet thresholds and monthly means come
     from all of history.
     """
+    history, forecast = cut_lineage(history), cut_lineage(forecast)
     static = present(history, STATIC_COLUMNS)
     future = J.attach_latest(forecast.drop(*static), history, panel, static)
     tail = J.history_tail(history, forecast, panel, span)
@@ -205,6 +206,8 @@ def daily_horizon(
     carried: Sequence[str] = (),
 ) -> DataFrame:
     """Full feature set for the daily horizon, all entities in one plan."""
+    # every statistic below reads history: it is stored once
+    history, forecast = cut_lineage(history), cut_lineage(forecast)
     spread_of = ["Temperature_C", "Humidity_percent", "Wind_Speed_kmh", "Soil_Temp_C", "Soil_Moisture"]
     known = [v for v in spread_of if all(f"{v}_{s}" in history.columns for s in ("mean", "min", "max"))]
     future = estimate_extremes(forecast, fit_spread(history, known), known)
@@ -218,9 +221,9 @@ def daily_horizon(
     recent = J.history_tail(history, future, panel, span).select(*shared, *[c for c in extra if c not in shared])
     both = P.overlay(recent, future.select(*shared), panel.key)
     both = P.fill_gaps(both.fillna(0, subset=present(both, [LABEL])), panel, ["NDVI", "EVI", "NDBI"], backward=False)
-    out = add_weather_features(add_date_parts(both, panel.time), fit_statistics(history, panel), panel, [P.event_counts()], max(EVENT_WINDOWS))
+    dated = P.event_rate_so_far(add_date_parts(both, panel.time), panel, name="city_month_fire_rate", by=["Month"])
+    out = add_weather_features(dated, fit_statistics(history, panel), panel, [P.event_counts()], max(EVENT_WINDOWS))
     out = P.rows_since_event(out, panel)
-    out = P.event_rate_so_far(out, panel, name="city_month_fire_rate", by=["Month"])
     out = P.event_rate_so_far(out, panel, name="city_fire_rate")
     use = present(out, HISTORY_VARIABLES)
     out = P.row_features(out, panel, [P.lags(use, LAGS_DAILY), P.rolls(use, ROLLS_DAILY)], max(LAGS_DAILY + ROLLS_DAILY))

@@ -172,6 +172,7 @@ def apply_seasonal(long: DataFrame, fitted: DataFrame, columns: Sequence[Column]
 
 def seasonal_residuals(df: DataFrame, panel: Panel, variables: Sequence[str], yearly: int = 3, weekly: int = 2) -> DataFrame:
     """Fitted value and residual of every variable, wide; the season of rain multiplies its trend."""
+    df = cut_lineage(df.select(*panel.key, *[v for v in variables if v in df.columns]))
     long = lengthen(df, panel.key, variables)
     series = (panel.entity, "variable")
     rain = F.col("variable").contains("Rain")
