@@ -108,9 +108,21 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return correlations(df, columns)
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Pearson r over the rows with both: NaN where one of them is constant, null without such rows.
+
+    ``corr`` divides by zero there, or by what rounding leaves of the spread when partial sums are merged.
+    """
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    constant = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y)) | (spread == 0)
+    return F.when(constant, F.lit(math.nan)).otherwise(F.try_divide(F.covar_pop(x, y), spread))
+
+
 def target_correlation(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
+    """Pearson r of every column with the target: NaN where one of them is constant, null where no row has both."""
     y = F.col(target).cast("double")
-    return per_variable(df, [], columns, lambda c: {"r": F.corr(F.col(c).cast("double"), y)})
+    return per_variable(df, [], columns, lambda c: {"r": pearson(F.col(c).cast("double"), y)})
 
 
 def collinear_pairs(pairs: DataFrame, limit: float = 0.9) -> DataFrame:

@@ -186,3 +186,17 @@ def test_global_quantiles_are_exact(spark):
     wanted = [("a", 0.95, "hot"), ("b", 0.1, "dry"), ("a", 0.01, "low")]
     plain = df.agg(*[F.percentile(c, F.lit(p)) for c, p, _ in wanted]).first()
     assert tuple(S.fit_global_quantiles(df, wanted).first()) == pytest.approx(tuple(plain))
+
+
+def test_correlation_with_a_constant_column_or_target(spark):
+    # the rest of a few partial sums is not exactly the constant, so several tasks take part
+    data = [(0.1, float(i % 7), None if i % 3 else float(i % 5), None, i % 2, 1) for i in range(1000)]
+    df = spark.createDataFrame(data, "flat double, x double, y double, empty double, target int, always int").repartition(7)
+    columns = ["flat", "x", "y", "empty"]
+    got = {r[0]: r[1] for r in S.target_correlation(df, columns, "target").collect()}
+    assert math.isnan(got["flat"]) and got["empty"] is None
+    for k, c in ((1, "x"), (2, "y")):
+        both = np.array([(r[k], r[4]) for r in data if r[k] is not None])
+        assert got[c] == pytest.approx(np.corrcoef(both.T)[0, 1], abs=1e-12)
+    got = {r[0]: r[1] for r in S.target_correlation(df, columns, "always").collect()}
+    assert all(math.isnan(got[c]) for c in ("flat", "x", "y")) and got["empty"] is None
