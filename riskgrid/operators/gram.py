@@ -63,13 +63,14 @@ def pair_sums(df: DataFrame, columns: Sequence[str], tile: int = TILE) -> DataFr
     return out.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
-def correlations(df: DataFrame, columns: Sequence[str], tile: int = TILE) -> DataFrame:
-    """Pearson r of every pair i < j over pairwise complete rows: i, j, a, b, r (null where a column is constant or no row has both)."""
+def correlations(df: DataFrame, columns: Sequence[str], tile: int = TILE, constant: float | None = None) -> DataFrame:
+    """Pearson r of every pair i < j over pairwise complete rows: i, j, a, b, r (``constant`` where a column is, null where no row has both)."""
     sums = pair_sums(df, columns, tile)
     n = F.col("n").cast("double")
     spread = lambda s, ss: F.col(ss) - F.try_divide(F.col(s) * F.col(s), n)
     # what rounding leaves of a constant column's spread is no spread
     flat = lambda s, ss: spread(s, ss) <= F.col(ss) * 1e-12
     r = F.when(~flat("sa", "saa") & ~flat("sb", "sbb"), (F.col("sab") - F.try_divide(F.col("sa") * F.col("sb"), n)) / F.sqrt(spread("sa", "saa") * spread("sb", "sbb")))
+    r = r if constant is None else r.when(n > 0, F.lit(constant))
     names = F.array(*[F.lit(c) for c in columns])
     return sums.select("i", "j", F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), r.alias("r"))

@@ -103,9 +103,9 @@ def near_constant(df: DataFrame, columns: Sequence[str], below: float = 0.001) -
 # ------------------------------------------------------------------ correlation
 
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson r of every pair i < j over pairwise complete rows, from tiled sums of products."""
-    return correlations(df, columns)
+def correlation_pairs(df: DataFrame, columns: Sequence[str], constant: float | None = None) -> DataFrame:
+    """Pearson r of every pair i < j over pairwise complete rows, from tiled sums of products; ``constant`` where a column is."""
+    return correlations(df, columns, constant=constant)
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -129,14 +129,18 @@ def collinear_pairs(pairs: DataFrame, limit: float = 0.9) -> DataFrame:
     return pairs.filter(F.abs("r") > limit)
 
 
-def prune_correlated(df: DataFrame, columns: Sequence[str], target: str, limit: float = 0.95) -> list[str]:
+def prune_correlated(df: DataFrame, columns: Sequence[str], target: str, limit: float = 0.95, constant: float = 0.0) -> list[str]:
     """Columns to drop: of each pair above the limit the one less related to the target (equal to nine digits: the later).
 
     The statistics are one distributed aggregate; only the matrix (a few
     numbers per column pair) reaches the driver for the order-dependent pass.
+    A coefficient with a constant column counts as ``constant``; NaN, as in SQL, is above every number.
     """
-    related = {r["variable"]: round(abs(r["r"] or 0.0), 9) for r in target_correlation(df, columns, target).collect()}
-    strong = correlation_pairs(df, columns).filter(F.abs("r") > limit).orderBy("i", "j").collect()
+    related = {}
+    for row in target_correlation(df, columns, target).collect():
+        r = 0.0 if row["r"] is None else constant if math.isnan(row["r"]) else row["r"]
+        related[row["variable"]] = math.inf if math.isnan(r) else round(abs(r), 9)
+    strong = correlation_pairs(df, columns, constant).filter(F.abs("r") > limit).orderBy("i", "j").collect()
     dropped: list[str] = []
     for row in strong:
         a, b = row["a"], row["b"]

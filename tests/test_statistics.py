@@ -200,3 +200,14 @@ def test_correlation_with_a_constant_column_or_target(spark):
         assert got[c] == pytest.approx(np.corrcoef(both.T)[0, 1], abs=1e-12)
     got = {r[0]: r[1] for r in S.target_correlation(df, columns, "always").collect()}
     assert all(math.isnan(got[c]) for c in ("flat", "x", "y")) and got["empty"] is None
+
+
+def test_pruning_with_a_constant_column_or_target(spark):
+    data = [(float(i % 11), float(i % 11) * 2 + i % 2 * 0.1, 980.0, float(i % 13), i % 2, 1) for i in range(500)]
+    df = spark.createDataFrame(data, "a double, b double, flat double, c double, target int, always int").repartition(5)
+    columns = ["a", "b", "flat", "c"]
+    assert S.prune_correlated(df, columns, "target", limit=0.8) == ["a"]
+    assert S.prune_correlated(df, columns, "always", limit=0.8) == ["b"]
+    # as in SQL, where NaN is above every number: all go that meet the constant column, which nothing outranks
+    assert S.prune_correlated(df, columns, "target", limit=0.8, constant=math.nan) == ["a", "b", "c"]
+    assert S.prune_correlated(df, columns, "always", limit=0.8, constant=math.nan) == ["b", "flat"]
