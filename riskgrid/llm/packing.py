@@ -43,6 +43,8 @@ class WordIds:
         self.whole.no_truncation()
         self.bare = Tokenizer(self.whole.model)
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ascii = Tokenizer(self.whole.model)  # the byte alphabet has printable ASCII as it is
+        self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -52,6 +54,9 @@ class WordIds:
     def learn(self, missing: set[bytes]) -> None:
         plain = []
         for word in missing:
+            if word.isalpha():
+                plain.append((word, word.lower(), b""))
+                continue
             letters = word.rstrip(self.SIGNS)
             low = letters.lower()
             if not low.isalpha():  # not only ASCII letters
@@ -63,17 +68,19 @@ class WordIds:
             plain.append((word, low, word[len(letters) :]))
         new = {low for _, low, _ in plain}
         new.update(signs for _, _, signs in plain)
-        new = [x.decode() for x in new - self.parts.keys()]
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            lines = [" ".join(some[k : k + 50]) for k in range(0, len(some), 50)]
-            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.bare.encode_batch_fast(lines, add_special_tokens=False)])
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(stops) != len(some):
-                raise ValueError("the vocabulary doesn't mark the ends of words")
-            data, start = ids.tobytes(), 0
-            for x, stop in zip(some, stops):
-                self.parts[x.encode()], start = data[4 * start : 4 * stop], stop
+        new -= self.parts.keys()
+        in_ascii = [x for x in new if x.isascii()]
+        for model, kind in ((self.ascii, in_ascii), (self.bare, list(new.difference(in_ascii)))):
+            for at in range(0, len(kind), 2000):
+                some = kind[at : at + 2000]
+                lines = [b" ".join(some[k : k + 50]).decode() for k in range(0, len(some), 50)]
+                ids = np.concatenate([np.array(e.ids, "<u4") for e in model.encode_batch_fast(lines, add_special_tokens=False)])
+                stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                if len(stops) != len(some):
+                    raise ValueError("the vocabulary doesn't mark the ends of words")
+                data, start = ids.tobytes(), 0
+                for x, stop in zip(some, stops):
+                    self.parts[x], start = data[4 * start : 4 * stop], stop
         parts = self.parts
         self.words.update((word, parts[low] + parts[signs] if signs else parts[low]) for word, low, signs in plain)
 
@@ -125,8 +132,8 @@ def patterns(demand: np.ndarray, capacity: int, gap: float = 0.001, most: int =
 
     The linear program over patterns is solved by column generation: the simplex prices give each width a value, an
     unbounded knapsack finds the pattern of the highest value, and it enters the basis while it is worth more than one
-    bin (or until the bound shows less than ``gap`` to gain). Pattern counts are rounded down; what is left, less than
-    one bin per pattern, is packed by best fit, largest first.
+    bin (or until a bound, the prices' or that of bins without any gap, shows less than ``gap`` to gain). Pattern counts
+    are rounded down; what is left, less than one bin per pattern, is packed by best fit, largest first.
     """
     widths = np.flatnonzero(demand)
     if not len(widths):
@@ -136,9 +143,12 @@ def patterns(demand: np.ndarray, capacity: int, gap: float = 0.001, most: int =
     inverse, value = np.diag(1.0 / fit), need / fit
     basis = [{int(w): int(k)} for w, k in zip(widths, fit)]
     cost = np.ones(m)
+    enough = (1 + gap) * float(widths @ need) / capacity
     at = np.full(capacity + 1, -1)
     at[widths] = np.arange(m)
     for _ in range(most):
+        if cost @ value <= enough:
+            break
         prices = cost @ inverse
         worst = int(np.argmin(prices))
         if prices[worst] < -1e-9:

@@ -402,3 +402,17 @@ def test_suffix_dedup(spark, monkeypatch, window, gram, frequent):
 def test_prefix_intervals():
     assert list(suffixes.intervals([2, 5, 5, 1, 3], 2)) == [(1, 3, 5), (0, 3, 2), (4, 5, 3)]
     assert list(suffixes.intervals([], 1)) == [] and list(suffixes.intervals([4, 4], 4)) == [(0, 2, 4)]
+
+
+def test_packing_plan_stops_once_bins_are_full(monkeypatch):
+    # the bound of bins without a gap shows that nothing is left to gain, so no prices are asked for
+    demand = np.zeros(13, int)
+    demand[[1, 2, 3, 4, 6, 12]] = 24, 12, 8, 9, 4, 5
+    monkeypatch.setattr(np, "argmin", lambda x: pytest.fail("another round"))
+    plan = packing.patterns(demand, 12)
+    assert sum(bins for _, bins in plan) == demand @ np.arange(13) // 12
+    used = np.zeros_like(demand)
+    for p, bins in plan:
+        for w, k in p.items():
+            used[w] += k * bins
+    assert (used == demand).all()
