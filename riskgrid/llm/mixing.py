@@ -10,6 +10,7 @@ from fractions import Fraction
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from riskgrid.llm.packing import forget
 from riskgrid.llm.shared import WORD, ship
 from riskgrid.session import cut_lineage
 
@@ -145,6 +146,7 @@ def _stream_places(facts: DataFrame, seed: int, least_blocks: int = 1024, rows_p
 
 
 def _cut(batches):
+    forget()
     for batch in batches:
         texts = []
         for text, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

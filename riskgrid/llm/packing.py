@@ -24,6 +24,11 @@ def per_process(key: tuple, make):
     return held[key] if key in held else held.setdefault(key, make())
 
 
+def forget() -> None:
+    """Let go of what ``per_process`` holds, so that a process doesn't keep it through the later stages of a pipeline."""
+    sys.modules.pop("_riskgrid_llm_process", None)
+
+
 class WordIds:
     """Token ids of a text, word by word.
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from riskgrid.llm.packing import slices
+from riskgrid.llm.packing import forget, slices
 from riskgrid.llm.shared import ship
 
 #: Word buckets, statistics and the bins of each, metadata buckets, factors.
@@ -131,6 +131,7 @@ class Machine:
 
 
 def _featurise(batches):
+    forget()
     make = Features()
     for batch in batches:
         labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -170,6 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
 def _scores(shared):
     """Scores of batches whose second column is the text and whose further columns are metadata."""
+    forget()
     make, fitted = Features(), shared.value
 
     def of(batch: pa.RecordBatch, metadata: int) -> np.ndarray:

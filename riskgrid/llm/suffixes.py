@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskgrid.llm.packing import slices
+from riskgrid.llm.packing import forget, slices
 from riskgrid.llm.repeats import Rolling, bucket_count, by_bucket, gathered, mixed, narrow, per_document, repeated, runs, steps, unsteps, wide
 from riskgrid.llm.shared import ship, text_bytes
 from riskgrid.session import cut_lineage
@@ -51,6 +51,7 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
 
 def _anchors(window: int, gram: int):
     def make(batches):
+        forget()
         rolling, table = Rolling(), byte_values()
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()

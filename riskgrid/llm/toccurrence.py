@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from riskgrid.llm.packing import slices
+from riskgrid.llm.packing import forget, slices
 from riskgrid.llm.repeats import Rolling, bucket_count, by_bucket, mixed, narrow, runs, steps, unsteps, wide
 from riskgrid.llm.shared import components, ship, text_bytes
 from riskgrid.llm.substrings import WordHashes
@@ -119,6 +119,7 @@ def _stars(doc: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _spread(length: int, percent: int, buckets: int):
     def run(batches):
+        forget()
         shingles, held, size, number = Shingles(length), [], 0, 0
 
         def out():
@@ -171,6 +172,7 @@ def _meet(blobs):
 
 def _sets(length: int):
     def run(batches):
+        forget()
         shingles = Shingles(length)
         for batch in batches:
             texts = batch.column(1).to_pylist()

@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import sys
 import zlib
 from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -416,3 +418,19 @@ def test_packing_plan_stops_once_bins_are_full(monkeypatch):
         for w, k in p.items():
             used[w] += k * bins
     assert (used == demand).all()
+
+
+def test_words_kept_by_packing_go_when_another_operator_runs():
+    process = lambda: sys.modules.get("_riskgrid_llm_process")
+    schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens")]])
+    for other in (
+        lambda: list(quality._featurise(iter([pa.record_batch({"label": [1], "text": [b"a few words"]})]))),
+        lambda: list(toccurrence._spread(5, 80, 64)(iter([pa.record_batch({"doc": [1], "text": [b"a few words"]})]))),
+        lambda: list(toccurrence._sets(5)(iter([]))),
+        lambda: list(suffixes._anchors(100, 32)(iter([]))),
+        lambda: list(mixing._cut(iter([]))),
+    ):
+        list(packing._cut(tokenizer_path(), 2048, 1, schema)(iter([pa.record_batch({"doc_id": [1], "text": [b"a few words"]})])))
+        assert process() is not None
+        other()
+        assert process() is None
