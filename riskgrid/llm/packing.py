@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import re
+import os
 import sys
 import types
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from riskgrid.llm.shared import ranked, ship, text_bytes
 from riskgrid.session import cut_lineage
 
-#: Encoded text at a time, in bytes, and words remembered per task: both bound memory, neither changes a result.
-SLICE, REMEMBERED = 2_000_000, 500_000
+#: Text handled and text encoded at a time, in bytes, and words remembered per process: they bound memory, none changes a result.
+SLICE, ENCODED, REMEMBERED = 2_000_000, 4_000_000, 500_000
 
 
 def per_process(key: tuple, make):
@@ -30,19 +31,20 @@ def forget() -> None:
 
 
 class WordIds:
-    """Token ids of a text, word by word.
+    """Token ids of texts, word by word.
 
-    The vocabulary's rules drop white space and never join across it, so a text's ids are its words' ids in a row. Ids
-    are remembered per word. Plain words (Latin letters, then ASCII signs, no apostrophe) are split into their lower-case
-    letters and the signs, which the rules also keep apart, and go to the vocabulary's BPE model in bulk; all other words go
-    through the whole tokenizer.
+    The vocabulary's rules drop white space and never join across it, so a text's ids are its words' ids in a row. Each
+    distinct word of a call is looked at once. Plain words (Latin letters, then ASCII signs, no apostrophe) are split into
+    their lower-case letters and the signs, which the rules also keep apart, and go to the vocabulary's BPE model in bulk; all
+    other words go through the whole tokenizer. Ids are remembered for letters, signs and other words.
     """
 
-    SIGNS, LATIN = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", re.compile("[a-zß-öø-ÿ]+")
+    PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[!-&(-/:-@\[-`{-~]*)$"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.whole = Tokenizer.from_file(path)
         self.whole.no_padding()
         self.whole.no_truncation()
@@ -53,29 +55,17 @@ class WordIds:
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {b"": b""}
 
-    def learn(self, missing: set[bytes]) -> None:
-        plain = []
-        for word in missing:
-            if word.isalpha():
-                plain.append((word, word.lower(), b""))
-                continue
-            letters = word.rstrip(self.SIGNS)
-            low = letters.lower()
-            if not low.isalpha():  # not only ASCII letters
-                low = letters.decode("utf-8", "replace").lower()
-                if not self.LATIN.fullmatch(low):
-                    self.words[word] = np.array(self.whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-                    continue
-                low = low.encode()
-            plain.append((word, low, word[len(letters) :]))
-        new = {low for _, low, _ in plain}
-        new.update(signs for _, _, signs in plain)
-        new -= self.parts.keys()
-        in_ascii = [x for x in new if x.isascii()]
-        for model, kind in ((self.ascii, in_ascii), (self.bare, list(new.difference(in_ascii)))):
+    def learn(self, plain: list[bytes], other: list[bytes]) -> None:
+        if len(self.parts) > REMEMBERED:
+            self.parts = {b"": b""}
+        parts = self.parts
+        for word in other:
+            if word not in parts:
+                parts[word] = np.array(self.whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        new = [x for x in plain if x not in parts]
+        for model, kind in ((self.ascii, [x for x in new if x.isascii()]), (self.bare, [x for x in new if not x.isascii()])):
             for at in range(0, len(kind), 2000):
                 some = kind[at : at + 2000]
                 lines = [b" ".join(some[k : k + 50]).decode() for k in range(0, len(some), 50)]
@@ -85,49 +75,69 @@ class WordIds:
                     raise ValueError("the vocabulary doesn't mark the ends of words")
                 data, start = ids.tobytes(), 0
                 for x, stop in zip(some, stops):
-                    self.parts[x], start = data[4 * start : 4 * stop], stop
-        parts = self.parts
-        self.words.update((word, parts[low] + parts[signs] if signs else parts[low]) for word, low, signs in plain)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        if len(self.parts) > REMEMBERED:
-            self.parts = {b"": b""}
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split) - self.words.keys())
-        find = self.words.__getitem__
-        return [b"".join(map(find, words)) for words in split]
+                    parts[x], start = data[4 * start : 4 * stop], stop
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, ``end_id`` after each, and their number for each text."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_binary()).view(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        found = pc.extract_regex(words.dictionary, self.PLAIN)
+        plain, other = found.drop_null(), words.dictionary.filter(found.is_null()).view(pa.large_binary())
+        plain = pa.concat_arrays([pc.utf8_lower(plain.field("letters")), plain.field("signs")]).view(pa.large_binary()).dictionary_encode()
+        plain_keys, other_keys = plain.dictionary.to_pylist(), other.to_pylist()
+        self.learn(plain_keys, other_keys)
+        # parts: none, the end, then those of plain words, then other words
+        data = [b"", int(end_id).to_bytes(4, "little"), *map(self.parts.__getitem__, plain_keys), *map(self.parts.__getitem__, other_keys)]
+        sizes = np.fromiter(map(len, data), int, len(data)) // 4
+        # two parts of each distinct word, the end coming as one more word
+        is_plain, pairs = found.is_valid().to_numpy(zero_copy_only=False), np.zeros((len(found) + 1, 2), int)
+        pairs[:-1][is_plain] = plain.indices.to_numpy().reshape(2, -1).T + 2
+        pairs[:-1, 0][~is_plain] = np.arange(len(other_keys)) + 2 + len(plain_keys)
+        pairs[-1, 0] = 1
+        ids = _runs(np.frombuffer(b"".join(data), "<u4"), sizes, pairs.ravel())
+        sizes = sizes[pairs].sum(axis=1)
+        counts = pc.list_value_length(split).to_numpy()
+        order = np.insert(words.indices.to_numpy(), np.cumsum(counts), len(found))
+        return _runs(ids, sizes, order), np.add.reduceat(sizes[order], np.cumsum(counts + 1) - counts - 1)
+
+
+def _runs(values: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """``values`` are runs of ``sizes`` one after the other; those numbered ``chosen`` in a row."""
+    starts, n = np.cumsum(sizes) - sizes, sizes[chosen]
+    return values[np.repeat(starts[chosen] - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
 def slices(texts: list[bytes], most: int = SLICE):
     """Ranges of the list that hold about ``most`` bytes each."""
+    return spans(list(map(len, texts)), most)
+
+
+def spans(sizes: list[int], most: int):
+    """Ranges of the list that sum to about ``most`` each."""
     start, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t)
+    for i, n in enumerate(sizes):
+        held += n
         if held >= most:
             yield start, i + 1
             start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def _cut(path: str, capacity: int, end_id: int, schema: pa.Schema):
     def run(batches):
-        words, end = per_process(("WordIds", path), lambda: WordIds(path)), int(end_id).to_bytes(4, "little")
+        words = per_process(("WordIds", path), lambda: WordIds(path))
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                rows = [[], [], [], [], []]
-                for i, data in enumerate(words.encode(texts[a:b]), a):
-                    data += end
-                    total = len(data) // 4
-                    for start in range(0, total, capacity):
-                        piece = data[4 * start : 4 * (start + capacity)]
-                        for to, x in zip(rows, (i, start, len(piece) // 4, zlib.crc32(piece), total)):
-                            to.append(x)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[0], pa.int64())), *[pa.array(x, pa.int64()) for x in rows[1:]]], schema=schema)
+            names, texts = batch.column(0), batch.column(1)
+            for a, b in spans(pc.binary_length(texts).to_pylist(), ENCODED):
+                ids, totals = words.encode(texts.slice(a, b - a), end_id)
+                pieces = -(-totals // capacity)
+                row = np.repeat(np.arange(b - a), pieces)
+                start = capacity * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+                length = np.minimum(totals[row] - start, capacity)
+                at = (np.cumsum(totals) - totals)[row] + start
+                crc = [zlib.crc32(ids[x : x + n]) for x, n in zip(at.tolist(), length.tolist())]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(a + row)), *[pa.array(x, pa.int64()) for x in (start, length, crc, totals[row])]], schema=schema)
 
     return run
 

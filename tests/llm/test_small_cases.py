@@ -434,3 +434,31 @@ def test_words_kept_by_packing_go_when_another_operator_runs():
         assert process() is not None
         other()
         assert process() is None
+
+
+def test_packing_takes_no_step_per_word_form():
+    """Forms of a word that differ in capitals and closing signs cost no Python call each, nor does a text's every word."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    signs = [a + b + c for a in ("", "!", "(") for b in ("", "-", "}") for c in ("", ",", "~", "_")]
+    forms = [f + s for stem in ("straße", "packing", "naïve", "þing") for f in {"".join(rng.choice([x, x if x == "ß" else x.upper()]) for x in stem) for _ in range(60)} for s in signs]
+    odd = ["\u212aelvin", "İx", "a×b", "÷", "don't", "...", "x\x00y", "a\x1cb", "\u00a0", "  \t", "日本,", "ﬁ", "Ÿ", "ẞ!"]
+    texts = [" ".join(forms), "", "  ", *odd, " ".join(rng.choices(forms + odd, k=20_000)), "\x85 a\u2003b"]
+    rows = pa.record_batch({"doc_id": list(range(len(texts))), "text": [t.encode() for t in texts]})
+    schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens")]])
+    cut = packing._cut(tokenizer_path(), 2048, 1, schema)
+    list(cut(iter([rows.slice(1, 2)])))  # reads the vocabulary
+    calls = Counter()
+    sys.setprofile(lambda frame, event, _: calls.update([event]))
+    try:
+        got = list(cut(iter([rows])))
+    finally:
+        sys.setprofile(None)
+    packing.forget()
+    assert calls["call"] + calls["c_call"] < len(set(forms)) / 2
+    whole, want = Tokenizer.from_file(tokenizer_path()), []
+    for i, text in enumerate(texts):
+        ids = np.array([*whole.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        want += [(i, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes()), len(ids)) for a in range(0, len(ids), 2048)]
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
