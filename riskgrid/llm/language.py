@@ -3,67 +3,111 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from itertools import chain
 from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from riskgrid.llm.packing import slices
+from riskgrid.llm.packing import runs_of, spans
 from riskgrid.llm.shared import ship
 from riskgrid.session import cut_lineage
 
 #: A run of letters; and the entries a task gathers before it hands them on (bounds memory only).
-LETTERS, GATHERED = re.compile(r"[^\W\d_]+"), 300_000
+LETTERS, GATHERED = re.compile(r"[^\W\d_]+"), 500_000
+#: A token with a single run, of Latin letters whose lower case is plain, between ASCII signs and digits; and bytes of text or words cut at a time.
+PLAIN, TEXT, CUT = r"^[!-@\[-`{-~]*(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)[!-@\[-`{-~]*$", 4_000_000, 500_000
+
+
+class _Tokens:
+    """White-space tokens of some texts: ``counts`` by text, ``index`` of each, and of the distinct ones whether they have a
+    letter, and the ``sizes`` and ``values`` of their lower-case letter runs, as places in ``words``."""
+
+    def __init__(self, texts: pa.Array):
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_binary()).view(pa.large_string()))
+        tokens = split.flatten().dictionary_encode()
+        self.counts, self.index = pc.list_value_length(split).to_numpy(), tokens.indices.to_numpy()
+        found = pc.extract_regex(tokens.dictionary, PLAIN)
+        plain = found.is_valid().to_numpy(zero_copy_only=False)
+        others = [token.decode("utf-8", "replace").lower() for token in tokens.dictionary.filter(found.is_null()).view(pa.large_binary()).to_pylist()]
+        runs = [LETTERS.findall(token) for token in others]
+        words = pa.concat_arrays([pc.utf8_lower(found.drop_null().field("letters")), pa.array(list(chain.from_iterable(runs)), pa.large_string())]).dictionary_encode()
+        self.words, self.lettered, self.sizes = words.dictionary, plain.copy(), plain.astype(int)
+        self.lettered[~plain] = [any(map(str.isalpha, token)) for token in others]
+        self.sizes[~plain] = [len(r) for r in runs]
+        owner = np.concatenate([np.flatnonzero(plain), np.repeat(np.flatnonzero(~plain), self.sizes[~plain])])
+        self.values = words.indices.to_numpy()[np.argsort(owner, kind="stable")]
+
+
+def _totals(a: np.ndarray, b: np.ndarray, bound: int, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of ``a`` and ``b`` (below ``bound``) in order, and the sum of ``n`` (1) of each."""
+    keys, at = np.unique(a.astype(np.int64) * max(bound, 1) + b, return_inverse=True)
+    return *divmod(keys, max(bound, 1)), np.bincount(at, n, len(keys)).astype(np.int64)
+
+
+def _summed(tables, keys: list[str]):
+    """Rows of the tables with ``n`` summed by ``keys``, handed on whenever ``GATHERED`` different ones have come."""
+    held, rows = [], 0
+    for table in chain(tables, [None]):
+        if table is not None:
+            held.append(table)
+            rows += table.num_rows
+        if held and (table is None or rows > 2 * GATHERED):
+            one = pa.concat_tables(held).group_by(keys, use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select([*keys, "n"])
+            held, rows = [one], one.num_rows
+            if table is None or rows > GATHERED:
+                yield from one.to_batches()
+                held, rows = [], 0
 
 
 def _words(batches):
     """Counts of lower-case letter runs by language, summed per task."""
-    counts: dict[str, Counter] = {}
 
-    def out():
-        for lang, tokens in counts.items():
-            words: Counter = Counter()
-            for token, n in tokens.items():
-                for word in LETTERS.findall(token.decode("utf-8", "replace").lower()):
-                    words[word] += n
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(words), "word": list(words), "n": pa.array(words.values(), pa.int64())})
-        counts.clear()
+    def counted():
+        for batch in batches:
+            langs, texts = batch.column(0).dictionary_encode(), batch.column(1)
+            for a, b in spans(pc.binary_length(texts).to_pylist(), TEXT):
+                tokens = _Tokens(texts.slice(a, b - a))
+                lang, token, n = _totals(np.repeat(langs.indices.to_numpy()[a:b], tokens.counts), tokens.index, len(tokens.sizes))
+                more = tokens.sizes[token]
+                lang, word, n = _totals(np.repeat(lang, more), runs_of(tokens.values, tokens.sizes, token), len(tokens.words), np.repeat(n, more))
+                yield pa.table({"lang": langs.dictionary.take(pa.array(lang)).cast(pa.string()), "word": tokens.words.take(pa.array(word)).cast(pa.string()), "n": n})
 
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts.setdefault(lang, Counter()).update(text.split())
-        if sum(map(len, counts.values())) > GATHERED:
-            yield from out()
-    yield from out()
+    yield from _summed(counted(), ["lang", "word"])
 
 
 def _grams(longest: int, least: int):
-    def run(batches):
-        counts: Counter = Counter()
-
-        def out():
-            if counts:
-                langs, sizes, grams = zip(*counts)
-                yield pa.RecordBatch.from_pydict({"lang": list(langs), "size": pa.array(sizes, pa.int32()), "gram": list(grams), "n": pa.array(counts.values(), pa.int64())})
-            counts.clear()
+    """Counts of words (size 0) that come ``least`` times, and of n-grams of framed words, summed per task."""
 
+    def counted(batches):
         for batch in batches:
-            for lang, word, n in zip(*[c.to_pylist() for c in batch.columns]):
-                if n >= least:
-                    counts[lang, 0, word] += n
-                framed = f"_{word}_"
+            langs, words, n = batch.column(0).dictionary_encode(), batch.column(1), batch.column(2).to_numpy()
+            names, codes = langs.dictionary.cast(pa.string()), langs.indices.to_numpy()
+
+            def table(lang, size, grams, n):
+                return pa.table({"lang": names.take(pa.array(lang)), "size": pa.array(np.full(len(n), size, np.int32)), "gram": grams.cast(pa.string()), "n": pa.array(n, pa.int64())})
+
+            kept = np.flatnonzero(n >= least)
+            yield table(codes[kept], 0, words.take(pa.array(kept)), n[kept])
+            for a, b in spans(pc.binary_length(words).to_pylist(), CUT):
+                edge, none = pa.scalar("_", pa.large_string()), pa.scalar("", pa.large_string())
+                framed = pc.binary_join_element_wise(edge, words.slice(a, b - a).cast(pa.large_string()), edge, none)
+                ends = np.cumsum(pc.binary_length(framed).to_numpy())
+                data = np.frombuffer(b"".join(framed.view(pa.large_binary()).to_pylist()), np.uint8)
+                begins = np.flatnonzero((data & 0xC0) != 0x80)  # of letters
+                owner, stops = np.searchsorted(ends, begins, "right"), np.append(begins, len(data))
                 for size in range(1, longest + 1):
-                    for k in range(len(framed) - size + 1):
-                        counts[lang, size, framed[k : k + size]] += n
-                if len(counts) > GATHERED:
-                    yield from out()
-        yield from out()
+                    at = np.flatnonzero(owner[: max(len(owner) - size + 1, 0)] == owner[size - 1 :])
+                    lengths = stops[at + size] - stops[at]
+                    letters = data[np.repeat(stops[at] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+                    grams = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(0, np.cumsum(lengths))), pa.py_buffer(letters)).dictionary_encode()
+                    lang, gram, total = _totals(codes[a:b][owner[at]], grams.indices.to_numpy(), len(grams.dictionary), n[a:b][owner[at]])
+                    yield table(lang, size, grams.dictionary.take(pa.array(gram)), total)
 
-    return run
+    return lambda batches: _summed(counted(batches), ["lang", "size", "gram"])
 
 
 class LanguageModel:
@@ -166,41 +210,33 @@ def _rest_scores(words: DataFrame, table: DataFrame, model: LanguageModel) -> Da
 
 def _known(words: list[str], scores: np.ndarray):
     """Sums over a row's words that are in ``words``; the others, with their counts, are handed on."""
-    width, at_word = scores.shape[1], {w: i for i, w in enumerate(words)}
+    width, listed = scores.shape[1], pa.array(words, pa.large_string())
 
     def run(batches):
-        rows: dict[bytes, int] = {}
-        others: dict[bytes, list[str]] = {}
-        vectors = np.zeros((1 << 12, width + 2))  # scores, scored words, has a letter
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                split = [t.split() for t in texts[a:b]]
-                if len(rows) > GATHERED:
-                    rows, others = {}, {}
-                for token in set().union(*split) - rows.keys():
-                    at = rows[token] = len(rows)
-                    if at >= len(vectors):
-                        vectors = np.concatenate([vectors, np.zeros_like(vectors)])
-                    vectors[at] = 0
-                    text = token.decode("utf-8", "replace").lower()
-                    vectors[at, -1] = any(map(str.isalpha, text))
-                    for word in LETTERS.findall(text):
-                        if (found := at_word.get(word)) is not None:
-                            vectors[at, :width] += scores[found]
-                            vectors[at, width] += 1
-                        else:
-                            others.setdefault(token, []).append(word)
-                lengths = np.fromiter(map(len, split), int, len(split))
-                at = np.fromiter(map(rows.__getitem__, chain.from_iterable(split)), int, int(lengths.sum()))
-                sums = np.zeros((len(split), width + 2))
-                if len(at):
-                    full = lengths > 0
-                    starts = (np.cumsum(lengths) - lengths)[full]
-                    sums[full] = np.add.reduceat(vectors[at], starts)
-                handed = [list(Counter(chain.from_iterable(map(others.__getitem__, filter(others.__contains__, tokens)))).items()) for tokens in split]
+            ids, texts = batch.column(0), batch.column(1)
+            for a, b in spans(pc.binary_length(texts).to_pylist(), TEXT):
+                tokens = _Tokens(texts.slice(a, b - a))
+                place = pc.index_in(tokens.words, value_set=listed).fill_null(-1).to_numpy()[tokens.values]
+                owner, hit = np.repeat(np.arange(len(tokens.sizes)), tokens.sizes), place >= 0
+                vectors = np.zeros((len(tokens.sizes), width + 2))  # scores, scored words, has a letter
+                for i in range(width):
+                    vectors[:, i] = np.bincount(owner[hit], scores[place[hit], i], len(vectors))
+                vectors[:, width] = np.bincount(owner[hit], minlength=len(vectors))
+                vectors[:, -1] = tokens.lettered
+                sums, full = np.zeros((b - a, width + 2)), tokens.counts > 0
+                if full.any():
+                    sums[full] = np.add.reduceat(vectors[tokens.index], (np.cumsum(tokens.counts) - tokens.counts)[full])
+                left = np.bincount(owner[~hit], minlength=len(vectors))
+                row = np.repeat(np.repeat(np.arange(b - a), tokens.counts), left[tokens.index])
+                row, word, n = _totals(row, runs_of(tokens.values[~hit], left, tokens.index), len(tokens.words))
+                others = pa.StructArray.from_arrays([tokens.words.take(pa.array(word)).cast(pa.string()), pa.array(n)], ["word", "n"])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(list(sums), pa.list_(pa.float64())), pa.array([[{"word": w, "n": n} for w, n in row] for row in handed], pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))],
+                    [
+                        ids.slice(a, b - a),
+                        pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * (width + 2), pa.int32()), pa.array(sums.ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(b - a + 1)), pa.int32()), others),
+                    ],
                     names=["id", "sums", "others"],
                 )
 

@@ -94,14 +94,14 @@ class WordIds:
         pairs[:-1][is_plain] = plain.indices.to_numpy().reshape(2, -1).T + 2
         pairs[:-1, 0][~is_plain] = np.arange(len(other_keys)) + 2 + len(plain_keys)
         pairs[-1, 0] = 1
-        ids = _runs(np.frombuffer(b"".join(data), "<u4"), sizes, pairs.ravel())
+        ids = runs_of(np.frombuffer(b"".join(data), "<u4"), sizes, pairs.ravel())
         sizes = sizes[pairs].sum(axis=1)
         counts = pc.list_value_length(split).to_numpy()
         order = np.insert(words.indices.to_numpy(), np.cumsum(counts), len(found))
-        return _runs(ids, sizes, order), np.add.reduceat(sizes[order], np.cumsum(counts + 1) - counts - 1)
+        return runs_of(ids, sizes, order), np.add.reduceat(sizes[order], np.cumsum(counts + 1) - counts - 1)
 
 
-def _runs(values: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+def runs_of(values: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """``values`` are runs of ``sizes`` one after the other; those numbered ``chosen`` in a row."""
     starts, n = np.cumsum(sizes) - sizes, sizes[chosen]
     return values[np.repeat(starts[chosen] - np.cumsum(n) + n, n) + np.arange(n.sum())]

@@ -462,3 +462,56 @@ def test_packing_takes_no_step_per_word_form():
         ids = np.array([*whole.encode(text, add_special_tokens=False).ids, 1], "<u4")
         want += [(i, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes()), len(ids)) for a in range(0, len(ids), 2048)]
     assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
+
+
+def test_language_takes_no_step_per_word_or_gram():
+    """Forms of a word, words and n-grams cost no Python call each; counts and sums as by plain counting."""
+    rng = random.Random(9)
+    stems = ["".join(rng.choices("abcdeßéö", k=9)) for _ in range(300)]
+    forms = [f + s for stem in stems for f in (stem, stem.capitalize(), stem.upper() if "ß" not in stem else stem) for s in ("", ",", ".)", "1", "_")]
+    odd = ["don't", "\u212aelvin", "İx", "a×b", "x²", "ª", "12", "...", "日本,", "ΑΣ", "a\x1cb", "\u00a0c", "_", "ẞ", "x\x00y"]
+    texts = ["", " \t", " ".join(forms), *odd, " ".join(rng.choices(forms + odd, k=3000)), "é" * 300, "1 2"]
+    langs = [rng.choice(["en", "de"]) for _ in texts]
+    words = [[w for token in t.encode().split() for w in language.LETTERS.findall(token.decode().lower())] for t in texts]
+    rows = pa.record_batch({"lang": langs, "text": [t.encode() for t in texts]})
+    calls = Counter()
+
+    def steps(run, *batches):
+        calls.clear()
+        sys.setprofile(lambda frame, event, _: calls.update([event]))
+        try:
+            list(run(iter(batches)))
+        finally:
+            sys.setprofile(None)
+        return calls["call"] + calls["c_call"]
+
+    def total(got, *keys):
+        out = Counter()
+        for r in got:
+            out[tuple(r[c] for c in keys)] += r["n"]
+        return out
+
+    want = Counter((lang, w) for lang, ws in zip(langs, words) for w in ws)
+    got = [r for b in language._words(iter([rows, rows.slice(0, 0)])) for r in b.to_pylist()]
+    assert total(got, "lang", "word") == want and steps(language._words, rows) < len(forms) / 2
+
+    table = pa.record_batch({"lang": [lang for lang, _ in want], "word": [w for _, w in want], "n": list(want.values())})
+    grams = Counter()
+    for (lang, w), n in want.items():
+        framed = f"_{w}_"
+        for size, g in [(0, w)] * (n >= 2) + [(k, framed[a : a + k]) for k in range(1, 6) for a in range(len(framed) - k + 1)]:
+            grams[lang, size, g] += n
+    got = [r for b in language._grams(5, 2)(iter([table])) for r in b.to_pylist()]
+    assert total(got, "lang", "size", "gram") == grams and steps(language._grams(5, 2), table) < len(grams) / 2
+
+    known = sorted({w for _, w in want})[::2]
+    scores = np.rint(np.random.default_rng(3).random((len(known), 2)) * 1024) / 1024
+    place = {w: i for i, w in enumerate(known)}
+    docs = pa.record_batch({"id": list(range(len(texts))), "text": rows.column(1)})
+    got = [r for b in language._known(known, scores)(iter([docs])) for r in b.to_pylist()]
+    for r, text, ws in zip(got, texts, words, strict=True):
+        found = [place[w] for w in ws if w in place]
+        letters = sum(any(map(str.isalpha, token.decode())) for token in text.encode().split())
+        assert r["sums"] == [*scores[found].sum(axis=0), len(found), letters]
+        assert Counter({o["word"]: o["n"] for o in r["others"]}) == Counter(w for w in ws if w not in place)
+    assert steps(language._known(known, scores), docs) < len(forms) / 2
