@@ -118,8 +118,9 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
         words = int(goal) if goal < block else min(sum(per_shard) * block, repeats * size)
         passes = words // size if size else 0
         plan.append((source, size, float(goal), sum(per_shard), per_shard, passes, words - passes * size))
-    schema = "of string, source_size long, target double, quota long, quotas array<long>, passes long, last long"
-    plan = docs.sparkSession.createDataFrame(plan, schema)
+    kinds = {"of": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "quota": pa.int64(), "quotas": pa.list_(pa.int64()), "passes": pa.int64(), "last": pa.int64()}
+    # as an Arrow table, since rows would start Python workers that stay beside those of the stages
+    plan = docs.sparkSession.createDataFrame(pa.Table.from_pylist([dict(zip(kinds, r)) for r in plan], pa.schema(kinds)))
     joined = _stream_places(facts, seed).join(F.broadcast(plan), F.col("source").cast("string").eqNullSafe(F.col("of")))
     chunk = 10_000
     each = joined.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(rows - 1) div {chunk}"))))

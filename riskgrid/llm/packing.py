@@ -26,8 +26,12 @@ def per_process(key: tuple, make):
 
 
 def forget() -> None:
-    """Let go of what ``per_process`` holds, so that a process doesn't keep it through the later stages of a pipeline."""
+    """Let go of what ``per_process`` holds, so that a process doesn't keep it through the later stages of a pipeline.
+
+    Arrow's pool keeps the buffers of earlier tasks too, until it is told to return them.
+    """
     sys.modules.pop("_riskgrid_llm_process", None)
+    pa.default_memory_pool().release_unused()
 
 
 class WordIds:
@@ -112,6 +116,12 @@ def slices(texts: list[bytes], most: int = SLICE):
     return spans(list(map(len, texts)), most)
 
 
+def sliced(texts: pa.Array, most: int = SLICE):
+    """The ranges of ``slices``, each with its texts; only those of one range are Python objects at a time."""
+    for a, b in spans(pc.binary_length(texts).to_pylist(), most):
+        yield a, b, texts.slice(a, b - a).to_pylist()
+
+
 def spans(sizes: list[int], most: int):
     """Ranges of the list that sum to about ``most`` each."""
     start, held = 0, 0
@@ -263,7 +273,9 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
             rows.append((width, int(given[width]), int(given[width] + copies * bins), bins, sequence))
             given[width] += copies * bins
         sequence += bins
-    plan = docs.sparkSession.createDataFrame(rows, "_w int, _from long, _to long, _bins long, _first long")
+    # as an Arrow table, since rows would start Python workers that stay beside those of the stages
+    kinds = {"_w": pa.int32(), "_from": pa.int64(), "_to": pa.int64(), "_bins": pa.int64(), "_first": pa.int64()}
+    plan = docs.sparkSession.createDataFrame(pa.Table.from_pylist([dict(zip(kinds, r)) for r in rows], pa.schema(kinds)))
     numbered = ranked(pieces, ["_width"], [id_column, "start", "ids_crc32"], "_rank")
     # at most some hundred intervals of ranks for each of capacity/grid widths
     placed = numbered.join(F.broadcast(plan), (F.col("_width") == F.col("_w")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from riskgrid.llm.packing import forget, slices
+from riskgrid.llm.packing import forget, sliced
 from riskgrid.llm.shared import ship
 
 #: Word buckets, statistics and the bins of each, metadata buckets, factors.
@@ -134,10 +134,10 @@ def _featurise(batches):
     forget()
     make = Features()
     for batch in batches:
-        labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        labels = batch.column(0).to_pylist()
         meta = [list(m) for m in zip(*[c.to_pylist() for c in batch.columns[2:]])]
-        for a, b in slices(texts):
-            doc, feature, value = make.of(texts[a:b], meta[a:b])
+        for a, b, texts in sliced(batch.column(1)):
+            doc, feature, value = make.of(texts, meta[a:b])
             stops = np.searchsorted(doc, np.arange(b - a + 1))
             cut = [(feature[x:y].astype("<u4").tobytes(), value[x:y].astype("<f4").tobytes()) for x, y in zip(stops, stops[1:])]
             yield pa.RecordBatch.from_pydict({"label": pa.array(labels[a:b], pa.int32()), "feature": [c[0] for c in cut], "value": [c[1] for c in cut]})
@@ -170,19 +170,16 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
 
 def _scores(shared):
-    """Scores of batches whose second column is the text and whose further columns are metadata."""
+    """Scores of texts and the columns of their metadata: each range of ``sliced``, with its scores."""
     forget()
     make, fitted = Features(), shared.value
 
-    def of(batch: pa.RecordBatch, metadata: int) -> np.ndarray:
-        texts = batch.column(1).to_pylist()
-        meta = [list(m) for m in zip(*[c.to_pylist() for c in batch.columns[2 : 2 + metadata]])]
-        out = [np.zeros(0)]
-        for a, b in slices(texts):
-            doc, feature, value = make.of(texts[a:b], meta[a:b])
+    def of(column: pa.Array, metadata: list[pa.Array]):
+        meta = [list(m) for m in zip(*[c.to_pylist() for c in metadata])]
+        for a, b, texts in sliced(column):
+            doc, feature, value = make.of(texts, meta[a:b])
             margin, _, _ = fitted.margins(np.searchsorted(doc, np.arange(b - a)), feature, value)
-            out.append(1 / (1 + np.exp(-np.clip(margin.astype(float), -30, 30))))
-        return np.concatenate(out)
+            yield a, b, 1 / (1 + np.exp(-np.clip(margin.astype(float), -30, 30)))
 
     return of
 
@@ -200,28 +197,31 @@ def score(docs: DataFrame, machine: Machine, id_column: str = "doc_id", text_col
     def run(batches):
         of = _scores(shared)
         for batch in batches:
-            p = of(batch, len(metadata))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], schema=schema)
+            for a, b, p in of(batch.column(1), batch.columns[2:]):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], schema=schema)
 
     return docs.select(*_columns(id_column, text_column, metadata)).mapInArrow(run, f"`{id_column}` {kind.simpleString()}, score double, predicted int")
 
 
 def accepted(docs: DataFrame, machine: Machine, id_column: str = "doc_id", text_column: str = "text", metadata: tuple[str, ...] = ()) -> DataFrame:
-    """The rows of ``docs`` that score 0.5 or more, with all their columns unchanged; see ``score``."""
+    """The rows of ``docs`` that score 0.5 or more, with all their columns unchanged; see ``score``.
+
+    A text goes to Python once, as a column of its row, and kept rows come back a slice at a time: batches of rows are large.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    names = docs.columns
+    names, text, n = docs.columns, docs.columns.index(text_column), len(metadata)
 
     def run(batches):
         of = _scores(shared)
         for batch in batches:
-            keep = of(batch, len(metadata)) >= 0.5
-            rest = pa.RecordBatch.from_arrays(batch.columns[2 + len(metadata) :], names=names)
-            yield rest.filter(pa.array(keep))
+            rest = pa.RecordBatch.from_arrays(batch.columns[n:], names=names)
+            texts = rest.column(text).cast(pa.binary())
+            texts = texts.fill_null(b"") if texts.null_count else texts
+            for a, b, p in of(texts, batch.columns[:n]):
+                yield rest.slice(a, b - a).filter(pa.array(p >= 0.5))
 
     # by number, as the columns may have any names
-    own = [f"c{i}" for i in range(len(names))]
-    inputs = _columns(id_column, text_column, metadata)
-    given = [F.col(f"`{c}`").alias(o) for c, o in zip(names, own)]
-    return docs.select(*[c.alias(f"in{i}") for i, c in enumerate(inputs)], *given).mapInArrow(run, docs.schema)
+    given = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+    return docs.select(*_columns(id_column, text_column, metadata)[2:], *given).mapInArrow(run, docs.schema)
 
 ship(__name__)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskgrid.llm.packing import forget, slices
+from riskgrid.llm.packing import forget, sliced
 from riskgrid.llm.repeats import Rolling, bucket_count, by_bucket, gathered, mixed, narrow, per_document, repeated, runs, steps, unsteps, wide
 from riskgrid.llm.shared import ship, text_bytes
 from riskgrid.session import cut_lineage
@@ -54,9 +54,9 @@ def _anchors(window: int, gram: int):
         forget()
         rolling, table = Rolling(), byte_values()
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for a, b in slices(texts, SLICE):
-                data, first, lengths = joined(texts[a:b])
+            ids = batch.column(0).to_numpy()
+            for a, b, texts in sliced(batch.column(1), SLICE):
+                data, first, lengths = joined(texts)
                 if len(data) < window:
                     continue
                 sums = rolling.sums(table[data])
@@ -116,9 +116,9 @@ def _surroundings(window: int, gram: int, buckets: int, hot, load: int):
             return pa.RecordBatch.from_pydict(dict(zip(AROUND.names, zip(*rows))), schema=AROUND)
 
         for batch in batches:
-            ids, texts, anchors = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for a, b in slices(texts, SLICE):
-                data, first, lengths = joined(texts[a:b])
+            ids, anchors = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            for a, b, texts in sliced(batch.column(1), SLICE):
+                data, first, lengths = joined(texts)
                 if len(data) < window:
                     continue
                 places = [wide(x) for x in anchors[a:b]]

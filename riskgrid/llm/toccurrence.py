@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from riskgrid.llm.packing import forget, slices
+from riskgrid.llm.packing import forget, sliced
 from riskgrid.llm.repeats import Rolling, bucket_count, by_bucket, mixed, narrow, runs, steps, unsteps, wide
 from riskgrid.llm.shared import components, ship, text_bytes
 from riskgrid.llm.substrings import WordHashes
@@ -134,9 +134,9 @@ def _spread(length: int, percent: int, buckets: int):
             return pa.RecordBatch.from_pydict(dict(zip(SPREAD.names, zip(*rows))), schema=SPREAD)
 
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                doc, h, sizes = shingles.of(texts[a:b])
+            ids = batch.column(0).to_numpy()
+            for a, b, texts in sliced(batch.column(1)):
+                doc, h, sizes = shingles.of(texts)
                 stops = np.cumsum(sizes)
                 # facts of a slice only pass through a bucket
                 prints = b"".join(xxhash.xxh128_digest(h[y - n : y].tobytes()) for y, n in zip(stops.tolist(), sizes.tolist()))
@@ -175,9 +175,8 @@ def _sets(length: int):
         forget()
         shingles = Shingles(length)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                _, h, sizes = shingles.of(texts[a:b])
+            for a, b, texts in sliced(batch.column(1)):
+                _, h, sizes = shingles.of(texts)
                 stops = np.cumsum(sizes)
                 rest = [batch.column(k).slice(a, b - a) for k in (0, *range(2, batch.num_columns))]
                 cells = [h[y - n : y].tobytes() for y, n in zip(stops.tolist(), sizes.tolist())]

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -436,6 +437,37 @@ def test_words_kept_by_packing_go_when_another_operator_runs():
         assert process() is None
 
 
+def test_a_batch_is_not_held_as_python_texts():
+    """Batches of the pipeline's stages have tens of MB of text; only a slice of them is Python objects at a time."""
+    texts = pa.array([b"x%d " % i + b"x" * 300_000 for i in range(100)])
+    ids = pa.array(range(100))
+    shared = type("Shared", (), {"value": quality.Machine()})
+    for run, columns in (
+        (lambda batches: quality._featurise(batches), [ids, texts]),
+        (lambda batches: (x for b in batches for x in quality._scores(shared)(b.column(1), [])), [ids, texts]),
+        (toccurrence._spread(5, 80, 64), [ids, texts]),
+        (toccurrence._sets(5), [ids, texts, ids, ids, ids]),
+    ):
+        batch = pa.RecordBatch.from_arrays(columns, names=list("abcde")[: len(columns)])
+        tracemalloc.start()
+        try:
+            for _ in run(iter([batch])):
+                pass
+            most = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert most < 24_000_000, (run, most)
+
+
+def test_accepted_sends_a_text_once_and_plans_start_no_python_workers(spark):
+    docs = frame(spark, [(1, "a few words", None, "s"), (2, None, None, None)])
+    machine = quality.Machine()
+    sent = quality.accepted(docs, machine, metadata=("source",))._jdf.queryExecution().analyzed().children().apply(0)
+    assert sent.output().size() == len(docs.columns) + 1
+    for frame_, name in ((mixing.mix(docs), "of"), (packing.pack(docs, tokenizer_path()), "_w")):
+        assert f"LogicalRDD [{name}#" not in frame_._jdf.queryExecution().analyzed().toString()
+
+
 def test_packing_takes_no_step_per_word_form():
     """Forms of a word that differ in capitals and closing signs cost no Python call each, nor does a text's every word."""
     from tokenizers import Tokenizer
