@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from itertools import chain
 from math import log
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +61,8 @@ def _summed(tables, keys: list[str]):
             one = pa.concat_tables(held).group_by(keys, use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select([*keys, "n"])
             held, rows = [one], one.num_rows
             if table is None or rows > GATHERED:
-                yield from one.to_batches()
+                # rows that differ little from the one before take less disk
+                yield from one.sort_by([(k, "ascending") for k in (*keys[:-1], "n", keys[-1])]).to_batches(max_chunksize=65_536)
                 held, rows = [], 0
 
 
@@ -152,22 +155,28 @@ def learn(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
     every n-gram, as a table of one row each. Only the totals of each language come to the driver.
     """
     rows = docs.where(F.col(text_column).isNotNull() & F.col(lang_column).isNotNull()).select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).cast("binary"))
+    spoken = docs.where(F.col(lang_column).isNotNull()).select(F.col(lang_column).cast("string").alias("lang")).distinct()
+    spoken = sorted(r.lang for r in spoken.collect())
+    if not spoken:
+        return LanguageModel([], None, [{}])
     words = rows.mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    grams = words.mapInArrow(_grams(longest, least), "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    grams = cut_lineage(grams)
-    totals = {(r.lang, r.size): r.n for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
+    grams = words.mapInArrow(_grams(longest, least), "lang string, size int, gram string, n long")
+    # only these counts are stored; scores follow from them and the totals
+    counts = cut_lineage(grams.groupBy("size", "gram").agg(*[F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(f"n{i}") for i, lang in enumerate(spoken)]))
+    sums = counts.groupBy("size").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(spoken))]).collect()
+    totals = {(lang, r.size): n for r in sums for i, lang in enumerate(spoken) if (n := r[f"n{i}"])}
+    held = {r.size: r.n for r in sums}
     langs = sorted({lang for lang, _ in totals})
     if not langs:
         return LanguageModel([], None, [{}])
-    counts = grams.groupBy("size", "gram").agg(F.sum("n").alias("seen"), *[F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(f"n{i}") for i, lang in enumerate(langs)])
 
-    def score(i: int) -> Column:
-        whole = F.array(*[F.lit(log(totals.get((langs[i], size), 0) + 1)) for size in range(longest + 1)])
+    def score(lang: str) -> Column:
+        whole = F.array(*[F.lit(log(totals.get((lang, size), 0) + 1)) for size in range(longest + 1)])
         # a gram that a language lacks counts as seen half a time
-        return _grid(F.get(whole, F.col("size")) - F.log(F.coalesce(F.col(f"n{i}").cast("double"), F.lit(0.5)))).alias(f"s{i}")
+        return _grid(F.get(whole, F.col("size")) - F.log(F.coalesce(F.col(f"n{spoken.index(lang)}").cast("double"), F.lit(0.5))))
 
-    table = cut_lineage(counts.select("size", "gram", "seen", *[score(i) for i in range(len(langs))]))
-    held = {r[0]: r[1] for r in table.groupBy("size").count().collect()}
+    seen = reduce(add, [F.coalesce(f"n{spoken.index(lang)}", F.lit(0)) for lang in langs])
+    table = counts.select("size", "gram", seen.alias("seen"), *[score(lang).alias(f"s{i}") for i, lang in enumerate(langs)])
     usual = max(langs, key=lambda lang: (totals.get((lang, 1), 0), lang))
     return LanguageModel(langs, usual, [], table, [held.get(size, 0) for size in range(longest + 1)])
 
@@ -189,23 +198,25 @@ def _frequent(table: DataFrame, room: int) -> tuple[list[str], np.ndarray]:
 
 
 def _rest_scores(words: DataFrame, table: DataFrame, model: LanguageModel) -> DataFrame:
-    """Scores of each of the distinct ``words``: its own, or the mean of its longest known n-grams; without any it goes."""
+    """Scores of each of the distinct ``words``: its own, or the mean of its longest known n-grams; without any it goes.
+
+    Words stay where the first join puts them; n-grams of a word that has its scores are no longer looked up.
+    """
     names = [f"s{i}" for i in range(len(model.langs))]
-    out = cut_lineage(words.join(table.where("size = 0").select(F.col("gram").alias("word"), *names), "word"))
-    left = words.join(out, "word", "left_anti")
+    out = words.join(table.where("size = 0").select(F.col("gram").alias("word"), *names), "word", "left")
     framed = F.concat(F.lit("_"), F.col("word"), F.lit("_"))
     for size in range(len(model.entries) - 1, 0, -1):
-        left = cut_lineage(left)
-        if left.isEmpty():
-            break
-        places = F.sequence(F.lit(1), F.length(framed) - size + 1)
-        pieces = left.where(F.length(framed) >= size).select("word", F.explode(F.transform(places, lambda k: F.substring(framed, k, F.lit(size)))).alias("gram"))
-        known = table.where(F.col("size") == size).select("gram", *names)
+        places = F.sequence(F.lit(1), F.greatest(F.length(framed) - size + 1, F.lit(1)))
+        pieces = F.transform(places, lambda k: F.substring(framed, k, F.lit(size)))
+        # what isn't looked up stands as a string of another length, which no n-gram equals and which differs by word
+        pieces = F.when(F.col(names[0]).isNull(), pieces).otherwise(F.array(F.concat(framed, F.lit("_" * size))))
+        known = table.where(F.col("size") == size).select("gram", *[F.col(c).alias(f"_{c}") for c in names])
         # a bounded side only
         known = F.broadcast(known) if model.entries[size] * (len(names) + 2) <= 2_000_000 else known
-        found = cut_lineage(pieces.join(known, "gram").groupBy("word").agg(*[_grid(F.sum(c) / F.count(F.lit(1))).alias(c) for c in names]))
-        out, left = out.unionAll(found), left.join(found, "word", "left_anti")
-    return out
+        found = F.nullif(F.count(f"_{names[0]}"), F.lit(0))
+        means = [F.coalesce(F.max(c), _grid(F.sum(f"_{c}") / found)).alias(c) for c in names]
+        out = out.withColumn("gram", F.explode(pieces)).join(known, "gram", "left").groupBy("word").agg(*means)
+    return out.where(F.col(names[0]).isNotNull())
 
 
 def _known(words: list[str], scores: np.ndarray):
@@ -282,9 +293,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
     begun = rows.mapInArrow(known, f"id {field.simpleString()}, sums array<double>, others array<struct<word:string,n:bigint>>")
     sums = F.col("sums")
     if width:
-        # row numbers are stored, so they stay as they are
+        # row numbers are stored, so they stay as they are; words, which have letters only, in a third of a struct's bytes
+        begun = begun.select("id", "sums", F.array_join("others.word", " ").alias("words"), F.col("others.n").cast("array<int>").alias("counts"))
         begun = cut_lineage(begun.withColumn("row", F.monotonically_increasing_id()))
-        others = begun.select("row", F.inline("others"))
+        others = begun.where("words <> ''").select("row", F.inline(F.arrays_zip(F.split("words", " "), "counts")).alias("word", "n"))
         scored = _rest_scores(others.select("word").distinct(), table, model)
         names = [f"s{i}" for i in range(width)]
         more = others.join(scored, "word").groupBy("row").agg(F.array(*[F.sum(F.col(c) * F.col("n")) for c in names], F.sum("n").cast("double"), F.lit(0.0)).alias("more"))

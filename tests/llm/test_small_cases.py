@@ -7,6 +7,8 @@ import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from riskgrid.llm import feistel, language, mixing, packing, pigeonhole, quality, suffixes, substrings, toccurrence, voronoi
 from riskgrid.llm.queries import tokenizer_path
 from riskgrid.llm.shared import components
+from riskgrid.session import ensure_checkpoint_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _block long, size string, word string"
 
@@ -234,6 +237,41 @@ def test_every_counted_word_and_gram_is_kept(spark, monkeypatch):
             assert r.score == pytest.approx(1 / (1 + np.exp(-abs(big - tiny))), abs=1e-4)
 
 
+def test_language_keeps_little_on_disk(spark, monkeypatch):
+    """Counts and texts' rare words are stored once each, even with nothing cleaned up; words are scored as one by one."""
+    rng = random.Random(31)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randrange(8, 12)))
+    some = {lang: [word(letters) for _ in range(400)] for lang, letters in (("x", "abcdefgh"), ("y", "efghijkl"))}
+    rows = [(i, " ".join(rng.choice(some[lang]) if rng.random() < 0.5 else word("abcdefghijkl") for _ in range(250)), lang, None) for i in range(200) for lang in some]
+    kept, store, frequent = [], language.cut_lineage, language._frequent
+
+    def stored(df):
+        kept.append(store(df))
+        return kept[-1]
+
+    ensure_checkpoint_dir(spark)
+    folder = Path(urlparse(spark.sparkContext.getCheckpointDir()).path)
+    before = set(folder.rglob("part-*"))
+    monkeypatch.setattr(language, "cut_lineage", stored)
+    monkeypatch.setattr(language, "_frequent", lambda table, _: frequent(table, 100))
+    docs = frame(spark, rows)
+    model = language.learn(docs.where("doc_id % 5 <> 0"))
+    assert language.identify(docs, model).where("lang_pred = 'und'").count() == 0
+    on_disk = sum(f.stat().st_size for f in set(folder.rglob("part-*")) - before)
+    # mostly n-grams, of which random words have more than any language
+    assert on_disk < 4 * sum(len(text) for _, text, _, _ in rows) and len(kept) == 2
+
+    plain = language.LanguageModel(model.langs, model.usual, [{} for _ in range(6)])
+    for r in model.table.collect():
+        plain.scores[r.size][r.gram] = (r.s0, r.s1)
+    words = ["a", "l", "é", "日本", "az", "zz", "zzzz", "zzzzl", "abc", "abcdefgh" * 9, *some["x"][:5], *[word("abcdefghijklz") for _ in range(60)]]
+    want = {w: s for w in words if (s := plain.of(w)) is not None}
+    for entries in (model.entries, [10**9] * 6):  # n-grams broadcast, and shuffled
+        model.entries = entries
+        got = language._rest_scores(spark.createDataFrame([(w,) for w in words], "word string"), model.table, model).collect()
+        assert len(got) == len(want) and all((r.s0, r.s1) == pytest.approx(want[r.word], abs=2e-6) for r in got)
+
+
 def test_backoff_uses_the_longest_known_grams():
     model = language.LanguageModel(["x", "y"], "x", [{"word": (1.0, 2.0)}, {"w": (3.0, 4.0), "_": (9.0, 9.0)}, {"_w": (5.0, 6.0), "wo": (7.0, 8.0)}])
     assert model.of("word") == (1.0, 2.0) and model.of("wo") == (6.0, 7.0) and model.of("aw") == pytest.approx((7.0, 22 / 3)) and model.of("日") == (9.0, 9.0)
