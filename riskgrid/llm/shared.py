@@ -7,7 +7,7 @@ import sys
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from riskgrid.session import cut_lineage
+from riskgrid.session import cut_lineage, release
 
 #: A word is a maximal run of bytes other than space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,7 +59,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates the two star contractions: each node hangs its larger neighbours, then its smaller ones, below the
     smallest it knows. Every step is a minimum per node (combined before the shuffle) joined back to the edges, so a
-    node with many edges is split like any skewed join. Edges are stored in the shared checkpoint folder each round.
+    node with many edges is split like any skewed join. Edges are stored in the shared checkpoint folder each round, and
+    those of the round before go.
     """
     edges = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     seen = None
@@ -71,7 +72,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = large.join(low, "b")
         small = joined.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")).unionAll(joined.select(F.col("m").alias("a"), "b"))
-        edges = cut_lineage(small.distinct())
+        old, edges = edges, cut_lineage(small.distinct())
+        release(old)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == seen:
             break

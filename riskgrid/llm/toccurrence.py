@@ -13,7 +13,7 @@ from riskgrid.llm.packing import forget, sliced
 from riskgrid.llm.repeats import Rolling, bucket_count, by_bucket, mixed, narrow, runs, steps, unsteps, wide
 from riskgrid.llm.shared import components, ship, text_bytes
 from riskgrid.llm.substrings import WordHashes
-from riskgrid.session import cut_lineage
+from riskgrid.session import cut_lineage, release
 
 #: Signatures that a task holds at a time; sets and shingles that meet in a task; a list longer than this is long.
 LOAD, SETS, SHINGLES, LONG = 1_500_000, 4096, 2_500_000, 64
@@ -279,7 +279,8 @@ def similar_sets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     first = filled.groupBy(F.col("print").alias("p")).agg(F.min("doc").alias("representative"))
     facts = cut_lineage(filled.join(first, F.col("print") == F.col("p")).drop("p").unionByName(facts.where("n = 0").withColumn("representative", F.col("doc"))))
     near = components(found.where("a is not null").select("a", "b"))
-    members = cut_lineage(near.join(facts.where("doc = representative").select("doc", "n"), F.col("node") == F.col("doc")).select("doc", "n", "component"))
+    members = stored = cut_lineage(near.join(facts.where("doc = representative").select("doc", "n"), F.col("node") == F.col("doc")).select("doc", "n", "component"))
+    release(found)
     groups = members.groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).where("c > 1")
     parts = F.ceil(F.greatest(F.col("c") / SETS, F.col("s") / SHINGLES)).cast("int")
     members = members.join(groups.select("component", parts.alias("parts")), "component").select("doc", "component", "parts", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("own"))
@@ -290,6 +291,7 @@ def similar_sets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     sets = sets.select((F.col("parts") > 1).alias("large"), bundle.alias("bundle"), "q", "d", "doc", "own", "set")
     edges = sets.groupBy("large", "bundle", "q", "d").applyInArrow(_search(percent), "a long, b long")
     roots = components(edges)
+    release(stored)
     result = facts.join(roots, F.col("representative") == F.col("node"), "left")
     return result.select("doc", F.col("n").alias("n_shingles"), "representative", F.coalesce("component", "representative").alias("component"))
 

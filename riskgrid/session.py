@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -44,10 +45,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named)
 
 
+#: Whether Spark deletes the shuffle files of an action when it ends, instead of when the driver's heap is next collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder; survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise in the shared checkpoint folder; survives the loss of executors. The shuffle files it took go at once."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, as other actions of ``df`` may need its files
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def release(*stored: DataFrame) -> None:
+    """Delete the rows of frames from ``cut_lineage`` that nothing will read again."""
+    for df in stored:
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def drop_finished(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle and checkpoint files of plans that nothing refers to any more.
+
+    Spark does so when the driver's heap is collected, which may come long after the disks are full.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def fixed_rows(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import sys
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from riskgrid.llm import feistel, language, mixing, packing, pigeonhole, quality, suffixes, substrings, toccurrence, voronoi
 from riskgrid.llm.queries import tokenizer_path
 from riskgrid.llm.shared import components
-from riskgrid.session import ensure_checkpoint_dir
+from riskgrid.session import cut_lineage, drop_finished, ensure_checkpoint_dir, release
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _block long, size string, word string"
 
@@ -53,6 +54,34 @@ def test_components_of_chains_and_stars(spark):
     assert got == {n: c for n, c in want.items() if any(n in e for e in edges if e[0] != e[1])}
 
 
+def test_finished_shuffles_and_released_rows_leave_the_disk(spark):
+    ensure_checkpoint_dir(spark)
+    start = on_disk(spark)
+    rows = cut_lineage(spark.range(200_000).groupBy((F.xxhash64("id") % 100_003).alias("k")).agg(F.max("id").alias("m")))
+    shuffled, stored = settled(spark, start, 0)
+    assert shuffled <= 0 < stored and rows.count() == rows.agg(F.sum(F.lit(1))).first()[0]
+    release(rows)
+    assert on_disk(spark)[1] - start[1] < stored / 2
+
+
+def test_near_duplicates_leave_little_on_disk(spark):
+    rng = random.Random(5)
+    words = [f"w{i:x}q{i * 7919 % 99991}" for i in range(5000)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(800)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)] + [(1000 + i, t + " end", "en", "a") for i, t in enumerate(texts[:400])]
+    docs = frame(spark, rows).cache()
+    size = sum(len(t) for _, t, *_ in rows)
+    ensure_checkpoint_dir(spark)
+    drop_finished(spark)
+    time.sleep(2)
+    start = on_disk(spark)
+    found = toccurrence.similar_sets(docs)
+    shuffled, stored = settled(spark, start, size // 4)
+    assert shuffled < size // 4 and stored < size // 4, (shuffled, stored, size)
+    assert found.where("doc <> component").count() == 400
+    docs.unpersist()
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 9, 500])
 def test_sharding(spark, n):
     rows = [(i if i % 7 else None, f"t{i % 5}" if i % 3 else None, None, None) for i in range(n)]
@@ -339,6 +368,24 @@ def test_embedding_links(spark, monkeypatch, per_task):
     assert pigeonhole.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def on_disk(spark):
+    """Bytes of the session's shuffle files and of its checkpoint folder."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    shuffles = [Path(f) for f in files if "/shuffle_" in f]
+    stored = list(Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("part-*"))
+    return tuple(sum(f.stat().st_size for f in group if f.exists()) for group in (shuffles, stored))
+
+
+def settled(spark, start, most):
+    """Bytes on disk beyond those at the start; Spark deletes files a little later."""
+    for _ in range(40):
+        now = on_disk(spark)
+        if now[0] - start[0] <= most:
+            break
+        time.sleep(0.25)
+    return now[0] - start[0], now[1] - start[1]
+
+
 @pytest.mark.parametrize("size", [2048, 5])
 def test_top_k(spark, monkeypatch, size):
     monkeypatch.setattr(voronoi, "QUERIES_PER_CELL", size)
