@@ -386,6 +386,28 @@ def settled(spark, start, most):
     return now[0] - start[0], now[1] - start[1]
 
 
+def test_embedding_disk(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n, size = 4000, 64
+    rows = [(i, v.tolist(), i % 4, "x", 1) for i, v in enumerate(rng.normal(size=(n, size)).astype(np.float32))]
+    rows += [(n + i, rows[i][1][:-1] + [rows[i][1][-1] + 0.01], i % 4, "x", 1) for i in range(100)]
+    data = spark.createDataFrame(rows, VECTORS)
+    ensure_checkpoint_dir(spark)
+    drop_finished(spark)
+    time.sleep(2)
+    start, peak, cut = on_disk(spark), [0], pigeonhole.cut_lineage
+
+    def watched(df):
+        done = cut(df)
+        peak[0] = max(peak[0], sum(now - at for now, at in zip(on_disk(spark), start)))
+        return done
+
+    monkeypatch.setattr(pigeonhole, "cut_lineage", watched)
+    got = pigeonhole.near_duplicates(data).collect()
+    assert sum(not r.kept for r in got) == 100 and sum(r.n_links for r in got) == 200
+    assert 0 < peak[0] < 4 * 4 * n * size
+
+
 @pytest.mark.parametrize("size", [2048, 5])
 def test_top_k(spark, monkeypatch, size):
     monkeypatch.setattr(voronoi, "QUERIES_PER_CELL", size)
