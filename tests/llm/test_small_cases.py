@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from riskgrid.llm import feistel, language, mixing, packing, pigeonhole, quality, suffixes, substrings, toccurrence, voronoi
 from riskgrid.llm.queries import tokenizer_path
 from riskgrid.llm.shared import components
-from riskgrid.session import cut_lineage, drop_finished, ensure_checkpoint_dir, release
+from riskgrid.session import cut_lineage, ensure_checkpoint_dir, release
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _block long, size string, word string"
 
@@ -56,12 +56,12 @@ def test_components_of_chains_and_stars(spark):
 
 def test_finished_shuffles_and_released_rows_leave_the_disk(spark):
     ensure_checkpoint_dir(spark)
-    start = on_disk(spark)
+    start = files_of(spark)
     rows = cut_lineage(spark.range(200_000).groupBy((F.xxhash64("id") % 100_003).alias("k")).agg(F.max("id").alias("m")))
     shuffled, stored = settled(spark, start, 0)
-    assert shuffled <= 0 < stored and rows.count() == rows.agg(F.sum(F.lit(1))).first()[0]
+    assert shuffled == 0 < stored and rows.count() == rows.agg(F.sum(F.lit(1))).first()[0]
     release(rows)
-    assert on_disk(spark)[1] - start[1] < stored / 2
+    assert on_disk(spark, start)[1] == 0
 
 
 def test_near_duplicates_leave_little_on_disk(spark):
@@ -72,9 +72,7 @@ def test_near_duplicates_leave_little_on_disk(spark):
     docs = frame(spark, rows).cache()
     size = sum(len(t) for _, t, *_ in rows)
     ensure_checkpoint_dir(spark)
-    drop_finished(spark)
-    time.sleep(2)
-    start = on_disk(spark)
+    start = files_of(spark)
     found = toccurrence.similar_sets(docs)
     shuffled, stored = settled(spark, start, size // 4)
     assert shuffled < size // 4 and stored < size // 4, (shuffled, stored, size)
@@ -368,22 +366,25 @@ def test_embedding_links(spark, monkeypatch, per_task):
     assert pigeonhole.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
-def on_disk(spark):
-    """Bytes of the session's shuffle files and of its checkpoint folder."""
+def files_of(spark):
+    """The session's shuffle files and the files of its checkpoint folder."""
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
-    shuffles = [Path(f) for f in files if "/shuffle_" in f]
-    stored = list(Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("part-*"))
-    return tuple(sum(f.stat().st_size for f in group if f.exists()) for group in (shuffles, stored))
+    return {Path(f) for f in files if "/shuffle_" in f}, set(Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("part-*"))
+
+
+def on_disk(spark, start):
+    """Bytes of those files that are not among ``start``."""
+    return tuple(sum(f.stat().st_size for f in now - old if f.exists()) for now, old in zip(files_of(spark), start))
 
 
 def settled(spark, start, most):
-    """Bytes on disk beyond those at the start; Spark deletes files a little later."""
+    """The same; Spark deletes files a little later."""
     for _ in range(40):
-        now = on_disk(spark)
-        if now[0] - start[0] <= most:
+        now = on_disk(spark, start)
+        if now[0] <= most:
             break
         time.sleep(0.25)
-    return now[0] - start[0], now[1] - start[1]
+    return now
 
 
 def test_embedding_disk(spark, monkeypatch):
@@ -393,13 +394,11 @@ def test_embedding_disk(spark, monkeypatch):
     rows += [(n + i, rows[i][1][:-1] + [rows[i][1][-1] + 0.01], i % 4, "x", 1) for i in range(100)]
     data = spark.createDataFrame(rows, VECTORS)
     ensure_checkpoint_dir(spark)
-    drop_finished(spark)
-    time.sleep(2)
-    start, peak, cut = on_disk(spark), [0], pigeonhole.cut_lineage
+    start, peak, cut = files_of(spark), [0], pigeonhole.cut_lineage
 
     def watched(df):
         done = cut(df)
-        peak[0] = max(peak[0], sum(now - at for now, at in zip(on_disk(spark), start)))
+        peak[0] = max(peak[0], sum(on_disk(spark, start)))
         return done
 
     monkeypatch.setattr(pigeonhole, "cut_lineage", watched)
